@@ -39,6 +39,36 @@ def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("text").alias("content"))
 
 
+def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as a source file that carries its whole text in comments.
+
+    TypeScript: an exported function, an interface, a bound arrow function. Go: a
+    struct type, a function, a method.
+    """
+    docs = spread(table(spark, sf_dir, "documents"))
+    path = document_path()
+
+    def comment(indent: str) -> Column:
+        lines = F.split("text", "\n", -1)
+        return F.array_join(
+            F.transform(lines, lambda x: F.concat(F.lit(indent + "// "), x)), "\n")
+
+    ts = F.concat(
+        F.lit('import { corpus } from "./{corpus";\n\n/* source: '), F.col("source"),
+        F.lit(" { */\nexport function doc_"), F.col("doc_id"), F.lit("() {\n"), comment("  "),
+        F.lit("\n}\n\ninterface Row"), F.col("doc_id"),
+        F.lit(" {\n  lang: string;\n  chars: number;\n}\n\nconst size"), F.col("doc_id"),
+        F.lit(" = (scale: number) => scale * "), F.col("n_chars"), F.lit(";\n"))
+    go = F.concat(
+        F.lit("package corpus\n\ntype Row"), F.col("doc_id"),
+        F.lit(" struct {\n\tLang string // {\n}\n\nfunc Doc"), F.col("doc_id"), F.lit("() {\n"),
+        comment("\t"), F.lit("\n}\n\nfunc (r Row"), F.col("doc_id"),
+        F.lit(") Size() int { return "), F.col("n_chars"), F.lit(" }\n"))
+    return docs.select(
+        path.alias("filepath"), tx.language_of(path).alias("language"),
+        F.when(F.col("lang") == "fr", go).otherwise(ts).alias("content"))
+
+
 def conversation_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = spread(table(spark, sf_dir, "conversations"))
     path = F.concat(

@@ -17,34 +17,65 @@ LANGUAGE = "CASE lang WHEN 'fr' THEN 'go' ELSE 'typescript' END"
 TOKENS = "regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}_]+')"
 KEYS = "id, filepath, start_line, end_line, node_type, language, text_hash"
 
-FILES = f"files AS (SELECT {PATH} AS filepath, {LANGUAGE} AS language, text AS code FROM documents)"
+NODE = "'document' AS node_type, 1 AS base"
+FILES = f"""files AS (
+  SELECT doc_id AS nid, {PATH} AS filepath, {LANGUAGE} AS language, {NODE}, text AS code
+  FROM documents)"""
 
 EDITED = f"""edited AS (
-  SELECT {PATH} AS filepath, {LANGUAGE} AS language,
+  SELECT 'd' || doc_id AS nid, {PATH} AS filepath, {LANGUAGE} AS language, {NODE},
          CASE WHEN quality = 0 THEN text || chr(10) || '{EDIT_LINE}' ELSE text END AS code
   FROM documents LEFT JOIN labels USING (doc_id)
   WHERE NOT (coalesce(toxic, 0) = 1 AND coalesce(quality, 0) = 1)
   UNION ALL
-  SELECT 'corpus/chat/' || role || '/conv_' || conv_id || '_' || turn || '.ts', 'typescript', text
+  SELECT 'c' || conv_id || '_' || turn, 'corpus/chat/' || role || '/conv_' || conv_id || '_'
+    || turn || '.ts', 'typescript', 'document', 1, text
   FROM conversations)"""
 
 
+COMMENT = "'{0}// ' || replace(text, chr(10), chr(10) || '{0}// ')"
+N_LINES = "(length(text) - length(replace(text, chr(10), '')) + 1)"
+TS_FUNCTION = (f"'function doc_' || doc_id || '() {{' || chr(10) || {COMMENT.format('  ')}"
+               " || chr(10) || '}'")
+GO_FUNCTION = (f"'func Doc' || doc_id || '() {{' || chr(10) || {COMMENT.format(chr(9))}"
+               " || chr(10) || '}'")
+
+# The declarations each generated source file holds, with their first lines.
+DECLARED = f"""ts AS (SELECT *, {N_LINES} AS n FROM documents WHERE lang <> 'fr'),
+go AS (SELECT *, {N_LINES} AS n FROM documents WHERE lang = 'fr'),
+declared AS (
+  SELECT nid || doc_id AS nid, {PATH} AS filepath, {LANGUAGE} AS language, node_type, base, code
+  FROM (
+    SELECT *, 'e' AS nid, 'export_statement' AS node_type, 4 AS base,
+      'export ' || {TS_FUNCTION} AS code FROM ts
+    UNION ALL SELECT *, 'f', 'function_declaration', 4, {TS_FUNCTION} FROM ts
+    UNION ALL SELECT *, 'i', 'interface_declaration', 7 + n, 'interface Row' || doc_id || ' {{'
+      || chr(10) || '  lang: string;' || chr(10) || '  chars: number;' || chr(10) || '}}' FROM ts
+    UNION ALL SELECT *, 'a', 'arrow_function', 12 + n,
+      '(scale: number) => scale * ' || n_chars FROM ts
+    UNION ALL SELECT *, 't', 'type_declaration', 3, 'type Row' || doc_id || ' struct {{'
+      || chr(10) || chr(9) || 'Lang string // {{' || chr(10) || '}}' FROM go
+    UNION ALL SELECT *, 'g', 'function_declaration', 7, {GO_FUNCTION} FROM go
+    UNION ALL SELECT *, 'm', 'method_declaration', 10 + n,
+      'func (r Row' || doc_id || ') Size() int {{ return ' || n_chars || ' }}' FROM go))"""
+
+
 def chunk_ctes(files: str, out: str, split_all: bool = False) -> str:
-    """CTEs that chunk ``files`` (filepath, language, code) into ``out``."""
+    """CTEs that chunk ``files`` (nid, filepath, language, node_type, base, code)."""
     over = f"f.size + 1 + l.len >= {CHUNK_MAX_CHARS}"
     lone = f"l.len >= {CHUNK_MAX_CHARS}"
     size = "length('// File: ' || filepath || chr(10) || code)"
     packed = "true" if split_all else f"{size} > {CHUNK_MAX_CHARS}"
     whole = f"NOT ({packed}) AND {size} >= {CHUNK_MIN_CHARS}"
+    zero = "0::BIGINT"
     return f"""
-{out}_list AS (SELECT filepath, string_split(code, chr(10)) AS ls FROM {files} WHERE {packed}),
+{out}_list AS (SELECT *, string_split(code, chr(10)) AS ls FROM {files} WHERE {packed}),
 {out}_lines AS (
-  SELECT filepath, unnest(range(1, len(ls) + 1)) AS i, length(unnest(ls)) AS len FROM {out}_list),
-{out}_fold(filepath, i, first, n, size, c_first, c_n, c_size) AS (
-  SELECT filepath, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT
-  FROM {out}_list
+  SELECT nid, unnest(range(1, len(ls) + 1)) AS i, length(unnest(ls)) AS len FROM {out}_list),
+{out}_fold(nid, i, first, n, size, c_first, c_n, c_size) AS (
+  SELECT nid, {zero}, {zero}, {zero}, {zero}, {zero}, {zero}, {zero} FROM {out}_list
   UNION ALL
-  SELECT l.filepath, l.i,
+  SELECT l.nid, l.i,
     CASE WHEN f.n = 0 AND {lone} THEN l.i WHEN f.n = 0 OR {over} THEN l.i - 1 ELSE f.first END,
     CASE WHEN f.n = 0 AND {lone} THEN 0 WHEN f.n = 0 OR {over} THEN 1 ELSE f.n + 1 END,
     CASE WHEN f.n = 0 AND {lone} THEN 0 WHEN f.n = 0 OR {over} THEN l.len
@@ -52,25 +83,25 @@ def chunk_ctes(files: str, out: str, split_all: bool = False) -> str:
     CASE WHEN f.n = 0 THEN l.i - 1 ELSE f.first END,
     CASE WHEN f.n = 0 AND {lone} THEN 1 WHEN f.n > 0 AND {over} THEN f.n ELSE 0 END,
     CASE WHEN f.n = 0 THEN l.len ELSE f.size END
-  FROM {out}_fold f JOIN {out}_lines l ON l.filepath = f.filepath AND l.i = f.i + 1),
+  FROM {out}_fold f JOIN {out}_lines l ON l.nid = f.nid AND l.i = f.i + 1),
 {out}_cut AS (
-  SELECT filepath, c_first AS first, c_n AS n, c_size AS size FROM {out}_fold WHERE c_n > 0
+  SELECT nid, c_first AS first, c_n AS n, c_size AS size FROM {out}_fold WHERE c_n > 0
   UNION ALL
-  SELECT f.filepath, f.first, f.n, f.size
-  FROM {out}_fold f JOIN {out}_list s ON f.filepath = s.filepath AND f.i = len(s.ls)
+  SELECT f.nid, f.first, f.n, f.size
+  FROM {out}_fold f JOIN {out}_list s ON f.nid = s.nid AND f.i = len(s.ls)
   WHERE f.n > 0),
 {out}_code AS (
-  SELECT c.filepath, x.language, (1 + c.first)::INTEGER AS start_line,
-         (c.first + c.n)::INTEGER AS end_line,
+  SELECT s.filepath, s.language, s.node_type, (s.base + c.first)::INTEGER AS start_line,
+         (s.base + c.first + c.n - 1)::INTEGER AS end_line,
          array_to_string(list_slice(s.ls, c.first + 1, c.first + c.n), chr(10)) AS code
-  FROM {out}_cut c JOIN {out}_list s ON c.filepath = s.filepath
-       JOIN {files} x ON c.filepath = x.filepath
+  FROM {out}_cut c JOIN {out}_list s ON c.nid = s.nid
   WHERE c.size >= {CHUNK_MIN_CHARS}
   UNION ALL
-  SELECT filepath, language, 1, (length(code) - length(replace(code, chr(10), '')) + 1)::INTEGER, code
+  SELECT filepath, language, node_type, base::INTEGER,
+         (base + length(code) - length(replace(code, chr(10), '')))::INTEGER, code
   FROM {files} WHERE {whole}),
 {out}_text AS (
-  SELECT filepath, language, start_line, end_line, 'document' AS node_type,
+  SELECT filepath, language, start_line, end_line, node_type,
          '// File: ' || filepath || chr(10) || code AS text FROM {out}_code),
 {out} AS (
   SELECT md5(md5(text) || '|' || start_line || '|' || end_line || '|' || node_type) AS id,
@@ -203,6 +234,8 @@ def oracle_sql() -> dict[str, str]:
         "chunk_documents": over_chunks(f"SELECT {KEYS} FROM chunks"),
         "split_long": over_chunks(
             f"SELECT {KEYS}, length(text)::INTEGER AS chars FROM chunks", split_all=True),
+        "chunk_code": f"""WITH RECURSIVE {DECLARED}, {chunk_ctes('declared', 'chunks')}
+            SELECT {KEYS}, length(text)::INTEGER AS chars FROM chunks""",
         "snippets": over_chunks(f"""SELECT id, {short} AS short_filepath, start_line,
             substr({flat}, 1, 120) AS snippet, substr({flat}, 1, 80) AS hover FROM chunks"""),
         "dedup_chunks": f"WITH {BARE} SELECT {KEYS} FROM ({dedup('bare')})",
@@ -302,9 +335,11 @@ def oracle_sql() -> dict[str, str]:
             SELECT {KEYS} FROM old WHERE filepath NOT IN (SELECT filepath FROM moved)
             UNION ALL SELECT {KEYS} FROM new WHERE filepath IN (SELECT filepath FROM moved)"""),
         "embed_model": over_chunks("""SELECT id, unnest([0, 1])::INTEGER AS dim,
-            round(unnest([a / sqrt(a * a + b * b), b / sqrt(a * a + b * b)]), 4) AS value FROM (
-              SELECT id, (length(text) + 9)::DOUBLE AS a,
-                (length(text) - length(replace(text, chr(10), '')) + 1)::DOUBLE AS b FROM chunks)"""),
+            round(unnest([(a / n)::FLOAT::DOUBLE, (b / n)::FLOAT::DOUBLE]), 6) AS value FROM (
+              SELECT id, a, b, sqrt(a * a + b * b) AS n FROM (
+                SELECT id, (length(text) + 9)::DOUBLE AS a,
+                  (length(text) - length(replace(text, chr(10), '')) + 1)::DOUBLE AS b
+                FROM chunks))"""),
         "map_legend": over_chunks("""SELECT language AS color, count(*) AS points
             FROM chunks GROUP BY language"""),
     }

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import text as tx
 from corpusmill.functions import vectors as vx
-from corpusmill.operators import ann, chunking, embedding, lookup, maintenance, reports
+from corpusmill.operators import ann, chunking, declarations, embedding, lookup, maintenance, reports
 from corpusmill.operators.projection import map_legend, map_points, pca_2d
 from corpusmill.operators.rerank import jaccard, model_scorer, rerank, search_pipeline
 from corpusmill.operators.search import knn_search
@@ -75,6 +75,11 @@ def split_long(spark, d):
     return chunking.split_long(nodes).select(*CHUNK_KEYS, F.length("text").alias("chars"))
 
 
+def chunk_code(spark, d):
+    return declarations.chunk_code(b.code_files(spark, d)).select(
+        *CHUNK_KEYS, F.length("text").alias("chars"))
+
+
 def snippets(spark, d):
     return reports.snippets(chunks_of(spark, d))
 
@@ -294,7 +299,7 @@ def _length_model():
 def embed_model(spark, d):
     out = embedding.embed(chunks_of(spark, d), embedding.model(_length_model, 2))
     return _long(out, "id", F.col("vector")).withColumn(
-        "value", F.round(F.col("value").cast("double"), 4))
+        "value", F.round(F.col("value").cast("double"), 6))
 
 
 def _text_index(spark, d):
@@ -355,8 +360,11 @@ def pca(spark, d):
 
 
 def _points(spark, d):
-    index = maintenance.build_index(b.document_files(spark, d), embedding.hashed(64))
-    return map_points(pca_2d(index))
+    """Map of a stored index: the fit reads it several times."""
+    path = shared_dir(spark, "map")
+    snapshots.save_index(
+        maintenance.build_index(b.document_files(spark, d), embedding.hashed(64)), path)
+    return map_points(pca_2d(snapshots.read_index(spark, path, keep_shard=False)))
 
 
 def points(spark, d):
@@ -427,6 +435,7 @@ def queries() -> dict[str, Query]:
         "text_hash": text_hash,
         "chunk_documents": chunk_documents,
         "split_long": split_long,
+        "chunk_code": chunk_code,
         "snippets": snippets,
         "dedup_chunks": dedup_chunks,
         "upsert_chunks": upsert_chunks,
