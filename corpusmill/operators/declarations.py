@@ -20,19 +20,19 @@ from corpusmill.functions import text as tx
 from corpusmill.operators.chunking import chunk_nodes
 from corpusmill.schema import CHUNK_MAX_CHARS, CHUNK_MIN_CHARS
 
-# Every alternative is possessive, so the matcher neither backtracks nor recurses
-# on long strings and comments. Together they cover every character of a file.
-_COMMENTS = [r"//[^\n]*+", r"/\*(?:[^*]|\*(?!/))*+(?:\*/)?"]
+# A token is one significant lexeme with the blanks and comments before it. Every
+# part is possessive, so the matcher neither backtracks nor recurses on long strings
+# and comments. Together the matches cover every character of a file.
+_LEAD = r"(?:\s++|//[^\n]*+|/\*(?:[^*]|\*(?!/))*+(?:\*/)?)"
 _STRINGS = [r'"(?:[^"\\\n]|\\[\s\S])*+"?', r"'(?:[^'\\\n]|\\[\s\S])*+'?"]
 _TEMPLATE = r"`(?:[^`\\]|\\[\s\S])*+`?"
 _RAW_STRING = r"`[^`]*+`?"
 _REGEX = (
     r"(?:(?<=[(=,:;!&|?{\[]\s{0,8})|(?<=(?:=>|\breturn)\s{0,8}))/(?![/*])"
     r"(?:[^\\/\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*+\])++/[a-z]*+")
-_REST = [
-    r"[\p{L}\p{N}_$]++", r"=>", r"[=!<>]=++", r"\n", r"[^\S\n]++", r"[\s\S]"]
-TS_TOKEN = "|".join([*_COMMENTS, *_STRINGS, _TEMPLATE, _REGEX, *_REST])
-GO_TOKEN = "|".join([*_COMMENTS, *_STRINGS, _RAW_STRING, *_REST])
+_REST = [r"[\p{L}\p{N}_$]++", r"=>", r"[=!<>]=++", r"\S"]
+TS_TOKEN = rf"{_LEAD}*+(?:{'|'.join([*_STRINGS, _TEMPLATE, _REGEX, *_REST])})|{_LEAD}++"
+GO_TOKEN = rf"{_LEAD}*+(?:{'|'.join([*_STRINGS, _RAW_STRING, *_REST])})|{_LEAD}++"
 
 _WORD = r"^[\p{L}_$][\p{L}\p{N}_$]*$"
 # A newline does not end a statement after one of these ...
@@ -55,6 +55,8 @@ _MODIFIERS = [
     "public", "private", "protected", "static", "override", "readonly", "async",
     "get", "set", "*",
 ]
+_MARKS = [";", ",", "=>", "="]
+_WORDS = ["class", "interface", "type", "export", "const", "let", "var", "func"]
 _NOT_METHODS = [
     "if", "for", "while", "switch", "catch", "with", "function", "return", "await",
     "new", "typeof", "import", "super",
@@ -66,28 +68,33 @@ def _tokens(code: Column, language: Column) -> Column:
         F.regexp_extract_all(code, F.lit(TS_TOKEN), F.lit(0)))
 
 
+def _without_lead(raw: Column) -> Column:
+    return F.regexp_replace(raw, rf"^{_LEAD}++", "")
+
+
 def _newlines(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
 
 
 def _significant(files: DataFrame) -> DataFrame:
-    """Token rows without blanks and comments, each with its neighbours."""
+    """Token rows, each with its line, its bracket depth and its neighbours."""
     rows = files.select(
         "filepath", "language",
-        F.posexplode(_tokens(F.col("code"), F.col("language"))).alias("pos", "tok"))
+        F.posexplode(_tokens(F.col("code"), F.col("language"))).alias("pos", "raw"))
     in_file = Window.partitionBy("filepath").orderBy("pos")
     so_far = in_file.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     tok = F.col("tok")
     opens, closes = tok.isin("(", "[", "{"), tok.isin(")", "]", "}")
     step = F.when(opens, 1).when(closes, -1).otherwise(0)
-    placed = rows.select(
-        "*", opens.alias("opens"), closes.alias("closes"), _newlines(tok).alias("breaks"),
+    lexemes = rows.select(
+        "filepath", "language", "pos", _without_lead(F.col("raw")).alias("tok"),
+        _newlines(F.col("raw")).alias("breaks")).where("tok <> ''")
+    near = lexemes.select(
+        "*", opens.alias("opens"), closes.alias("closes"), _newlines(tok).alias("inside"),
     ).withColumns({
         "level": F.sum(step).over(so_far) - opens.cast("int"),
         "end_line": 1 + F.sum("breaks").over(so_far),
-    }).withColumn("line", F.col("end_line") - F.col("breaks"))
-    blank = tok.rlike(r"^\s+$") | tok.startswith("//") | tok.startswith("/*")
-    near = placed.where(~blank).withColumns({
+    }).withColumn("line", F.col("end_line") - F.col("inside")).withColumns({
         **{f"prev{i}": F.lag("tok", i).over(in_file) for i in (1, 2, 3)},
         **{f"next{i}": F.lead("tok", i).over(in_file) for i in (1, 2, 3)},
         "prev_pos": F.lag("pos").over(in_file),
@@ -103,12 +110,19 @@ def _significant(files: DataFrame) -> DataFrame:
     ts_break = ~prev.isin(_OPEN_ENDED) & ~tok.isin(_CONTINUING) & ~tok.startswith("`")
     ends_before = fresh & ~closes & F.when(F.col("language") == "go", go_break).otherwise(ts_break)
     marked = near.withColumn("breaks_here", F.coalesce(ends_before, F.lit(False)))
-    starts = prev.isNull() | prev.isin(";", "{", "}", "export", "default", "declare") | F.col("breaks_here")
+    starts = (
+        prev.isNull() | prev.isin("export", "default", "declare") | F.col("breaks_here")
+        | prev.isin(";", "{", "}") & ~closes & ~tok.isin(_CONTINUING))
     member = prev.isin("{", "}", ";", ",") | F.col("breaks_here")
-    return marked.withColumns({"starts": starts, "member": member}).withColumns({
+    known = marked.withColumns({"starts": starts, "member": member}).withColumns({
         "prev_starts": F.lag("starts").over(in_file),
         **{f"member{i}": F.lag("member", i).over(in_file) for i in (1, 2, 3)},
     })
+    # Beyond their neighbours' columns, only these tokens matter from here on.
+    return known.where(
+        opens | closes | tok.isin(_MARKS) | F.col("breaks_here")
+        | F.col("starts") & tok.isin(_WORDS) | (tok == "function")
+        | (F.col("next1") == "(") & tok.rlike(_WORD))
 
 
 def _in_blocks(tokens: DataFrame) -> DataFrame:
@@ -265,9 +279,10 @@ def find_declarations(files: DataFrame) -> DataFrame:
     A declaration inside another is left out, except inside an export.
     """
     rows = _with_ends(_in_blocks(_significant(files)))
-    found = rows.select("filepath", F.when(
-        F.col("language") == "go", _go_candidate()).otherwise(_ts_candidate()).alias("hit"))
-    hits = found.where("hit.last >= hit.first").select("filepath", "hit.*")
+    hit = F.when(F.col("language") == "go", _go_candidate()).otherwise(_ts_candidate())
+    # Unpacked by a generator, so that the long condition runs once per token.
+    hits = rows.select("filepath", F.inline(F.filter(
+        F.array(hit), lambda h: h["last"] >= h["first"])))
     before = Window.partitionBy("filepath").orderBy("first", F.desc("last")).rowsBetween(
         Window.unboundedPreceding, -1)
     closed = F.when(F.col("node_type") != "export_statement", F.col("last"))
@@ -279,11 +294,14 @@ def declaration_nodes(files: DataFrame) -> DataFrame:
     """Nodes (filepath, language, node_type, start_line, code) of all files.
 
     ``files`` holds a path once. A file meets its own list of ranges, so its text
-    is neither copied per declaration nor sent through another exchange.
+    is neither copied per declaration nor sent through another exchange. The number
+    of partitions is given, since AQE would merge them by the size of the texts,
+    and tokens take many times that.
     """
+    partitions = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = files.where(F.col("language").isNotNull() & F.col("content").isNotNull()).select(
         tx.normalize_path(F.col("filepath")).alias("filepath"), "language",
-        F.col("content").alias("code")).repartition("filepath")
+        F.col("content").alias("code")).repartition(partitions, "filepath")
     ranges = find_declarations(keyed).groupBy("filepath").agg(
         F.collect_list(F.struct("node_type", "first", "last", "line")).alias("ranges"))
     # The one-element array binds the token list once per file, not per range.
@@ -291,8 +309,8 @@ def declaration_nodes(files: DataFrame) -> DataFrame:
         F.array(_tokens(F.col("code"), F.col("language"))),
         lambda tokens: F.transform(F.col("ranges"), lambda r: F.struct(
             r["node_type"].alias("node_type"), r["line"].cast("int").alias("start_line"),
-            F.array_join(
-                F.slice(tokens, r["first"] + 1, r["last"] - r["first"] + 1), "").alias("code")))))
+            _without_lead(F.array_join(
+                F.slice(tokens, r["first"] + 1, r["last"] - r["first"] + 1), "")).alias("code")))))
     joined = keyed.join(ranges, "filepath").select(
         "filepath", "language", F.explode(cut).alias("node"))
     return joined.select("filepath", "language", "node.*")

@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -132,6 +132,8 @@ def top_rows(
     queries: QueryBlock, batches: Iterable, k: int, carry: list[str],
 ) -> pa.RecordBatch | None:
     """Best k rows per query over all batches of a task."""
+    if not len(queries.ids):
+        return None
     keep = ["id", *carry]
     floor = np.full(len(queries.ids), -np.inf)
     pos, scores, rows = np.empty(0, np.int64), np.empty(0), None
@@ -220,6 +222,10 @@ def _scan_candidates(index, block: pa.Table, k, carry, schema) -> DataFrame:
     return vectors.mapInArrow(search_task, schema)
 
 
+def _numbers(n: int) -> Column:
+    return F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
+
+
 def _grid_candidates(index, queries, k, carry, schema, dim: int) -> DataFrame:
     """Grid plan for query batches of any size.
 
@@ -233,9 +239,9 @@ def _grid_candidates(index, queries, k, carry, schema, dim: int) -> DataFrame:
     n_rows = max(1, -(-index.count() // per_row))
     vectors = _vector_columns(index, carry, with_cells)
     left = vectors.withColumn("_row", F.pmod(F.xxhash64("id"), F.lit(n_rows))).withColumn(
-        "_col", F.explode(F.sequence(F.lit(0), F.lit(n_cols - 1))).cast("long"))
+        "_col", F.explode(_numbers(n_cols)))
     right = queries.withColumn("_col", F.pmod(F.xxhash64("query_id"), F.lit(n_cols))).withColumn(
-        "_row", F.explode(F.sequence(F.lit(0), F.lit(n_rows - 1))).cast("long"))
+        "_row", F.explode(_numbers(n_rows)))
     names = [f.name for f in schema]
 
     def cell_task(cell_vectors: pa.Table, cell_queries: pa.Table) -> pa.Table:

@@ -1,0 +1,155 @@
+"""Snapshots, saved maps, edit events and the streaming refresh."""
+
+from __future__ import annotations
+
+import json
+
+import pytest
+from pyspark.sql import functions as F
+
+from corpusmill.operators import maintenance as m
+from corpusmill.operators.embedding import embed_queries, hashed
+from corpusmill.operators.search import knn_search
+from corpusmill.sources import events, snapshots
+from corpusmill.streaming.refresh import stream_refresh
+
+ENC = hashed(8)
+
+
+def text(tag, lines=30):
+    return "\n".join(f"{tag} line {i} with some words in it" for i in range(lines))
+
+
+def keys(df):
+    return sorted((r.id, r.filepath) for r in df.collect())
+
+
+A = {"a.ts": text("one"), "b.go": text("two"), "c.ts": text("three", 80)}
+
+
+def test_save_read_delta_compact_clear(spark, files, tmp_path):
+    path = str(tmp_path / "index")
+    assert snapshots.read_index(spark, path).count() == 0
+    snapshots.clear_index(spark, path)
+    index = m.build_index(files(A), ENC)
+    assert snapshots.save_index(index, path) == 0
+    stored = snapshots.read_index(spark, path)
+    assert keys(stored) == keys(index)
+    assert len(stored.first().vector) == 8
+
+    later = {**A, "a.ts": text("edited"), "d.go": text("four")}
+    from corpusmill.operators.chunking import chunk_documents
+    added, removed = m.refresh_delta(stored, chunk_documents(files(later)), ENC)
+    assert snapshots.append_delta(added, removed, path, token="t1") == 1
+    want = keys(m.build_index(files(later), ENC))
+    assert keys(snapshots.read_index(spark, path)) == want
+    # The same batch again, and one that failed before its commit, change nothing.
+    assert snapshots.append_delta(added, removed, path, token="t1") is None
+    snapshots._write_rows(added, path, 2, 16)
+    assert keys(snapshots.read_index(spark, path)) == want
+    snapshots.compact_index(spark, path)
+    assert keys(snapshots.read_index(spark, path)) == want
+    snapshots.clear_index(spark, path)
+    assert snapshots.read_index(spark, path).count() == 0
+    assert snapshots.read_index(spark, path).columns[:9] == index.columns
+
+
+def test_hits_prune_shards(spark, files, tmp_path):
+    path = str(tmp_path / "index")
+    snapshots.save_index(m.build_index(files(A), ENC), path)
+    stored = snapshots.read_index(spark, path)
+    queries = embed_queries(
+        spark.createDataFrame([(1, "one line 3")], "query_id bigint, query string"), ENC)
+    hits = knn_search(stored, queries, 2)
+    assert "dynamicpruning" in hits._jdf.queryExecution().toString().lower()
+    assert hits.count() == 2
+
+
+def test_delta_needs_an_index(spark, files, tmp_path):
+    index = m.build_index(files(A), ENC)
+    with pytest.raises(FileNotFoundError):
+        snapshots.append_delta(index, index.select("filepath"), str(tmp_path / "none"))
+
+
+def test_saved_map(spark, tmp_path):
+    path = str(tmp_path / "map")
+    with pytest.raises(FileNotFoundError):
+        snapshots.load_points(spark, path)
+    snapshots.clear_points(spark, path)
+    points = spark.createDataFrame([(0.1, 0.2), (0.3, 0.4)], "x double, y double")
+    snapshots.save_points(points, path)
+    loaded = snapshots.load_points(spark, path)
+    assert tuple(snapshots.points_summary(loaded).first()) == (2, "PCA")
+    snapshots.clear_points(spark, path)
+    with pytest.raises(FileNotFoundError):
+        snapshots.load_points(spark, path)
+
+
+EVENTS = [
+    '{"tool_name": "Edit", "tool_input": {"file_path": "a.ts"}}',
+    '{"tool_name": "Write", "tool_input": {"file_path": "LOUD.TSX", "edits": [{"file_path": "x.go"}]}}',
+    '{"tool_name": "MultiEdit", "tool_input": {"edits": [{"file_path": "b.go"}, {}, {"file_path": "c.md"}]}}',
+    '{"tool_name": "Edit", "tool_input": {"file_path": "readme.md"}}',
+    '{"tool_name": "Edit", "tool_input": {}}',
+    '{"tool_name": "Edit"}', 'not json', '', '{"tool_input": {"file_path": "dir/.ts"}}',
+]
+
+
+def test_edited_paths(spark, tmp_path):
+    want = ["LOUD.TSX", "a.ts", "b.go"]
+    raw = spark.createDataFrame([(e,) for e in EVENTS], "value string")
+    batch = events.edited_paths(events.parse_events(raw))
+    assert sorted(r.filepath for r in batch.collect()) == want
+    (tmp_path / "e").mkdir()
+    (tmp_path / "e" / "1.json").write_text("\n".join(EVENTS))
+    query = events.edited_paths(events.stream_events(spark, str(tmp_path / "e"))).writeStream.format(
+        "memory").queryName("edited").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert sorted(r.filepath for r in spark.table("edited").collect()) == want
+
+
+def test_stream_refresh_equals_batch_and_replays_once(spark, files, tmp_path):
+    root, inbox = tmp_path / "src", tmp_path / "events"
+    root.mkdir()
+    inbox.mkdir()
+    index_path, checkpoint = str(tmp_path / "index"), str(tmp_path / "cp")
+    named = {str(root / name): content for name, content in A.items()}
+    for path, content in named.items():
+        (tmp_path / "src" / path.rsplit("/", 1)[1]).write_text(content)
+    snapshots.save_index(m.build_index(files(named), ENC), index_path)
+
+    (root / "a.ts").write_text(text("edited"))
+    (root / "new.go").write_text(text("new"))
+    touched = [str(root / "a.ts"), str(root / "new.go"), str(root / "readme.md"), str(root / "gone.ts")]
+    lines = [json.dumps({"tool_name": "Edit", "tool_input": {"file_path": p}}) for p in touched]
+    (inbox / "1.json").write_text("\n".join([*lines, "broken"]))
+
+    def run(checkpoint):
+        stream_refresh(spark, str(inbox), index_path, checkpoint, encoder=ENC).awaitTermination()
+        return keys(snapshots.read_index(spark, index_path))
+
+    after = {**named, str(root / "a.ts"): text("edited"), str(root / "new.go"): text("new")}
+    want = keys(m.build_index(files(after), ENC))
+    assert run(checkpoint) == want
+    assert run(checkpoint) == want
+    # A lost checkpoint replays every batch; the tokens keep it from counting twice.
+    assert run(str(tmp_path / "cp2")) == want
+    versions = spark.read.parquet(f"{index_path}/commits").count()
+    assert versions == 2
+
+    # A removed file is dropped in strict mode.
+    (root / "b.go").unlink()
+    (inbox / "2.json").write_text(json.dumps(
+        {"tool_name": "Edit", "tool_input": {"file_path": str(root / "b.go")}}))
+    stream_refresh(spark, str(inbox), index_path, checkpoint, encoder=ENC, mode="strict").awaitTermination()
+    del after[str(root / "b.go")]
+    assert keys(snapshots.read_index(spark, index_path)) == keys(m.build_index(files(after), ENC))
+
+
+def test_events_without_source_files_commit_nothing(spark, files, tmp_path):
+    inbox, index_path = tmp_path / "events", str(tmp_path / "index")
+    inbox.mkdir()
+    snapshots.save_index(m.build_index(files(A), ENC), index_path)
+    (inbox / "1.json").write_text('{"tool_name": "Edit", "tool_input": {"file_path": "x.md"}}')
+    stream_refresh(spark, str(inbox), index_path, str(tmp_path / "cp"), encoder=ENC).awaitTermination()
+    assert spark.read.parquet(f"{index_path}/commits").agg(F.count("*")).first()[0] == 1
