@@ -102,6 +102,7 @@ def _significant(files: DataFrame) -> DataFrame:
         "prev_line": F.lag("line").over(in_file),
         "next_line": F.lead("line").over(in_file),
         "prev_end": F.lag("end_line").over(in_file),
+        "file_end": F.max("pos").over(Window.partitionBy("filepath")),
         "pos2": F.lag("pos", 2).over(in_file), "line2": F.lag("line", 2).over(in_file),
         "pos3": F.lag("pos", 3).over(in_file), "line3": F.lag("line", 3).over(in_file),
     })
@@ -126,7 +127,11 @@ def _significant(files: DataFrame) -> DataFrame:
 
 
 def _in_blocks(tokens: DataFrame) -> DataFrame:
-    """Rows per enclosing block; a bracket also bounds the block it opens or ends."""
+    """Rows per enclosing braces; a brace also bounds the block it opens or ends.
+
+    Declarations and what ends them stand in braces or at the top, so tokens
+    directly inside parentheses or square brackets leave here.
+    """
     own = F.struct(F.col("level").alias("lvl"), F.lit("token").alias("role"))
     inner = F.struct(
         (F.col("level") + 1).alias("lvl"),
@@ -137,8 +142,11 @@ def _in_blocks(tokens: DataFrame) -> DataFrame:
     flat = placed.select("*", "at.lvl", "at.role").drop("at")
     so_far = Window.partitionBy("filepath", "lvl").orderBy("pos").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    return flat.withColumn(
-        "blk", F.sum((F.col("role") == "open").cast("int")).over(so_far))
+    opened = F.col("role") == "open"
+    return flat.withColumns({
+        "blk": F.sum(opened.cast("int")).over(so_far),
+        "within": F.last(F.when(opened, F.col("tok")), ignorenulls=True).over(so_far),
+    }).where("within IS NULL OR within = '{'")
 
 
 def _with_ends(rows: DataFrame) -> DataFrame:
@@ -150,6 +158,7 @@ def _with_ends(rows: DataFrame) -> DataFrame:
     block = Window.partitionBy("filepath", "lvl", "blk")
     ahead = block.orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
     back = block.orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = block.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     token = F.col("role") == "token"
     tok, pos, before = F.col("tok"), F.col("pos"), F.col("prev_pos")
 
@@ -166,30 +175,27 @@ def _with_ends(rows: DataFrame) -> DataFrame:
         "comma_before": nearest(token & (tok == ","), before),
         "break_before": nearest(token & F.col("breaks_here"), before),
         "block_end": nearest(F.col("role") == "close", before),
-        "last": F.max("pos").over(block),
         "body_end": nearest(token & body_end, pos),
         "brace": nearest(token & (tok == "}"), pos),
         "paren": nearest(token & (tok == ")"), pos),
         "paren_next": nearest(token & (tok == ")"), F.col("next1")),
     })
-    stop = F.least("break_before", "block_end", "last")
+    stop = F.least("break_before", F.coalesce("block_end", "file_end"))
     second = first.withColumns({
         "statement_end": F.least("semi", stop),
         "expression_end": F.least("semi_before", "comma_before", stop),
+        "stop": stop,
     })
     arrow = token & (tok == "=>")
     arrow_end = F.when(F.col("next1") == "{", F.col("brace")).otherwise(F.col("expression_end"))
-    equals = (token & (tok == "=")).cast("int")
     start = token & F.col("starts")
-    third = second.withColumns({
+    return second.withColumns({
         "arrow_end": nearest(arrow, arrow_end),
         "statement_word": F.last(F.when(start, tok), ignorenulls=True).over(back),
-        "equals": F.sum(equals).over(back),
-    })
-    return third.withColumn(
-        "equals_here", F.col("equals") - F.coalesce(
-            F.last(F.when(start, F.col("equals")), ignorenulls=True).over(back), F.lit(0)),
-    ).where(token)
+        "statement_pos": F.last(F.when(start, pos), ignorenulls=True).over(back),
+        "equals_pos": F.last(
+            F.when(token & (tok == "="), pos), ignorenulls=True).over(earlier),
+    }).where(token)
 
 
 def _candidate(node_type: str | Column, start: Column, line: Column, end: Column) -> Column:
@@ -229,7 +235,9 @@ def _ts_candidate() -> Column:
         "paren_next").isin("=>", ":") & (F.col("paren") < F.col("statement_end"))
     bound_arrow = (
         (tok == "=") & F.col("statement_word").isin("const", "let", "var")
-        & ((F.col("equals_here") == 1) | (prev2 == ",")) & (direct | listed))
+        & (prev2.eqNullSafe(",") | F.coalesce(
+            F.col("equals_pos") < F.col("statement_pos"), F.lit(True)))
+        & (direct | listed))
 
     one, two, three = (p.isin(_MODIFIERS) for p in (prev1, prev2, prev3))
     method_start = (
@@ -263,7 +271,7 @@ def _ts_candidate() -> Column:
 
 def _go_candidate() -> Column:
     tok, pos, line, next1 = F.col("tok"), F.col("pos"), F.col("line"), F.col("next1")
-    end = F.least("semi_before", "break_before", "block_end", "last")
+    end = F.least("semi_before", "stop")
     top = (tok == "func") & F.col("starts") & (F.col("lvl") == 0)
     types = (tok == "type") & F.col("starts") & (next1.rlike(_WORD) | (next1 == "("))
     return (
