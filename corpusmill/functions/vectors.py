@@ -26,8 +26,8 @@ def l2_normalize(v: Column) -> Column:
 
 def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity rounded to 6 digits; 0 when a side has no length."""
-    lengths = l2_norm(a) * l2_norm(b)
-    return F.round(F.when(lengths > 0, dot(a, b) / lengths).otherwise(0.0), 6)
+    score = F.try_divide(dot(a, b), l2_norm(a) * l2_norm(b))
+    return F.coalesce(F.round(score, 6), F.lit(0.0))
 
 
 def has_dim(v: Column, dim: int) -> Column:

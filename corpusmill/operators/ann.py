@@ -36,15 +36,16 @@ _LONGS = T.ArrayType(T.LongType())
 
 
 def fit_cells(
-    index: DataFrame, cells: int = 16, seed: int = 42, sample: float | None = None,
+    index: DataFrame, cells: int = 16, seed: int = 42, train_rows: int = 200_000,
 ) -> np.ndarray:
-    """K-means centres (cells x dim), fitted on a sample if a fraction is given.
+    """K-means centres (cells x dim), fitted on about ``train_rows`` vectors.
 
-    Sampling touches the fit alone; every vector is assigned to a cell later.
+    The sample serves the fit alone; every vector is assigned to a cell later.
     """
     rows = index.where(F.col("vector").isNotNull())
-    if sample is not None:
-        rows = rows.sample(sample, seed)
+    total = rows.count()
+    if total > train_rows:
+        rows = rows.sample(train_rows / total, seed)
     points = rows.select(array_to_vector("vector").alias("features"))
     fitted = KMeans(k=cells, seed=seed, distanceMeasure="cosine", maxIter=10).fit(points)
     return np.array(fitted.clusterCenters())

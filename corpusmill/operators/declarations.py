@@ -5,8 +5,8 @@ boundaries and the extent of each declaration are window functions over the
 tokens of a file. The files are partitioned by path once and every window,
 aggregation and the final join reuse that partitioning.
 
-Known limits: decorators before a class or export are left out of its text;
-template strings that nest a backtick, and apostrophes or unbalanced brackets in
+Known limits: a decorator is part of a class or export only when it stands on
+lines of its own before it; template strings that nest a backtick, and apostrophes or unbalanced brackets in
 JSX text, can shift a boundary; a second typed declarator in one statement is
 not looked at for an arrow function.
 """
@@ -56,7 +56,7 @@ _MODIFIERS = [
     "get", "set", "*",
 ]
 _MARKS = [";", ",", "=>", "="]
-_WORDS = ["class", "interface", "type", "export", "const", "let", "var", "func"]
+_WORDS = ["@", "class", "interface", "type", "export", "const", "let", "var", "func"]
 _NOT_METHODS = [
     "if", "for", "while", "switch", "catch", "with", "function", "return", "await",
     "new", "typeof", "import", "super",
@@ -189,12 +189,19 @@ def _with_ends(rows: DataFrame) -> DataFrame:
     arrow = token & (tok == "=>")
     arrow_end = F.when(F.col("next1") == "{", F.col("brace")).otherwise(F.col("expression_end"))
     start = token & F.col("starts")
-    return second.withColumns({
+    third = second.withColumns({
         "arrow_end": nearest(arrow, arrow_end),
         "statement_word": F.last(F.when(start, tok), ignorenulls=True).over(back),
         "statement_pos": F.last(F.when(start, pos), ignorenulls=True).over(back),
         "equals_pos": F.last(
             F.when(token & (tok == "="), pos), ignorenulls=True).over(earlier),
+        "word_before": F.last(F.when(start, tok), ignorenulls=True).over(earlier),
+    })
+    # Of several decorators in a row the first one is where the statement starts.
+    leads = start & (tok == "@") & ~F.col("word_before").eqNullSafe("@")
+    return third.withColumns({
+        "lead_pos": F.last(F.when(leads, pos), ignorenulls=True).over(back),
+        "lead_line": F.last(F.when(leads, F.col("line")), ignorenulls=True).over(back),
     }).where(token)
 
 
@@ -212,6 +219,10 @@ def _ts_candidate() -> Column:
     named = next1.rlike(_WORD)
     whole_body = F.least("body_end", "statement_end") == F.col("body_end")
 
+    decorated = F.col("word_before").eqNullSafe("@") & F.col("breaks_here")
+    first = F.when(decorated, F.col("lead_pos")).otherwise(pos)
+    first_line = F.when(decorated, F.col("lead_line")).otherwise(line)
+
     function = (
         (tok == "function") & (named | (next1 == "*") & next2.rlike(_WORD))
         & F.when(is_async, F.col("prev_starts")).otherwise(F.col("starts")) & whole_body)
@@ -261,9 +272,9 @@ def _ts_candidate() -> Column:
             "function_declaration", F.when(is_async, F.col("prev_pos")).otherwise(pos),
             F.when(is_async, F.col("prev_line")).otherwise(line), F.col("body_end")))
         .when(class_like, _candidate(
-            F.concat(tok, F.lit("_declaration")), pos, line, F.col("body_end")))
+            F.concat(tok, F.lit("_declaration")), first, first_line, F.col("body_end")))
         .when(alias, _candidate("type_alias_declaration", pos, line, F.col("statement_end")))
-        .when(export, _candidate("export_statement", pos, line, export_end))
+        .when(export, _candidate("export_statement", first, first_line, export_end))
         .when(bound_arrow, _candidate(
             "arrow_function", F.col("next_pos"), F.col("next_line"), F.col("arrow_end")))
         .when(method, _candidate("method_definition", method_start, method_line, method_end)))

@@ -48,7 +48,9 @@ def new_chunks(index: DataFrame, chunks: DataFrame) -> DataFrame:
 def upsert_chunks(index: DataFrame, chunks: DataFrame, encoder: Encoder | None = None) -> DataFrame:
     """Index after inserting the absent chunks; only those are embedded.
 
-    Chunks that already carry a ``vector`` keep it.
+    Chunks that already carry a ``vector`` keep it. The check against all stored
+    hashes shuffles that column of the whole index; to take in edited files use
+    :func:`refresh_delta`, which needs the rows of those files only.
     """
     fresh = with_defaults(new_chunks(index, chunks))
     if "vector" not in fresh.columns:

@@ -22,10 +22,16 @@ def jaccard(query: Column, text: Column) -> Column:
 
     A stand-in for a pair model; its scores are not a model's scores.
     """
-    asked, found = F.array_distinct(tx.words(query)), F.array_distinct(tx.words(text))
-    union = F.size(F.array_union(asked, found))
-    shared = F.size(F.array_intersect(asked, found))
-    return F.round(F.when(union > 0, shared / union).otherwise(0.0), 6)
+    # One-element arrays bind the word lists and their sizes once per pair.
+    words = F.array(F.struct(
+        F.array_distinct(tx.words(query)).alias("asked"),
+        F.array_distinct(tx.words(text)).alias("found")))
+    sizes = F.transform(words, lambda w: F.struct(
+        F.size(F.array_intersect(w["asked"], w["found"])).alias("shared"),
+        (F.size(w["asked"]) + F.size(w["found"])).alias("both")))
+    score = F.transform(sizes, lambda z: F.try_divide(
+        z["shared"].cast("double"), (z["both"] - z["shared"]).cast("double")))
+    return F.coalesce(F.round(score[0], 6), F.lit(0.0))
 
 
 def model_scorer(make_predict_fn, batch_rows: int = EMBED_BATCH_ROWS) -> Scorer:

@@ -25,6 +25,7 @@ from corpusmill.schema import CANDIDATE_K, ROW_COLUMNS
 
 MAX_BLOCK_QUERIES = 4096
 MAX_BLOCK_BYTES = 64 << 20
+GRID_QUERY_BYTES = 256 << 20
 MAX_SCORE_CELLS = 4_000_000
 MAX_BROADCAST_HITS = 200_000
 MERGE_SALTS = 64
@@ -128,6 +129,30 @@ def _best_k(pos, ids, scores, k: int) -> np.ndarray:
     return order[nth < k]
 
 
+def _kept(s: np.ndarray, floor: np.ndarray, k: int, id_order) -> np.ndarray:
+    """Which scores may still be among the best k of their query (a row of ``s``).
+
+    At most k per query: of the rows tied at the last place only the first ids
+    stay, so a block full of copies yields no more than any other.
+    """
+    n = s.shape[1]
+    bar = floor
+    if n > k:
+        bar = np.maximum(bar, np.partition(s, n - k, axis=1)[:, n - k])
+    keep = s >= bar[:, None]
+    crowded = np.flatnonzero(keep.sum(axis=1) > k)
+    if len(crowded):
+        order = id_order()
+        rows, edge = s[crowded][:, order], bar[crowded][:, None]
+        above, tied = rows > edge, rows == edge
+        room = k - above.sum(axis=1, keepdims=True)
+        chosen = above | (tied & (np.cumsum(tied, axis=1) <= room))
+        back = np.empty_like(order)
+        back[order] = np.arange(n)
+        keep[crowded] = chosen[:, back]
+    return keep
+
+
 def top_rows(
     queries: QueryBlock, batches: Iterable, k: int, carry: list[str],
 ) -> pa.RecordBatch | None:
@@ -144,6 +169,11 @@ def top_rows(
         if vectors.shape[1] != queries.matrix.shape[1]:
             raise ValueError("query and index vectors differ in length")
         new_pos, new_row, new_score = [], [], []
+
+        def id_order(where, batch=batch):
+            ids = batch["id"].take(pa.array(where)).to_pylist()
+            return np.argsort(np.asarray(ids, dtype=np.str_), kind="stable")
+
         for who, where in _groups(queries, batch):
             if not len(where):
                 continue
@@ -152,11 +182,7 @@ def top_rows(
             for at in range(0, len(who), step):
                 part = who[at:at + step]
                 s = np.round(queries.matrix[part] @ block, 6) + 0.0
-                bar = floor[part]
-                if len(where) > k:
-                    kth = np.partition(s, len(where) - k, axis=1)[:, len(where) - k]
-                    bar = np.maximum(bar, kth)
-                qi, ri = np.nonzero(s >= bar[:, None])
+                qi, ri = np.nonzero(_kept(s, floor[part], k, lambda: id_order(where)))
                 new_pos.append(part[qi])
                 new_row.append(where[ri])
                 new_score.append(s[qi, ri])
@@ -197,9 +223,12 @@ def _query_columns(queries: DataFrame) -> DataFrame:
         "query_id", "qvec", language.cast("string").alias("qlanguage"), *extra)
 
 
-def _vector_columns(index: DataFrame, carry: list[str], with_cells: bool) -> DataFrame:
+def _vector_columns(
+    index: DataFrame, carry: list[str], with_cells: bool, with_language: bool = True,
+) -> DataFrame:
     names = ["id", "vector", *carry]
-    names += [c for c in ["language"] if c in index.columns and c not in names]
+    if with_language and "language" in index.columns:
+        names.append("language")
     names += ["cells"] if with_cells else []
     return index.where(F.col("vector").isNotNull()).select(*names)
 
@@ -207,8 +236,8 @@ def _vector_columns(index: DataFrame, carry: list[str], with_cells: bool) -> Dat
 def _scan_candidates(index, block: pa.Table, k, carry, schema) -> DataFrame:
     """Broadcast-block plan: scan the vectors in place."""
     with_cells = "qcells" in block.column_names
-    vectors = _vector_columns(index, carry, with_cells)
     languages = {x or None for x in block["qlanguage"].to_pylist()}
+    vectors = _vector_columns(index, carry, with_cells, with_language=languages != {None})
     if languages and None not in languages and "language" in index.columns:
         # Every query names a language: let the scan skip the others.
         vectors = vectors.where(F.col("language").isin(sorted(languages)))
@@ -233,9 +262,9 @@ def _grid_candidates(index, queries, k, carry, schema, dim: int) -> DataFrame:
     vectors once; cells are bounded on both sides because ids hash evenly.
     """
     with_cells = "qcells" in queries.columns
-    per_block = max(1, min(MAX_BLOCK_QUERIES, MAX_BLOCK_BYTES // (8 * dim)))
+    per_column = max(1, GRID_QUERY_BYTES // (8 * dim))
     per_row = max(1, MAX_BLOCK_BYTES // (8 * dim))
-    n_cols = -(-queries.count() // per_block)
+    n_cols = -(-queries.count() // per_column)
     n_rows = max(1, -(-index.count() // per_row))
     vectors = _vector_columns(index, carry, with_cells)
     left = vectors.withColumn("_row", F.pmod(F.xxhash64("id"), F.lit(n_rows))).withColumn(

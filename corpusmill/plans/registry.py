@@ -15,7 +15,7 @@ from corpusmill.operators.rerank import jaccard, model_scorer, rerank, search_pi
 from corpusmill.operators.search import knn_search
 from corpusmill.plans import bindings as b
 from corpusmill.schema import DOCUMENT_MAX_TOKENS
-from corpusmill.session import shared_dir
+from corpusmill.session import shared_dir, spread
 from corpusmill.sources import events, files, snapshots
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -268,7 +268,9 @@ def ann_lsh(spark, d):
 
 
 def _nonzero(df, key):
-    out = _long(df, key, F.col("vector")).where("value <> 0")
+    cells = F.transform(
+        "vector", lambda x, i: F.struct(i.alias("dim"), x.alias("value")))
+    out = df.select(key, F.inline(F.filter(cells, lambda c: c["value"] != 0)))
     return out.withColumn("value", F.round(F.col("value").cast("double"), 6))
 
 
@@ -278,7 +280,7 @@ def embed_hash(spark, d):
 
 def embed_truncated(spark, d):
     """Whole documents under the token cap of a model input."""
-    docs = b.table(spark, d, "documents")
+    docs = spread(b.table(spark, d, "documents"))
     return _nonzero(
         embedding.embed(docs, embedding.hashed(max_tokens=DOCUMENT_MAX_TOKENS)), "doc_id")
 
@@ -320,7 +322,8 @@ def rerank_query(spark, d):
 
     Documents without a label belong to the third text; candidates rank by id.
     """
-    docs = b.table(spark, d, "documents").join(b.table(spark, d, "labels"), "doc_id", "left")
+    docs = spread(b.table(spark, d, "documents")).join(
+        b.table(spark, d, "labels"), "doc_id", "left")
     hits = docs.select(
         F.coalesce("quality", F.lit(2)).cast("long").alias("query_id"),
         F.col("doc_id").alias("rank"), "text", "doc_id")

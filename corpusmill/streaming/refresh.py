@@ -17,6 +17,8 @@ from corpusmill.sources.events import edited_paths, stream_events
 from corpusmill.sources.files import read_files
 from corpusmill.sources.snapshots import append_delta, read_index
 
+MAX_BROADCAST_PATHS = 50_000
+
 
 def refresh_paths(
     index: DataFrame,
@@ -29,11 +31,15 @@ def refresh_paths(
     """Delta for some files: reads these files and their index rows only.
 
     The chunks are checkpointed so that files are read once and both parts of
-    the delta see the same contents.
+    the delta see the same contents. Few paths, by count, are broadcast to the
+    index scan, which then shuffles nothing.
     """
     ensure_checkpoint_dir(index.sparkSession)
+    paths = paths.select("filepath").distinct().checkpoint()
     chunks = chunker(loader(paths)).checkpoint()
-    named = paths.select(tx.normalize_path(F.col("filepath")).alias("filepath")).distinct()
+    named = paths.select(tx.normalize_path(F.col("filepath")).alias("filepath"))
+    if paths.count() <= MAX_BROADCAST_PATHS:
+        named = F.broadcast(named)
     stored = index.join(named, "filepath", "left_semi")
     return refresh_delta(stored, chunks, encoder, mode)
 

@@ -133,6 +133,46 @@ def test_declarations(files, path, code, expected):
     assert sorted((r.start_line, r.node_type, r.code) for r in rows) == expected
 
 
+def test_decorators_and_layouts(files):
+    source = """@Injectable()
+@Component({
+  selector: 'app',
+})
+export class App {
+  @Input() name: string;
+}
+
+@Entity
+class Row { id = 1 }
+const after = 1
+class Plain
+{
+}
+if (after) { function inIf() { return 2 } }
+let first = 1, second = (a = 1, { b }: { b: number } = { b: 2 }): number => {
+  return a + b;
+}
+var chain = list.map(x => x + 1)
+export = chain;
+export const enum Color { Red }
+export declare function ambient(a: string): void;
+"""
+    rows = declaration_nodes(files({"a.ts": source})).collect()
+    got = sorted((r.start_line, r.node_type, r.code.split("\n")[0], r.code[-12:]) for r in rows)
+    assert got == [
+        (1, "export_statement", "@Injectable()", "e: string;\n}"),
+        (5, "class_declaration", "class App {", "e: string;\n}"),
+        (9, "class_declaration", "@Entity", "w { id = 1 }"),
+        (12, "class_declaration", "class Plain", "ss Plain\n{\n}"),
+        (15, "function_declaration", "function inIf() { return 2 }", "{ return 2 }"),
+        (16, "arrow_function",
+            "(a = 1, { b }: { b: number } = { b: 2 }): number => {", "urn a + b;\n}"),
+        (20, "export_statement", "export = chain;", "ort = chain;"),
+        (21, "export_statement", "export const enum Color { Red }", "olor { Red }"),
+        (22, "export_statement", "export declare function ambient(a: string): void;", "ring): void;"),
+    ]
+
+
 def test_long_literals_and_odd_input(files):
     """Nothing here may overflow the matcher or lose the declaration after it."""
     tail = "\nfunction after() { return 1; }\n"

@@ -62,9 +62,19 @@ def test_k_is_a_prefix_of_k_plus_one(index, queries):
     assert found(big.where("rank <= 11")) == found(small)
 
 
+def test_a_block_of_copies_yields_k_rows():
+    s = np.array([[1.0, 0.5, 0.5, 0.5, 0.5, 0.2], [0.5] * 6, [0.9, 0.8, 0.1, 0.1, 0.1, 0.1]])
+    ids = np.array([5, 4, 3, 2, 1, 0])
+    kept = search._kept(s, np.full(3, -np.inf), 2, lambda: np.argsort(ids))
+    assert [np.flatnonzero(r).tolist() for r in kept] == [[0, 4], [4, 5], [0, 1]]
+    floored = search._kept(s, np.array([0.5, 0.6, 0.85]), 2, lambda: np.argsort(ids))
+    assert [np.flatnonzero(r).tolist() for r in floored] == [[0, 4], [], [0]]
+
+
 def test_grid_plan_equals_block_plan(index, queries, monkeypatch):
     monkeypatch.setattr(search, "MAX_BLOCK_QUERIES", 4)
     monkeypatch.setattr(search, "MAX_BLOCK_BYTES", 100 * DIM * 8)
+    monkeypatch.setattr(search, "GRID_QUERY_BYTES", 4 * DIM * 8)
     assert found(search.knn_search(index, queries, 7, with_rows=False)) == brute(7)
 
 
