@@ -61,7 +61,7 @@ def rerank(
     return ranked.where(F.col("rank") <= n).drop("query")
 
 
-def search_pipeline(
+def search_end_to_end(
     index: DataFrame,
     queries: DataFrame,
     encoder: Encoder | None = None,

@@ -313,7 +313,7 @@ def oracle_sql() -> dict[str, str]:
         "knn_text": text_hits() + """
             SELECT query_id, rank, score, id, filepath, start_line, text_hash
             FROM hits JOIN chunks USING (id)""",
-        "search_pipeline": text_hits() + f""", pairs AS (
+        "search_end_to_end": text_hits() + f""", pairs AS (
               SELECT query_id, rank AS candidate_rank, score, id, filepath,
                      {jaccard('benchmark.text', 'chunks.text')} AS rerank_score
               FROM hits JOIN chunks USING (id) JOIN benchmark ON item_id = query_id)

@@ -11,7 +11,7 @@ from corpusmill.functions import text as tx
 from corpusmill.functions import vectors as vx
 from corpusmill.operators import ann, chunking, declarations, embedding, lookup, maintenance, reports
 from corpusmill.operators.projection import map_legend, map_points, pca_2d
-from corpusmill.operators.rerank import jaccard, model_scorer, rerank, search_pipeline
+from corpusmill.operators.rerank import jaccard, model_scorer, rerank, search_end_to_end
 from corpusmill.operators.search import knn_search
 from corpusmill.plans import bindings as b
 from corpusmill.schema import DOCUMENT_MAX_TOKENS
@@ -347,13 +347,13 @@ def _overlap_model():
 
 
 def rerank_model(spark, d):
-    return search_pipeline(
+    return search_end_to_end(
         _text_index(spark, d), b.benchmark_queries(spark, d),
         scorer=model_scorer(_overlap_model)).select(*_HIT)
 
 
 def search(spark, d):
-    return search_pipeline(
+    return search_end_to_end(
         _text_index(spark, d), b.benchmark_queries(spark, d)).select(*_HIT)
 
 
@@ -477,7 +477,7 @@ def queries() -> dict[str, Query]:
         "knn_text": knn_text,
         "rerank": rerank_query,
         "rerank_model": rerank_model,
-        "search_pipeline": search,
+        "search_end_to_end": search,
         "pca_2d": pca,
         "map_points": points,
         "map_legend": legend,

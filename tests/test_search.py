@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import vectors as vx
 from corpusmill.operators import ann, embedding, projection, search
-from corpusmill.operators.rerank import model_scorer, rerank, search_pipeline
+from corpusmill.operators.rerank import model_scorer, rerank, search_end_to_end
 
 RNG = np.random.default_rng(7)
 N, DIM, Q = 600, 16, 9
@@ -96,7 +96,7 @@ def test_bad_arguments(index, queries, spark):
     with pytest.raises(ValueError):
         rerank(index, queries, n=0)
     with pytest.raises(ValueError):
-        search_pipeline(index, queries, k=4, n=5)
+        search_end_to_end(index, queries, k=4, n=5)
     short = spark.createDataFrame([("a", [1.0, 2.0])], "id string, vector array<float>")
     with pytest.raises(Exception, match="differ in length"):
         search.knn_search(short, queries, 3, with_rows=False).collect()
