@@ -25,6 +25,7 @@ from corpusmill.functions import vectors as vx
 from corpusmill.operators.search import (
     _matrix,
     _unit_rows,
+    few_hits,
     knn_search,
 )
 from corpusmill.schema import CANDIDATE_K
@@ -243,7 +244,10 @@ def knn_quantized(
     vector) only the candidates' rows are used.
     """
     rough = knn_search(dequantize(coded, quantizer), queries, k * refine, with_rows=False)
-    exact = vectors.select("id", "vector").join(rough.select("query_id", "id"), "id").join(
+    picked = rough.select("query_id", "id")
+    if few_hits(queries, k * refine):
+        picked = F.broadcast(picked)
+    exact = vectors.select("id", "vector").join(picked, "id").join(
         queries.select("query_id", "qvec"), "query_id")
     scored = exact.withColumn("score", vx.cosine(F.col("qvec"), F.col("vector")))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("id"))

@@ -17,15 +17,20 @@ from corpusmill.schema import CANDIDATE_K, EMBED_BATCH_ROWS, RESULT_N
 Scorer = Callable[[Column, Column], Column]
 
 
-def jaccard(query: Column, text: Column) -> Column:
+def jaccard(query: Column, text: Column, max_tokens: int | None = None) -> Column:
     """Shared share of the distinct words.
 
     A stand-in for a pair model; its scores are not a model's scores.
+    ``max_tokens`` gives it the pair cap of a model: the text keeps what the
+    query leaves of it.
     """
     # One-element arrays bind the word lists and their sizes once per pair.
+    asked, found = tx.words(query), tx.words(text)
+    if max_tokens is not None:
+        asked = tx.first_tokens(asked, max_tokens)
+        found = F.slice(found, F.lit(1), F.greatest(F.lit(0), max_tokens - F.size(asked)))
     words = F.array(F.struct(
-        F.array_distinct(tx.words(query)).alias("asked"),
-        F.array_distinct(tx.words(text)).alias("found")))
+        F.array_distinct(asked).alias("asked"), F.array_distinct(found).alias("found")))
     sizes = F.transform(words, lambda w: F.struct(
         F.size(F.array_intersect(w["asked"], w["found"])).alias("shared"),
         (F.size(w["asked"]) + F.size(w["found"])).alias("both")))

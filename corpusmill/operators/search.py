@@ -28,6 +28,7 @@ MAX_BLOCK_BYTES = 64 << 20
 GRID_QUERY_BYTES = 256 << 20
 MAX_SCORE_CELLS = 4_000_000
 MAX_BROADCAST_HITS = 200_000
+MAX_CELL_FILTER = 10_000
 MERGE_SALTS = 64
 
 
@@ -223,24 +224,32 @@ def _query_columns(queries: DataFrame) -> DataFrame:
         "query_id", "qvec", language.cast("string").alias("qlanguage"), *extra)
 
 
-def _vector_columns(
-    index: DataFrame, carry: list[str], with_cells: bool, with_language: bool = True,
-) -> DataFrame:
+def _vector_names(index: DataFrame, carry: list[str], with_cells: bool) -> list[str]:
     names = ["id", "vector", *carry]
-    if with_language and "language" in index.columns:
-        names.append("language")
-    names += ["cells"] if with_cells else []
-    return index.where(F.col("vector").isNotNull()).select(*names)
+    names += ["language"] if "language" in index.columns else []
+    return names + (["cells"] if with_cells else [])
+
+
+def _vector_rows(index: DataFrame) -> DataFrame:
+    return index.where(F.col("vector").isNotNull())
 
 
 def _scan_candidates(index, block: pa.Table, k, carry, schema) -> DataFrame:
     """Broadcast-block plan: scan the vectors in place."""
     with_cells = "qcells" in block.column_names
     languages = {x or None for x in block["qlanguage"].to_pylist()}
-    vectors = _vector_columns(index, carry, with_cells, with_language=languages != {None})
+    vectors = _vector_rows(index)
     if languages and None not in languages and "language" in index.columns:
         # Every query names a language: let the scan skip the others.
         vectors = vectors.where(F.col("language").isin(sorted(languages)))
+    if with_cells and "cell" in index.columns:
+        probed = {c for cells in block["qcells"].to_pylist() for c in cells}
+        if len(probed) <= MAX_CELL_FILTER:
+            # On a table partitioned by cell this skips the files of all other cells.
+            vectors = vectors.where(F.col("cell").isin(sorted(probed)))
+    if languages == {None}:
+        vectors = vectors.drop("language")
+    vectors = vectors.select(*_vector_names(vectors, carry, with_cells))
     shared = index.sparkSession.sparkContext.broadcast(block)
 
     def search_task(batches):
@@ -266,7 +275,7 @@ def _grid_candidates(index, queries, k, carry, schema, dim: int) -> DataFrame:
     per_row = max(1, MAX_BLOCK_BYTES // (8 * dim))
     n_cols = -(-queries.count() // per_column)
     n_rows = max(1, -(-index.count() // per_row))
-    vectors = _vector_columns(index, carry, with_cells)
+    vectors = _vector_rows(index).select(*_vector_names(index, carry, with_cells))
     left = vectors.withColumn("_row", F.pmod(F.xxhash64("id"), F.lit(n_rows))).withColumn(
         "_col", F.explode(_numbers(n_cols)))
     right = queries.withColumn("_col", F.pmod(F.xxhash64("query_id"), F.lit(n_cols))).withColumn(
@@ -335,8 +344,13 @@ def knn_search(
     hits = _ranked(candidates, k)
     if not with_rows:
         return hits.select("query_id", "rank", "score", "id")
-    small = fits and block.num_rows * k <= MAX_BROADCAST_HITS
-    return attach_rows(hits, index, small)
+    return attach_rows(hits, index, fits and block.num_rows * k <= MAX_BROADCAST_HITS)
+
+
+def few_hits(queries: DataFrame, k: int) -> bool:
+    """Whether k hits for each query are few enough to broadcast; counts the queries."""
+    most = MAX_BROADCAST_HITS // k
+    return queries.limit(most + 1).count() <= most
 
 
 def attach_rows(hits: DataFrame, index: DataFrame, small: bool = False) -> DataFrame:

@@ -8,9 +8,14 @@ from pyspark.sql import functions as F
 from corpusmill.schema import EDIT_EVENT
 
 
-def stream_events(spark: SparkSession, events_dir: str) -> DataFrame:
+def stream_events(
+    spark: SparkSession, events_dir: str, files_per_batch: int | None = None,
+) -> DataFrame:
     """Stream of JSON-lines files; a malformed line becomes a row of nulls."""
-    return spark.readStream.schema(EDIT_EVENT).option("mode", "PERMISSIVE").json(events_dir)
+    reader = spark.readStream.schema(EDIT_EVENT).option("mode", "PERMISSIVE")
+    if files_per_batch is not None:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.json(events_dir)
 
 
 def parse_events(raw: DataFrame, column: str = "value") -> DataFrame:

@@ -54,10 +54,12 @@ def stream_refresh(
     mode: str = "compat",
     chunker=chunk_documents,
     name: str = "refresh",
+    files_per_batch: int | None = None,
 ) -> StreamingQuery:
     """Refresh the index with the files each micro-batch of events touched.
 
-    Takes all events present and stops. A batch that is replayed after a failure
+    Only those files are read again, not the whole project. Takes all events
+    present, in batches of ``files_per_batch`` event files if given, and stops. A batch that is replayed after a failure
     carries the same token and is committed once.
     """
 
@@ -70,7 +72,7 @@ def stream_refresh(
         append_delta(added, removed, index_path, token=f"{name}-{batch_id}")
 
     return (
-        stream_events(spark, events_dir).writeStream.foreachBatch(refresh)
+        stream_events(spark, events_dir, files_per_batch).writeStream.foreachBatch(refresh)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start())

@@ -152,6 +152,8 @@ def test_ivf_reads_a_table_partitioned_by_cell(planted, tmp_path):
     celled = ann.assign_cells(index, centers)
     celled.drop("cells").write.partitionBy("cell").parquet(str(tmp_path / "t"))
     back = index.sparkSession.read.parquet(str(tmp_path / "t"))
+    plan = ann.ann_ivf(back, queries, centers, 1, 5, with_rows=False)._jdf.queryExecution().toString()
+    assert "cell" in plan[plan.index("PartitionFilters"):][:60]
     assert found(ann.ann_ivf(back, queries, centers, 2, 5, with_rows=False)) == found(
         ann.ann_ivf(celled, queries, centers, 2, 5, with_rows=False))
 
@@ -195,6 +197,22 @@ def test_rerank_is_stable_and_bounded(spark):
     assert rerank(hits, queries, n=50).count() == 5
 
 
+def test_jaccard_pair_cap(spark):
+    from corpusmill.operators.rerank import jaccard
+
+    df = spark.createDataFrame([("a b", "a x b y")], "query string, text string")
+    q, t = F.col("query"), F.col("text")
+    row = df.select(
+        jaccard(q, t).alias("whole"), jaccard(q, t, 3).alias("three"), jaccard(q, t, 1).alias("one"),
+        jaccard(F.lit(""), F.lit("")).alias("none")).first()
+    assert tuple(row) == (0.5, 0.5, 0.0, 0.0)
+
+
+def test_has_dim(spark):
+    df = spark.createDataFrame([([1.0, 2.0],), ([1.0],)], "v array<float>")
+    assert df.where(vx.has_dim(F.col("v"), 2)).count() == 1
+
+
 def test_model_scorer_and_model_encoder(spark):
     def load_scorer():
         return lambda queries, texts: np.array(

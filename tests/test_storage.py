@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusmill.operators import maintenance as m
+from corpusmill.operators import reports
 from corpusmill.operators.embedding import embed_queries, hashed
 from corpusmill.operators.search import knn_search
 from corpusmill.sources import events, snapshots
@@ -29,7 +30,7 @@ A = {"a.ts": text("one"), "b.go": text("two"), "c.ts": text("three", 80)}
 
 def test_save_read_delta_compact_clear(spark, files, tmp_path):
     path = str(tmp_path / "index")
-    assert snapshots.read_index(spark, path).count() == 0
+    assert reports.index_status(snapshots.read_index(spark, path)).first().total_chunks == 0
     snapshots.clear_index(spark, path)
     index = m.build_index(files(A), ENC)
     assert snapshots.save_index(index, path) == 0
