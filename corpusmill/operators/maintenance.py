@@ -58,17 +58,39 @@ def upsert_chunks(index: DataFrame, chunks: DataFrame, encoder: Encoder | None =
     return index.select(*INDEX_COLUMNS).unionByName(fresh.select(*INDEX_COLUMNS))
 
 
+def lay_out(rows: DataFrame, shards: int) -> DataFrame:
+    """Rows by language and id shard, the way a saved index is partitioned.
+
+    Rebalancing on these columns lets AQE split a language that holds most rows
+    and join small shards. Laid out before they are embedded, rows reach the
+    encoder in even partitions and their vectors are never shuffled.
+    """
+    shard = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")
+    return rows.withColumn("shard", shard).hint("rebalance", F.col("language"), F.col("shard"))
+
+
+def _embedded(chunks: DataFrame, encoder: Encoder | None, shards: int | None) -> DataFrame:
+    rows = with_defaults(chunks)
+    if shards is None:
+        return embed(rows, encoder).select(*INDEX_COLUMNS)
+    return embed(lay_out(rows, shards), encoder).select(*INDEX_COLUMNS, "shard")
+
+
 def build_index(
     files: DataFrame,
     encoder: Encoder | None = None,
     append_to: DataFrame | None = None,
     chunker=chunk_documents,
+    shards: int | None = None,
 ) -> DataFrame:
-    """Chunk, dedup, embed. ``append_to`` keeps the rows of an existing index."""
+    """Chunk, dedup, embed. ``append_to`` keeps the rows of an existing index.
+
+    With ``shards`` the rows come laid out for saving.
+    """
     chunks = chunker(files)
     if append_to is not None:
         return upsert_chunks(append_to, chunks, encoder)
-    return embed(with_defaults(dedup_chunks(chunks)), encoder).select(*INDEX_COLUMNS)
+    return _embedded(dedup_chunks(chunks), encoder, shards)
 
 
 def build_summary(index: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -119,6 +141,7 @@ def refresh_delta(
     chunks: DataFrame,
     encoder: Encoder | None = None,
     mode: str = "compat",
+    shards: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(rows to add, paths to remove first) that bring the index up to date.
 
@@ -134,7 +157,7 @@ def refresh_delta(
     find = changed_files if mode == "compat" else differing_files
     changed = find(index, fresh)
     added = fresh.join(changed, "filepath", "left_semi").select(*CHUNK_COLUMNS)
-    return embed(with_defaults(added), encoder).select(*INDEX_COLUMNS), changed
+    return _embedded(added, encoder, shards), changed
 
 
 def refresh_index(

@@ -137,7 +137,8 @@ def refresh_summary(spark, d):
 def index_build(spark, d):
     path = shared_dir(spark, "index")
     snapshots.save_index(
-        maintenance.build_index(b.document_files(spark, d), embedding.hashed()), path)
+        maintenance.build_index(
+            b.document_files(spark, d), embedding.hashed(), shards=16), path)
     return snapshots.read_index(spark, path).select(*CHUNK_KEYS)
 
 
@@ -366,7 +367,8 @@ def _points(spark, d):
     """Map of a stored index: the fit reads it several times."""
     path = shared_dir(spark, "map")
     snapshots.save_index(
-        maintenance.build_index(b.document_files(spark, d), embedding.hashed(64)), path)
+        maintenance.build_index(
+            b.document_files(spark, d), embedding.hashed(64), shards=4), path)
     return map_points(pca_2d(snapshots.read_index(spark, path, keep_shard=False)))
 
 

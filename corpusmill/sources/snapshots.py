@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corpusmill.operators.maintenance import empty_index
+from corpusmill.operators.maintenance import empty_index, lay_out
 from corpusmill.schema import INDEX, INDEX_COLUMNS
 
 _COMMITS = T.StructType([
@@ -55,19 +55,17 @@ def _commit(spark: SparkSession, path: str, version: int, base: int, token: str
 
 
 def _write_rows(rows: DataFrame, path: str, version: int, shards: int) -> None:
-    """Rows by language and id shard.
-
-    Rebalancing on the partition columns lets AQE split a language that holds
-    most rows and join small shards, so file sizes stay even.
-    """
-    shard = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")
-    laid = rows.select(*INDEX_COLUMNS).withColumn("shard", shard)
-    laid = laid.hint("rebalance", F.col("language"), F.col("shard"))
-    laid.write.mode("overwrite").partitionBy("language", "shard").parquet(f"{path}/rows/v={version}")
+    if "shard" not in rows.columns:
+        rows = lay_out(rows, shards)
+    rows.select(*INDEX_COLUMNS, "shard").write.mode("overwrite").partitionBy(
+        "language", "shard").parquet(f"{path}/rows/v={version}")
 
 
 def save_index(index: DataFrame, path: str, shards: int = 16) -> int:
-    """Write the whole index as a new base; returns its version."""
+    """Write the whole index as a new base; returns its version.
+
+    An index built with ``shards`` is written as it comes.
+    """
     spark = index.sparkSession
     state = _state(spark, path)
     version = 0 if state is None else state[0] + 1
@@ -121,7 +119,7 @@ def read_index(spark: SparkSession, path: str, keep_shard: bool = True) -> DataF
 
 def compact_index(spark: SparkSession, path: str, shards: int = 16) -> int:
     """Rewrite base and deltas as one new base."""
-    return save_index(read_index(spark, path), path, shards)
+    return save_index(read_index(spark, path, keep_shard=False), path, shards)
 
 
 def clear_index(spark: SparkSession, path: str) -> None:

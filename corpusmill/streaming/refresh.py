@@ -27,6 +27,7 @@ def refresh_paths(
     encoder: Encoder | None = None,
     mode: str = "compat",
     chunker=chunk_documents,
+    shards: int = 16,
 ) -> tuple[DataFrame, DataFrame]:
     """Delta for some files: reads these files and their index rows only.
 
@@ -41,7 +42,7 @@ def refresh_paths(
     if paths.count() <= MAX_BROADCAST_PATHS:
         named = F.broadcast(named)
     stored = index.join(named, "filepath", "left_semi")
-    return refresh_delta(stored, chunks, encoder, mode)
+    return refresh_delta(stored, chunks, encoder, mode, shards)
 
 
 def stream_refresh(

@@ -83,6 +83,13 @@ def test_upsert_shuffles_the_new_rows_once(stored, files):
     assert joined.count("Exchange hashpartitioning(text_hash") <= 2
 
 
+def test_vectors_are_not_shuffled_by_a_sharded_build(files):
+    index = maintenance.build_index(files({"a.ts": "x" * 50}), hashed(16), shards=4)
+    text = plan(index)
+    assert "REBALANCE_PARTITIONS_BY_COL" in text
+    assert text.index("ArrowEvalPython") < text.index("Exchange")
+
+
 def test_deleted_paths_are_not_hinted(stored, spark):
     _, index = stored
     paths = index.select("filepath").where(F.col("filepath").contains("f1"))

@@ -38,6 +38,10 @@ def test_save_read_delta_compact_clear(spark, files, tmp_path):
     assert keys(stored) == keys(index)
     assert len(stored.first().vector) == 8
 
+    sharded = m.build_index(files(A), ENC, shards=3)
+    snapshots.save_index(sharded, str(tmp_path / "sharded"))
+    assert keys(snapshots.read_index(spark, str(tmp_path / "sharded"))) == keys(index)
+
     later = {**A, "a.ts": text("edited"), "d.go": text("four")}
     from corpusmill.operators.chunking import chunk_documents
     added, removed = m.refresh_delta(stored, chunk_documents(files(later)), ENC)
