@@ -63,6 +63,12 @@ _NOT_METHODS = [
 ]
 
 
+def _among(name: str, *words: str) -> Column:
+    """``name IN (...)`` as one expression, parsed once."""
+    listed = ", ".join(f"'{w}'" for w in words)
+    return F.expr(f"{name} IN ({listed})")
+
+
 def _tokens(code: Column, language: Column) -> Column:
     return F.when(language == "go", F.regexp_extract_all(code, F.lit(GO_TOKEN), F.lit(0))).otherwise(
         F.regexp_extract_all(code, F.lit(TS_TOKEN), F.lit(0)))
@@ -84,7 +90,7 @@ def _significant(files: DataFrame) -> DataFrame:
     in_file = Window.partitionBy("filepath").orderBy("pos")
     so_far = in_file.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     tok = F.col("tok")
-    opens, closes = tok.isin("(", "[", "{"), tok.isin(")", "]", "}")
+    opens, closes = _among("tok", "(", "[", "{"), _among("tok", ")", "]", "}")
     step = F.when(opens, 1).when(closes, -1).otherwise(0)
     lexemes = rows.select(
         "filepath", "language", "pos", _without_lead(F.col("raw")).alias("tok"),
@@ -108,21 +114,21 @@ def _significant(files: DataFrame) -> DataFrame:
     })
     prev, fresh = F.col("prev1"), F.col("line") > F.col("prev_end")
     go_break = prev.rlike(r"[\p{L}\p{N}_)\]}\"'`]$")
-    ts_break = ~prev.isin(_OPEN_ENDED) & ~tok.isin(_CONTINUING) & ~tok.startswith("`")
+    ts_break = ~_among("prev1", *_OPEN_ENDED) & ~_among("tok", *_CONTINUING) & ~tok.startswith("`")
     ends_before = fresh & ~closes & F.when(F.col("language") == "go", go_break).otherwise(ts_break)
     marked = near.withColumn("breaks_here", F.coalesce(ends_before, F.lit(False)))
     starts = (
-        prev.isNull() | prev.isin("export", "default", "declare") | F.col("breaks_here")
-        | prev.isin(";", "{", "}") & ~closes & ~tok.isin(_CONTINUING))
-    member = prev.isin("{", "}", ";", ",") | F.col("breaks_here")
+        prev.isNull() | _among("prev1", "export", "default", "declare") | F.col("breaks_here")
+        | _among("prev1", ";", "{", "}") & ~closes & ~_among("tok", *_CONTINUING))
+    member = _among("prev1", "{", "}", ";", ",") | F.col("breaks_here")
     known = marked.withColumns({"starts": starts, "member": member}).withColumns({
         "prev_starts": F.lag("starts").over(in_file),
         **{f"member{i}": F.lag("member", i).over(in_file) for i in (1, 2, 3)},
     })
     # Beyond their neighbours' columns, only these tokens matter from here on.
     return known.where(
-        opens | closes | tok.isin(_MARKS) | F.col("breaks_here")
-        | F.col("starts") & tok.isin(_WORDS) | (tok == "function")
+        opens | closes | _among("tok", *_MARKS) | F.col("breaks_here")
+        | F.col("starts") & _among("tok", *_WORDS) | (tok == "function")
         | (F.col("next1") == "(") & tok.rlike(_WORD))
 
 
@@ -167,7 +173,7 @@ def _with_ends(rows: DataFrame) -> DataFrame:
 
     new_line = F.col("next_line") > F.col("end_line")
     body_end = (tok == "}") & (
-        F.col("next1").isNull() | ~F.col("next1").isin(_AFTER_TYPE_BRACE)
+        F.col("next1").isNull() | ~_among("next1", *_AFTER_TYPE_BRACE)
         | (new_line & (F.col("next1") != "{")))
     first = rows.withColumns({
         "semi": nearest(token & (tok == ";"), pos),
@@ -213,7 +219,7 @@ def _candidate(node_type: str | Column, start: Column, line: Column, end: Column
 
 def _ts_candidate() -> Column:
     tok, pos, line = F.col("tok"), F.col("pos"), F.col("line")
-    prev1, prev2, prev3 = F.col("prev1"), F.col("prev2"), F.col("prev3")
+    prev1, prev2 = F.col("prev1"), F.col("prev2")
     next1, next2, next3 = F.col("next1"), F.col("next2"), F.col("next3")
     is_async = prev1 == "async"
     named = next1.rlike(_WORD)
@@ -227,13 +233,13 @@ def _ts_candidate() -> Column:
         (tok == "function") & (named | (next1 == "*") & next2.rlike(_WORD))
         & F.when(is_async, F.col("prev_starts")).otherwise(F.col("starts")) & whole_body)
     class_like = (
-        tok.isin("class", "interface") & F.col("starts") & whole_body
-        & named & ~next1.isin("extends", "implements"))
-    alias = (tok == "type") & F.col("starts") & named & next2.isin("=", "<")
-    export = (tok == "export") & F.col("starts") & ~next1.isin(":", ",", "}", "(", "?", ".")
+        _among("tok", "class", "interface") & F.col("starts") & whole_body
+        & named & ~_among("next1", "extends", "implements"))
+    alias = (tok == "type") & F.col("starts") & named & _among("next2", "=", "<")
+    export = (tok == "export") & F.col("starts") & ~_among("next1", ":", ",", "}", "(", "?", ".")
     block_export = (
-        next1.isin(_BLOCK_KINDS)
-        | next1.isin("default", "declare") & next2.isin(_BLOCK_KINDS)
+        _among("next1", *_BLOCK_KINDS)
+        | _among("next1", "default", "declare") & _among("next2", *_BLOCK_KINDS)
         | (next1 == "async") & (next2 == "function")
         | (next1 == "default") & (next2 == "async") & (next3 == "function")
         | (next1 == "const") & (next2 == "enum"))
@@ -242,15 +248,15 @@ def _ts_candidate() -> Column:
 
     direct = next1.rlike(_WORD) & (next2 == "=>")
     direct |= (next1 == "async") & next2.rlike(_WORD) & (next3 == "=>")
-    listed = (next1.isin("(", "<") | (next1 == "async") & next2.isin("(", "<")) & F.col(
-        "paren_next").isin("=>", ":") & (F.col("paren") < F.col("statement_end"))
+    listed = (_among("next1", "(", "<") | (next1 == "async") & _among("next2", "(", "<")) & _among(
+        "paren_next", "=>", ":") & (F.col("paren") < F.col("statement_end"))
     bound_arrow = (
-        (tok == "=") & F.col("statement_word").isin("const", "let", "var")
+        (tok == "=") & _among("statement_word", "const", "let", "var")
         & (prev2.eqNullSafe(",") | F.coalesce(
             F.col("equals_pos") < F.col("statement_pos"), F.lit(True)))
         & (direct | listed))
 
-    one, two, three = (p.isin(_MODIFIERS) for p in (prev1, prev2, prev3))
+    one, two, three = (_among(f"prev{i}", *_MODIFIERS) for i in (1, 2, 3))
     method_start = (
         F.when(one & two & three & F.col("member3"), F.col("pos3"))
         .when(one & two & F.col("member2"), F.col("pos2"))
@@ -262,8 +268,8 @@ def _ts_candidate() -> Column:
         .when(one & F.col("member1"), F.col("prev_line"))
         .otherwise(line))
     method = (
-        tok.rlike(_WORD) & ~tok.isin(_NOT_METHODS) & (next1 == "(") & (F.col("lvl") > 0)
-        & F.col("paren_next").isin("{", ":") & method_start.isNotNull()
+        tok.rlike(_WORD) & ~_among("tok", *_NOT_METHODS) & (next1 == "(") & (F.col("lvl") > 0)
+        & _among("paren_next", "{", ":") & method_start.isNotNull()
         & F.when(F.col("paren_next") == "{", F.lit(True)).otherwise(whole_body))
     method_end = F.when(F.col("paren_next") == "{", F.col("brace")).otherwise(F.col("body_end"))
 

@@ -22,6 +22,8 @@ def local_session(cores: str | int = "*", memory: str = "8g", app: str = "corpus
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Call sites in error messages cost a round trip per Column operation.
+        .config("spark.sql.dataFrameQueryContext.enabled", "false")
         .getOrCreate()
     )
 
@@ -32,7 +34,7 @@ def shared_dir(spark: SparkSession, label: str) -> str:
     The cluster names a folder every executor can reach in that setting. Only
     where it is unset (tests on one machine) is a temporary folder used.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
         return tempfile.mkdtemp(prefix=f"corpusmill-{label}-")
     return f"{base.rstrip('/')}/corpusmill/{label}-{uuid.uuid4().hex}"
