@@ -102,16 +102,29 @@ def segment_hashes(data: np.ndarray, starts: np.ndarray, values: np.ndarray) ->
     return mix(sums * _powers("back", pow(_STEP, -1, 1 << 64), len(data) + 1)[starts])
 
 
-def words(data: np.ndarray, offsets: np.ndarray, fold: bool = False,
+def letter_breaks() -> np.ndarray:
+    """True for all ASCII bytes but letters and digits: words without their punctuation."""
+    if "letters" not in _tables:
+        table = np.zeros(256, dtype=bool)
+        table[:128] = True
+        table[[*range(48, 58), *range(65, 91), *range(97, 123)]] = False
+        _tables["letters"] = table
+    return _tables["letters"]
+
+
+def words(data: np.ndarray, offsets: np.ndarray, fold: bool = False, breaks: np.ndarray | None = None,
           ) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, start, document bound) of all words of the texts.
 
     Words are maximal runs of bytes other than 0x20 and 0x09-0x0D within a text. The
-    words of text i are those from bound[i] to bound[i + 1]. ``fold`` lower-cases A-Z.
+    words of text i are those from bound[i] to bound[i + 1]. ``fold`` lower-cases A-Z;
+    ``breaks`` names other bytes to stand between words.
     """
-    space = space_table()[data]
+    breaks = space_table() if breaks is None else breaks
+    space = breaks[data]
     first = ~space
-    first[1:] &= space[:-1]
+    if len(data):
+        first[1:] &= space[:-1]
     inner = offsets[(offsets > 0) & (offsets < len(data))]
     first[inner] = ~space[inner]
     starts = np.flatnonzero(first)
@@ -119,7 +132,7 @@ def words(data: np.ndarray, offsets: np.ndarray, fold: bool = False,
     values = byte_values().copy()
     if fold:
         values = values[lower_table()]
-    values[space_table()] = 0
+    values[breaks] = 0
     hashes = np.empty(len(starts), np.uint64)
     at = 0
     while at < len(starts):
