@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpusmill.llm import decontamination, minhash
+from corpusmill.llm import decontamination, minhash, mixing
+from corpusmill.llm.tables import written
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +19,18 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=4)
 
 
+def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows are numbered once and written, so that repeated ids stay apart."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    rows = written(mixing.sized(docs).drop("text").withColumn("row", F.monotonically_increasing_id()), "mix-sizes")
+    plan = mixing.Plan(rows.select("source", "mix_size", "mix_hash"))
+    placed = plan.placed(rows)
+    taken = plan.copies(placed).groupBy("row").agg(F.count("*").alias("copies"))
+    return placed.join(taken, "row", "left").select(
+        "doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"),
+        F.col("mix_target").alias("target"), (F.col("mix_size") * F.coalesce("copies", F.lit(0))).alias("taken"))
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
