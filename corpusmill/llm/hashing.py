@@ -17,7 +17,16 @@ PIECE_BYTES = 2 << 20
 #: Odd, so that it has an inverse modulo 2**64.
 _STEP = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
-_tables: dict[str, np.ndarray] = {}
+
+
+class _Tables(dict):
+    """Derived arrays, made where they are needed; task code travels without them."""
+
+    def __reduce__(self):
+        return _Tables, ()
+
+
+_tables = _Tables()
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import decontamination, minhash, mixing
+from corpusmill.llm import decontamination, language_id, minhash, mixing
 from corpusmill.llm.tables import written
 
 
@@ -31,6 +31,12 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("mix_target").alias("target"), (F.col("mix_size") * F.coalesce("copies", F.lit(0))).alias("taken"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = language_id.identify(docs, language_id.train(docs))
+    return found.select("doc_id", F.coalesce(~language_id.in_training(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
