@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import decontamination, language_id, minhash, mixing, page_text
+from corpusmill.llm import decontamination, language_id, minhash, mixing, page_text, quality
 from corpusmill.llm.repeats import Repeats
 from corpusmill.llm.tables import written
 
@@ -24,6 +24,11 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=4)
 
 
+def op1_quality_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality.judge(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows are numbered once and written, so that repeated ids stay apart."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
