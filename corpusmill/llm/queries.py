@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import decontamination, language_id, minhash, mixing, page_text, quality
+from corpusmill.llm import decontamination, language_id, licenses, minhash, mixing, page_text, quality
 from corpusmill.llm.repeats import Repeats
 from corpusmill.llm.tables import written
 
@@ -41,6 +41,10 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("mix_target").alias("target"), (F.col("mix_size") * F.coalesce("copies", F.lit(0))).alias("taken"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = language_id.identify(docs, language_id.train(docs))
