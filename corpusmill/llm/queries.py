@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import decontamination, language_id, licenses, minhash, mixing, page_text, quality
+from corpusmill.llm import decontamination, language_id, licenses, minhash, mixing, page_text, quality, quotations, token_counts
 from corpusmill.llm.repeats import Repeats
 from corpusmill.llm.tables import written
 
@@ -16,6 +16,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.counted(_table(spark, sf_dir, "documents"))
+
+
 def op7_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Repeats(_table(spark, sf_dir, "documents").select("doc_id", "text")).digest()
 
@@ -55,6 +59,10 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontamination.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op9_quotation_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotations.threads(_table(spark, sf_dir, "conversations"))
+
+
 def op10_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_text.extract(_table(spark, sf_dir, "pages"))
 
