@@ -46,7 +46,7 @@ _BITS = 22  # positions within a piece
 
 
 def units(data: np.ndarray, offsets: np.ndarray, known: np.ndarray, length: int):
-    """(first window, last window, anchor, hash, row) of the units of the texts.
+    """(first window, last window, anchor, hash, anchor place, row) of the units of the texts.
 
     A text longer than a piece is cut into pieces that overlap by length - 1 bytes.
     """
@@ -83,12 +83,12 @@ def units(data: np.ndarray, offsets: np.ndarray, known: np.ndarray, length: int)
         last[:-1] &= ~good[1:] | (place[1:] != place[:-1])
         a, b = np.flatnonzero(new), np.flatnonzero(last)
         whole = hs.mix(hs.mix((sums[b + length] - sums[a]) * back[a]) + (b - a).astype(np.uint64))
-        parts.append((a + lo, b + lo, grams[place[a]], whole))
+        parts.append((a + lo, b + lo, grams[place[a]], whole, place[a] + lo))
     if not parts:
         none = np.zeros(0, np.int64)
-        return none, none, none.view(np.uint64), none.view(np.uint64), none
-    a, b, anchor, whole = (np.concatenate(x) for x in zip(*parts, strict=True))
-    return a, b, anchor, whole, np.searchsorted(offsets, a, side="right") - 1
+        return none, none, none.view(np.uint64), none.view(np.uint64), none, none
+    a, b, anchor, whole, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+    return a, b, anchor, whole, place, np.searchsorted(offsets, a, side="right") - 1
 
 
 class Batch:
@@ -99,7 +99,7 @@ class Batch:
         ids = self.table["doc_id"].combine_chunks()
         self.data, self.offsets = hs.text_bytes(self.table["text"])
         known = np.asarray(ids.is_valid().to_numpy(zero_copy_only=False), bool)
-        self.a, self.b, self.anchor, self.whole, self.row = units(self.data, self.offsets, known, length)
+        self.a, self.b, self.anchor, self.whole, self.place, self.row = units(self.data, self.offsets, known, length)
         self.doc = ids.cast(pa.int64()).fill_null(0).to_numpy()[self.row]
         order = np.lexsort((self.doc, self.whole, self.anchor))
         new = np.ones(len(order), bool)
@@ -123,8 +123,7 @@ class Batch:
         index = np.flatnonzero(tell)
         order = np.argsort(self.bucket[index], kind="stable")
         index = index[order]
-        values, start = np.unique(self.bucket[index], return_index=True)
-        return {int(v): x for v, x in zip(values, np.split(index, start[1:]), strict=True)}
+        return {int(v): x for v, x in zip(*_sections(self.bucket[index], index), strict=True)}
 
 
 def _planes(values: np.ndarray) -> bytes:
@@ -222,7 +221,7 @@ def _answered(table: pa.Table) -> pa.Table:
 
 
 _ANSWER = "bucket int, batch long, full binary, ask binary, windows binary"
-_CONTEXT = "group long, batch long, entries binary, docs binary, sizes binary, body binary, hashes array<long>, owners array<long>, places array<long>"
+_CONTEXT = "group long, batch long, entries binary, docs binary, sizes binary, places_of binary, body binary, hashes array<long>, owners array<long>, places array<long>"
 
 
 def _contexts(length: int, buckets: int, groups: int):
@@ -247,6 +246,7 @@ def _contexts(length: int, buckets: int, groups: int):
                 rows["entries"].append(entries.astype(np.uint32).tobytes())
                 rows["docs"].append(own.least[entries].astype(np.int64).tobytes())
                 rows["sizes"].append((own.b[at] + length - own.a[at]).astype(np.uint32).tobytes())
+                rows["places_of"].append((own.place[at] - own.a[at]).astype(np.uint8).tobytes())
                 rows["body"].append(b"".join(own.data[i:j + length].tobytes() for i, j in zip(own.a[at], own.b[at], strict=True)))
                 for name in ("hashes", "owners", "places"):
                     rows[name].append(None)
@@ -256,7 +256,7 @@ def _contexts(length: int, buckets: int, groups: int):
                 start = np.repeat(own.a[at], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
                 rows["group"].append(None)
                 rows["batch"].append(number)
-                for name in ("entries", "docs", "sizes", "body"):
+                for name in ("entries", "docs", "sizes", "places_of", "body"):
                     rows[name].append(None)
                 rows["hashes"].append(_window_hashes(own.data, start, length).view(np.int64))
                 rows["owners"].append(np.repeat(own.least[split], count).astype(np.int64))
@@ -286,24 +286,47 @@ def _indexed(length: int):
     """The windows of each unit of a group that smaller documents hold, as bit masks."""
 
     def search(table: pa.Table) -> pa.Table:
-        strings, docs, source = [], [], []
-        for k, row in enumerate(table.select(["docs", "sizes", "body"]).to_pylist()):
-            sizes = np.frombuffer(row["sizes"], np.uint32).astype(np.int64)
-            body = np.frombuffer(row["body"], np.uint8)
-            strings += np.split(body, np.cumsum(sizes)[:-1])
-            docs.append(np.frombuffer(row["docs"], np.int64))
-            source.append(len(sizes))
-        owners = np.concatenate(docs)
-        marks = RunIndex(strings, owners, length).marks(owners, length)
-        bits = np.left_shift(np.uint64(1), np.arange(64, dtype=np.uint64))
-        masks = np.array([bits[:len(m)][m].sum() for m in marks], np.uint64)
-        bounds = np.cumsum([0, *source])
+        body = np.frombuffer(b"".join(table["body"].to_pylist()), np.uint8)
+        sizes, docs, places = (np.concatenate([np.frombuffer(x, kind) for x in table[name].to_pylist()]).astype(np.int64)
+                               for name, kind in (("sizes", np.uint32), ("docs", np.int64), ("places_of", np.uint8)))
+        ends = np.cumsum(sizes)
+        masks = np.zeros(len(sizes), np.uint64)
+        near = np.flatnonzero(_extended(body, ends - sizes, ends, places, docs, length))
+        if len(near):
+            strings = [body[i:j] for i, j in zip(ends[near] - sizes[near], ends[near], strict=True)]
+            bits = np.left_shift(np.uint64(1), np.arange(64, dtype=np.uint64))
+            marks = RunIndex(strings, docs[near], length).marks(docs[near], length)
+            masks[near] = [bits[:len(m)][m].sum() for m in marks]
+        bounds = np.cumsum([0] + [len(x) // 4 for x in table["entries"].to_pylist()])
         return pa.table({"batch": table["batch"], "one": table["entries"],
                          "two": pa.array([masks[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())})
 
     return search
 
 
+def _extended(body: np.ndarray, starts: np.ndarray, ends: np.ndarray, places: np.ndarray, docs: np.ndarray, length: int) -> np.ndarray:
+    """Units that may share a window with another document's unit.
+
+    A window reaches at least half of the bytes it has besides its anchor to one side of
+    it, so a shared one shares the anchor with that many bytes on its left or its right.
+    """
+    gram = min(GRAM, length)
+    half = (length - gram + 1) // 2
+    anchor = starts + places
+    out = np.zeros(len(starts), bool)
+    for begin in (anchor - half, anchor):
+        own = np.flatnonzero((begin >= starts) & (begin + gram + half <= ends))
+        keys = _window_hashes(body, begin[own], gram + half)
+        order = np.argsort(keys, kind="stable")
+        keys, doc = keys[order], docs[own][order]
+        if not len(keys):
+            continue
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        several = np.minimum.reduceat(doc, first) < np.maximum.reduceat(doc, first)
+        out[own[order[np.repeat(several, np.diff(np.append(first, len(keys))))]]] = True
+    return out
+
+
 class Repeats:
     """The repeats of a table of documents: packed batches and the answers to them."""
 
@@ -317,7 +340,7 @@ class Repeats:
         groups = max(64, -(-asked * (length + 16) // INDEX_BYTES))
         contexts = written(self.packed.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(
             _contexts(length, self.buckets, groups), _CONTEXT), "repeats-contexts")
-        indexed = contexts.filter("group is not null").select("group", "batch", "entries", "docs", "sizes", "body").groupBy(
+        indexed = contexts.filter("group is not null").select("group", "batch", "entries", "docs", "sizes", "places_of", "body").groupBy(
             "group").applyInArrow(_indexed(length), "batch long, one binary, two binary")
         single = contexts.filter("group is null").select("batch", F.explode(F.arrays_zip("hashes", "owners", "places")).alias("w")).select(
             "batch", "w.hashes", "w.owners", "w.places")
