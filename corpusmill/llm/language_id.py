@@ -24,9 +24,9 @@ from pyspark.sql import functions as F
 from corpusmill.llm import hashing as hs
 
 #: The sample: texts per label, and the longest text (in characters) that it takes.
-TRAIN_TEXTS, TRAIN_CHARS = 300, 20_000
+TRAIN_TEXTS, TRAIN_CHARS = 250, 20_000
 #: Words of a sample text that are used, and words in a training sequence and its runs.
-TRAIN_WORDS, SEQUENCE, RUN = 100, 40, 12
+TRAIN_WORDS, SEQUENCE, RUN = 60, 40, 12
 TABLE_BITS = 18
 ROUNDS = 40
 PENALTY = 1e-4
