@@ -42,7 +42,8 @@ BUCKET_UNITS = 400_000  # units of a bucket, on average
 INDEX_BYTES = 3 << 20  # bytes of a run-length index, on average
 #: Anchors with more different units than this, in a batch or in all, are split by window.
 BATCH_FORMS, ALL_FORMS = 8, 64
-_BITS = 22  # positions within a piece
+#: Windows of a piece of text, small enough to stay in the processor's cache, and bits to count them.
+_PIECE, _BITS = 1 << 17, 18
 
 
 def units(data: np.ndarray, offsets: np.ndarray, known: np.ndarray, length: int):
@@ -52,38 +53,41 @@ def units(data: np.ndarray, offsets: np.ndarray, known: np.ndarray, length: int)
     """
     parts = []
     gram = min(GRAM, length)
-    for lo in range(0, max(0, len(data) - length + 1), 1 << 21):
-        piece = data[lo:lo + (1 << 21) + length - 1]
+    values, low = hs.byte_values(), np.uint64((1 << _BITS) - 1)
+    step = hs._powers("step", hs._STEP, _PIECE + length)
+    back = hs._powers("back", pow(hs._STEP, -1, 1 << 64), _PIECE + length)
+    ends = offsets[1:]
+    for lo in range(0, max(0, len(data) - length + 1), _PIECE):
+        piece = data[lo:lo + _PIECE + length - 1]
         n = len(piece) - length + 1
-        if n <= 0:
-            break
-        back = hs._powers("back", pow(hs._STEP, -1, 1 << 64), len(piece) + 1)
         sums = np.zeros(len(piece) + 1, np.uint64)
-        np.cumsum(hs.byte_values()[piece] * hs._powers("step", hs._STEP, len(piece) + 1)[:len(piece)], out=sums[1:])
-        grams = hs.mix((sums[gram:] - sums[:-gram]) * back[:len(piece) - gram + 1])
-        low = np.uint64((1 << _BITS) - 1)
+        np.cumsum(values[piece] * step[:len(piece)], out=sums[1:])
+        grams = (sums[gram:] - sums[:-gram]) * back[:len(piece) - gram + 1]
+        grams ^= grams >> np.uint64(32)
+        grams *= np.uint64(0xD6E8FEB86659FD93)
         least = (grams & ~low) | np.arange(len(grams), dtype=np.uint64)
         width, want = 1, length - gram + 1
         while width < want:
-            step = min(width, want - width)
-            least = np.minimum(least[:-step], least[step:])
-            width += step
-        place = (least & low).astype(np.int64)
-        crossing = np.zeros(n + 1, np.int64)
-        ends = offsets[1:] - lo
-        ends = ends[(ends > 0) & (ends < n + length - 1)]
-        np.add.at(crossing, np.maximum(0, ends - length + 1), 1)
-        np.add.at(crossing, np.minimum(n, ends), -1)
-        good = np.cumsum(crossing[:n]) == 0
-        if not known.all():
-            good &= known[np.searchsorted(offsets, np.arange(lo, lo + n), side="right") - 1]
-        new = good.copy()
-        new[1:] &= ~good[:-1] | (place[1:] != place[:-1])
-        last = good.copy()
-        last[:-1] &= ~good[1:] | (place[1:] != place[:-1])
+            shift = min(width, want - width)
+            least = np.minimum(least[:-shift], least[shift:])
+            width += shift
+        place = (least & low).astype(np.int32)
+        # Windows that run over the end of a text, or of a text without an id, are none.
+        good = np.ones(n, bool)
+        for row in range(int(np.searchsorted(ends, lo, side="right")), len(ends)):
+            if ends[row] - length + 1 >= lo + n:
+                break
+            good[max(0, ends[row] - length + 1 - lo):max(0, ends[row] - lo)] = False
+        for row in np.flatnonzero(~known):
+            good[max(0, offsets[row] - lo):max(0, ends[row] - lo)] = False
+        changed = place[1:] != place[:-1]
+        new, last = good.copy(), good.copy()
+        new[1:] &= ~good[:-1] | changed
+        last[:-1] &= ~good[1:] | changed
         a, b = np.flatnonzero(new), np.flatnonzero(last)
+        place = place[a].astype(np.int64)
         whole = hs.mix(hs.mix((sums[b + length] - sums[a]) * back[a]) + (b - a).astype(np.uint64))
-        parts.append((a + lo, b + lo, grams[place[a]], whole, place[a] + lo))
+        parts.append((a + lo, b + lo, grams[place], whole, place + lo))
     if not parts:
         none = np.zeros(0, np.int64)
         return none, none, none.view(np.uint64), none.view(np.uint64), none, none
@@ -101,19 +105,25 @@ class Batch:
         known = np.asarray(ids.is_valid().to_numpy(zero_copy_only=False), bool)
         self.a, self.b, self.anchor, self.whole, self.place, self.row = units(self.data, self.offsets, known, length)
         self.doc = ids.cast(pa.int64()).fill_null(0).to_numpy()[self.row]
-        order = np.lexsort((self.doc, self.whole, self.anchor))
+        # Units with one hash have one anchor: sorting by the hash alone brings them together.
+        order = np.argsort(self.whole)
         new = np.ones(len(order), bool)
-        new[1:] = (self.whole[order][1:] != self.whole[order][:-1]) | (self.anchor[order][1:] != self.anchor[order][:-1])
+        new[1:] = self.whole[order[1:]] != self.whole[order[:-1]]
         self.entry = np.empty(len(order), np.int64)  # of each unit
-        self.entry[order] = np.cumsum(new) - 1
-        self.at = order[new]  # a unit of each entry, in its least document
-        self.least = self.doc[self.at]
-        anchor = self.anchor[self.at]  # ascending
+        self.entry[order] = number = np.cumsum(new) - 1
+        start = np.flatnonzero(new)
+        self.least = np.minimum.reduceat(self.doc[order], start) if len(start) else self.doc[:0]
+        self.at = np.full(len(start), len(order), np.int64)  # the first unit of each entry in its least document
+        lowest = self.doc[order] == self.least[number]
+        np.minimum.at(self.at, number[lowest], order[lowest])
+        anchor = self.anchor[self.at]
+        by_anchor = np.argsort(anchor, kind="stable")
         first = np.ones(len(anchor), bool)
-        first[1:] = anchor[1:] != anchor[:-1]
+        first[1:] = anchor[by_anchor[1:]] != anchor[by_anchor[:-1]]
         forms = np.diff(np.append(np.flatnonzero(first), len(anchor)))
-        self.common = np.repeat(forms > BATCH_FORMS, forms)
-        self.common_first = np.flatnonzero(self.common & first)
+        self.common = np.zeros(len(anchor), bool)
+        self.common[by_anchor] = np.repeat(forms > BATCH_FORMS, forms)
+        self.common_first = by_anchor[first][forms > BATCH_FORMS]
         self.bucket = (anchor >> np.uint64(32)) % np.uint64(buckets)
 
     def sent(self) -> dict[int, np.ndarray]:
