@@ -61,7 +61,7 @@ TEMPLATES = (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, "
         "provided that the above copyright notice and this permission notice appear in all copies.")),
     Template("CC-BY-NC-4.0", "notice", ("cc", "by-nc", "4.0"), "Licensed under CC BY-NC 4.0."),
-    Template("CC-BY-NC-4.0", "sentence", ("creative", "commons", "noncommercial", "4.0"), (
+    Template("CC-BY-NC-4.0", "sentence", ("creative", "commons", "attribution-noncommercial", "4.0"), (
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.")),
     Template("CC-BY-4.0", "notice", ("cc", "by", "4.0"), "Licensed under CC BY 4.0."),
     Template("CC-BY-4.0", "sentence", ("creative", "commons", "attribution", "4.0"), (

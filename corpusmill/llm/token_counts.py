@@ -4,8 +4,8 @@ A text is cut into pre-tokens by the tokenizer's pattern. A segment tree over th
 characters and tokens of every subtree. An edit replaces a character range: the tree
 finds the pre-tokens it touches; they are cut and encoded anew together with the context
 before them, and onwards until a new cut falls on an old one behind the edit, from where
-everything stays as it was. The new pre-tokens hang at one leaf, the others it replaces
-become empty, and the sums on the paths to the root are updated.
+everything stays as it was. The new pre-tokens are dealt over the leaves they replace,
+and the sums on the paths to the root are updated.
 
 The pattern may look ahead but not back, so a pre-token depends on the text from its
 start on: two pre-tokens of context before the edit are enough, as none looks more than
@@ -163,9 +163,11 @@ class CountTree:
                 break
             wanted *= 2  # so that the work stays in proportion to what changes
         self.encoded += len(pieces)
-        self._set(leaves[0], "".join(pieces), sum(map(self.tokenizer.count, pieces)))
-        for leaf in leaves[1:]:
-            self._set(leaf, "", 0)
+        # Dealt over the leaves they replace, so that none grows with further edits beside it.
+        share = -(-len(pieces) // len(leaves))
+        for k, leaf in enumerate(leaves):
+            part = pieces[k * share:(k + 1) * share]
+            self._set(leaf, "".join(part), sum(map(self.tokenizer.count, part)))
 
     @staticmethod
     def _meeting(ends: np.ndarray, cuts: list[tuple[int, int]], size: int, ended: bool) -> tuple[int, int] | None:
