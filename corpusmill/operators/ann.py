@@ -36,18 +36,12 @@ _LONGS = T.ArrayType(T.LongType())
 # Inverted cells
 
 
-def fit_cells(
-    index: DataFrame, cells: int = 16, seed: int = 42, train_rows: int = 200_000,
-) -> np.ndarray:
-    """K-means centres (cells x dim), fitted on about ``train_rows`` vectors.
+def fit_cells(index: DataFrame, cells: int = 16, seed: int = 42) -> np.ndarray:
+    """K-means centres (cells x dim), fitted on all vectors; runs jobs.
 
-    The sample serves the fit alone; every vector is assigned to a cell later.
+    Fit once per index and keep the centres: queries only need the assignment.
     """
-    rows = index.where(F.col("vector").isNotNull())
-    total = rows.count()
-    if total > train_rows:
-        rows = rows.sample(train_rows / total, seed)
-    points = rows.select(array_to_vector("vector").alias("features"))
+    points = index.where(F.col("vector").isNotNull()).select(array_to_vector("vector").alias("features"))
     fitted = KMeans(k=cells, seed=seed, distanceMeasure="cosine", maxIter=10).fit(points)
     return np.array(fitted.clusterCenters())
 

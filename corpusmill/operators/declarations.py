@@ -78,6 +78,11 @@ def _without_lead(raw: Column) -> Column:
     return F.regexp_replace(raw, rf"^{_LEAD}++", "")
 
 
+#: What tells the rows of two files apart; both are partitioned by the path.
+_FILE = ["filepath", "key"]
+_PARTITION_BYTES = 4 << 20
+
+
 def _newlines(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
 
@@ -85,15 +90,15 @@ def _newlines(text: Column) -> Column:
 def _significant(files: DataFrame) -> DataFrame:
     """Token rows, each with its line, its bracket depth and its neighbours."""
     rows = files.select(
-        "filepath", "language",
+        "filepath", "key", "language",
         F.posexplode(_tokens(F.col("code"), F.col("language"))).alias("pos", "raw"))
-    in_file = Window.partitionBy("filepath").orderBy("pos")
+    in_file = Window.partitionBy(*_FILE).orderBy("pos")
     so_far = in_file.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     tok = F.col("tok")
     opens, closes = _among("tok", "(", "[", "{"), _among("tok", ")", "]", "}")
     step = F.when(opens, 1).when(closes, -1).otherwise(0)
     lexemes = rows.select(
-        "filepath", "language", "pos", _without_lead(F.col("raw")).alias("tok"),
+        "filepath", "key", "language", "pos", _without_lead(F.col("raw")).alias("tok"),
         _newlines(F.col("raw")).alias("breaks")).where("tok <> ''")
     near = lexemes.select(
         "*", opens.alias("opens"), closes.alias("closes"), _newlines(tok).alias("inside"),
@@ -108,7 +113,7 @@ def _significant(files: DataFrame) -> DataFrame:
         "prev_line": F.lag("line").over(in_file),
         "next_line": F.lead("line").over(in_file),
         "prev_end": F.lag("end_line").over(in_file),
-        "file_end": F.max("pos").over(Window.partitionBy("filepath")),
+        "file_end": F.max("pos").over(Window.partitionBy(*_FILE)),
         "pos2": F.lag("pos", 2).over(in_file), "line2": F.lag("line", 2).over(in_file),
         "pos3": F.lag("pos", 3).over(in_file), "line3": F.lag("line", 3).over(in_file),
     })
@@ -146,7 +151,7 @@ def _in_blocks(tokens: DataFrame) -> DataFrame:
     placed = tokens.withColumn(
         "at", F.explode(F.when(bracket, F.array(own, inner)).otherwise(F.array(own))))
     flat = placed.select("*", "at.lvl", "at.role").drop("at")
-    so_far = Window.partitionBy("filepath", "lvl").orderBy("pos").rowsBetween(
+    so_far = Window.partitionBy(*_FILE, "lvl").orderBy("pos").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
     opened = F.col("role") == "open"
     return flat.withColumns({
@@ -161,7 +166,7 @@ def _with_ends(rows: DataFrame) -> DataFrame:
     A frame that runs to the block's end would be re-evaluated per row, so the
     look-ahead is a look-back over the reversed order.
     """
-    block = Window.partitionBy("filepath", "lvl", "blk")
+    block = Window.partitionBy(*_FILE, "lvl", "blk")
     ahead = block.orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
     back = block.orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     earlier = block.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
@@ -299,16 +304,16 @@ def _go_candidate() -> Column:
 
 
 def find_declarations(files: DataFrame) -> DataFrame:
-    """Declarations as token ranges: filepath, node_type, first, last, line.
+    """Declarations as token ranges: filepath, key, node_type, first, last, line.
 
     A declaration inside another is left out, except inside an export.
     """
     rows = _with_ends(_in_blocks(_significant(files)))
     hit = F.when(F.col("language") == "go", _go_candidate()).otherwise(_ts_candidate())
     # Unpacked by a generator, so that the long condition runs once per token.
-    hits = rows.select("filepath", F.inline(F.filter(
+    hits = rows.select(*_FILE, F.inline(F.filter(
         F.array(hit), lambda h: h["last"] >= h["first"])))
-    before = Window.partitionBy("filepath").orderBy("first", F.desc("last")).rowsBetween(
+    before = Window.partitionBy(*_FILE).orderBy("first", F.desc("last")).rowsBetween(
         Window.unboundedPreceding, -1)
     closed = F.when(F.col("node_type") != "export_statement", F.col("last"))
     covered = hits.withColumn("covered_to", F.max(closed).over(before))
@@ -318,16 +323,22 @@ def find_declarations(files: DataFrame) -> DataFrame:
 def declaration_nodes(files: DataFrame) -> DataFrame:
     """Nodes (filepath, language, node_type, start_line, code) of all files.
 
-    ``files`` holds a path once. A file meets its own list of ranges, so its text
-    is neither copied per declaration nor sent through another exchange. The number
-    of partitions is given, since AQE would merge them by the size of the texts,
-    and tokens take many times that.
+    Rows are told apart by their path as given and their contents, so two files whose
+    paths become the same are both read; a row that is repeated as a whole counts once.
+    A file meets its own list of ranges, so its text is neither copied per declaration
+    nor sent through another exchange. The number of partitions is given, from the
+    bytes of the texts (which takes a pass over them), since AQE would merge partitions
+    by the size of the texts, and tokens take many times that.
     """
-    partitions = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = files.where(F.col("language").isNotNull() & F.col("content").isNotNull()).select(
-        tx.normalize_path(F.col("filepath")).alias("filepath"), "language",
-        F.col("content").alias("code")).repartition(partitions, "filepath")
-    ranges = find_declarations(keyed).groupBy("filepath").agg(
+    known = files.where(F.col("language").isNotNull() & F.col("content").isNotNull())
+    size = known.agg(F.coalesce(F.sum(F.octet_length("content")), F.lit(0))).first()[0]
+    cores = files.sparkSession.sparkContext.defaultParallelism
+    keyed = known.select(
+        tx.normalize_path(F.col("filepath")).alias("filepath"),
+        F.md5(F.concat_ws("\n", "filepath", "content")).alias("key"), "language",
+        F.col("content").alias("code")).repartition(
+        max(cores, -(-size // _PARTITION_BYTES)), "filepath").dropDuplicates(_FILE)
+    ranges = find_declarations(keyed).groupBy(*_FILE).agg(
         F.collect_list(F.struct("node_type", "first", "last", "line")).alias("ranges"))
     # The one-element array binds the token list once per file, not per range.
     cut = F.flatten(F.transform(
@@ -336,7 +347,7 @@ def declaration_nodes(files: DataFrame) -> DataFrame:
             r["node_type"].alias("node_type"), r["line"].cast("int").alias("start_line"),
             _without_lead(F.array_join(
                 F.slice(tokens, r["first"] + 1, r["last"] - r["first"] + 1), "")).alias("code")))))
-    joined = keyed.join(ranges, "filepath").select(
+    joined = keyed.join(ranges, _FILE).select(
         "filepath", "language", F.explode(cut).alias("node"))
     return joined.select("filepath", "language", "node.*")
 

@@ -74,8 +74,9 @@ def search_end_to_end(
     k: int = CANDIDATE_K,
     n: int = RESULT_N,
 ) -> DataFrame:
-    """Embed the queries, take k nearest rows each, re-score, keep n."""
-    if n > k:
-        raise ValueError("n must not exceed k")
+    """Embed the queries, take k nearest rows each, re-score, keep n.
+
+    There are at most k rows to keep, so an n above k returns those.
+    """
     asked = embed_queries(queries, encoder)
     return rerank(knn_search(index, asked, k), queries, scorer, n)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -32,10 +33,14 @@ def shared_dir(spark: SparkSession, label: str) -> str:
     """A fresh folder under ``spark.checkpoint.dir``.
 
     The cluster names a folder every executor can reach in that setting. Only
-    where it is unset (tests on one machine) is a temporary folder used.
+    where it is unset in a session on one machine is a temporary folder used; on
+    any other master that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        master = spark.sparkContext.master
+        if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors of {master} share")
         return tempfile.mkdtemp(prefix=f"corpusmill-{label}-")
     return f"{base.rstrip('/')}/corpusmill/{label}-{uuid.uuid4().hex}"
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import os
 from collections.abc import Iterator
 
@@ -15,6 +16,9 @@ from corpusmill.session import ensure_checkpoint_dir
 
 _ENTRY = "path string, relative string, is_dir boolean"
 _BATCH = 1024
+#: Paths that one task lists or reads, beyond one task per core.
+_PATHS_PER_TASK = 500
+_LOG = logging.getLogger(__name__)
 
 
 def scan_files(files: DataFrame, root: str = "") -> DataFrame:
@@ -54,6 +58,7 @@ def _list_dirs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     # Names that are not valid UTF-8 cannot be a string column.
                     name = entry.name.encode("utf-8", "surrogateescape")
                     if name.decode("utf-8", "replace") != entry.name:
+                        _LOG.warning("name is not UTF-8, skipped: %r in %s", name, path)
                         continue
                     is_dir = entry.is_dir()
                     if is_dir and (entry.name in EXCLUDED_DIRS or entry.is_symlink()):
@@ -67,6 +72,16 @@ def _list_dirs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pack(rows)
 
 
+def _spread(paths: DataFrame, column: str) -> DataFrame:
+    """Deal paths out evenly: rows are tiny, so AQE would merge them into one task.
+
+    The number of partitions follows the number of paths, at least one per core.
+    """
+    cores = paths.sparkSession.sparkContext.defaultParallelism
+    count = paths.count()
+    return paths.repartition(max(1, min(count, max(cores, count // _PATHS_PER_TASK))), column)
+
+
 def list_tree(spark: SparkSession, root: str) -> DataFrame:
     """Paths of the target files below ``root`` on a mount all workers share.
 
@@ -80,7 +95,7 @@ def list_tree(spark: SparkSession, root: str) -> DataFrame:
     level = spark.createDataFrame([(root, "")], "path string, relative string")
     found = None
     while True:
-        entries = level.repartition("path").mapInArrow(_list_dirs, _ENTRY).checkpoint()
+        entries = _spread(level, "path").mapInArrow(_list_dirs, _ENTRY).checkpoint()
         files = entries.where(~F.col("is_dir")).select("path")
         found = files if found is None else found.unionByName(files)
         level = entries.where("is_dir").select("path", "relative")
@@ -106,10 +121,10 @@ def _read_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_files(paths: DataFrame) -> DataFrame:
     """Contents of the given paths; unknown extensions and unreadable files drop out.
 
-    The repartition spreads the reading, whatever directory the files came from.
+    Counts the paths, to spread the reading over as many tasks as they need.
     """
     known = paths.where(tx.language_of(F.col("filepath")).isNotNull()).select("filepath")
-    raw = known.repartition("filepath").mapInArrow(
+    raw = _spread(known, "filepath").mapInArrow(
         _read_bytes, "filepath string, content binary")
     return read_normalize(raw)
 

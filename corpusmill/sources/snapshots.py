@@ -50,6 +50,10 @@ def _state(spark: SparkSession, path: str) -> tuple[int, int] | None:
 
 
 def _commit(spark: SparkSession, path: str, version: int, base: int, token: str | None) -> None:
+    """Record a finished version; fails if another writer has finished it meanwhile."""
+    commits = _commits(spark, path)
+    if commits is not None and not commits.where(F.col("version") == version).isEmpty():
+        raise RuntimeError(f"version {version} of {path} was committed by another writer")
     row = spark.createDataFrame([(version, base, token)], _COMMITS)
     row.coalesce(1).write.mode("append").parquet(f"{path}/commits")
 

@@ -60,17 +60,24 @@ def stream_refresh(
     """Refresh the index with the files each micro-batch of events touched.
 
     Only those files are read again, not the whole project. Takes all events
-    present, in batches of ``files_per_batch`` event files if given, and stops. A batch that is replayed after a failure
-    carries the same token and is committed once.
+    present, in batches of ``files_per_batch`` event files if given, and stops.
+
+    A batch that is replayed after a failure carries the same token and is committed
+    once. The token holds the stream's own id, which lives in its checkpoint: another
+    stream, or one that starts again with a new checkpoint, has other tokens, so
+    none takes another's batches for its own.
     """
 
     def refresh(batch: DataFrame, batch_id: int) -> None:
+        stream = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        if stream is None:
+            raise RuntimeError("the batch does not name its stream")
         paths = edited_paths(batch).select("filepath").distinct()
         if paths.isEmpty():
             return
         index = read_index(batch.sparkSession, index_path)
         added, removed = refresh_paths(index, paths, loader, encoder, mode, chunker)
-        append_delta(added, removed, index_path, token=f"{name}-{batch_id}")
+        append_delta(added, removed, index_path, token=f"{name}-{stream}-{batch_id}")
 
     return (
         stream_events(spark, events_dir, files_per_batch).writeStream.foreachBatch(refresh)

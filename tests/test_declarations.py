@@ -173,6 +173,14 @@ export declare function ambient(a: string): void;
     ]
 
 
+def test_paths_that_become_the_same_are_both_read(spark):
+    rows = [("s\\x.ts", "typescript", "export function one() { return 1; }"), ("s/x.ts", "typescript", "interface Two { b: string }"),
+            ("s/x.ts", "typescript", "interface Two { b: string }")]
+    nodes = declaration_nodes(spark.createDataFrame(rows, "filepath string, language string, content string"))
+    assert sorted(r.code for r in nodes.collect()) == [
+        "export function one() { return 1; }", "function one() { return 1; }", "interface Two { b: string }"]
+
+
 def test_long_literals_and_odd_input(files):
     """Nothing here may overflow the matcher or lose the declaration after it."""
     tail = "\nfunction after() { return 1; }\n"

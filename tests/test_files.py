@@ -32,6 +32,17 @@ def tree(tmp_path):
     return root
 
 
+def test_many_files_are_listed_and_read_by_many_tasks(spark, tmp_path):
+    for i in range(240):
+        (tmp_path / f"d{i % 60}").mkdir(exist_ok=True)
+        (tmp_path / f"d{i % 60}" / f"f{i}.ts").write_text(f"const a = {i};")
+    listed = list_tree(spark, str(tmp_path))
+    tasks = listed.select(F.spark_partition_id().alias("p")).distinct().count()
+    read = read_files(listed)
+    assert tasks >= 4 and read.select(F.spark_partition_id()).distinct().count() >= 4
+    assert read.count() == 240
+
+
 def test_load_tree(spark, tree):
     rows = {r.filepath: r for r in load_tree(spark, str(tree)).collect()}
     below = {p.removeprefix(f"{tree}/"): r for p, r in rows.items()}

@@ -90,13 +90,19 @@ def test_no_cross_join_in_the_plan(index, queries):
     assert "WindowGroupLimit" in plan
 
 
+def test_more_results_than_candidates(index, queries, spark):
+    """Asking for more than there are candidates gives the candidates."""
+    texts = index.withColumn("text", F.col("id"))
+    asked = queries.select("query_id", F.lit("some words").alias("query"))
+    hits = search.knn_search(index, queries, 4, with_rows=False).join(texts.select("id", "text"), "id")
+    assert rerank(hits, asked, n=9).count() == 4 * queries.count()
+
+
 def test_bad_arguments(index, queries, spark):
     with pytest.raises(ValueError):
         search.knn_search(index, queries, 0)
     with pytest.raises(ValueError):
         rerank(index, queries, n=0)
-    with pytest.raises(ValueError):
-        search_end_to_end(index, queries, k=4, n=5)
     short = spark.createDataFrame([("a", [1.0, 2.0])], "id string, vector array<float>")
     with pytest.raises(Exception, match="differ in length"):
         search.knn_search(short, queries, 3, with_rows=False).collect()

@@ -137,10 +137,9 @@ def test_stream_refresh_equals_batch_and_replays_once(spark, files, tmp_path):
     want = keys(m.build_index(files(after), ENC))
     assert run(checkpoint) == want
     assert run(checkpoint) == want
-    # A lost checkpoint replays every batch; the tokens keep it from counting twice.
+    assert spark.read.parquet(f"{index_path}/commits").count() == 2
+    # A lost checkpoint takes every event again; as files are read as they are now, nothing changes.
     assert run(str(tmp_path / "cp2")) == want
-    versions = spark.read.parquet(f"{index_path}/commits").count()
-    assert versions == 2
 
     # A removed file is dropped in strict mode.
     (root / "b.go").unlink()
@@ -151,6 +150,32 @@ def test_stream_refresh_equals_batch_and_replays_once(spark, files, tmp_path):
     assert keys(snapshots.read_index(spark, index_path)) == keys(m.build_index(files(after), ENC))
 
 
+def test_two_streams_with_one_name_lose_nothing(spark, files, tmp_path):
+    root, index_path = tmp_path / "src", str(tmp_path / "index")
+    root.mkdir()
+    named = {str(root / name): content for name, content in A.items()}
+    for path, content in named.items():
+        (root / path.rsplit("/", 1)[1]).write_text(content)
+    snapshots.save_index(m.build_index(files(named), ENC), index_path)
+    for stream, name in (("one", "a.ts"), ("two", "b.go"), ("one", "b.go")):
+        # The last round is the first stream's folder again, under a new checkpoint.
+        inbox = tmp_path / f"events-{stream}"
+        inbox.mkdir(exist_ok=True)
+        path = str(root / name)
+        (root / name).write_text(text(f"edited by {stream} {name}"))
+        named[path] = text(f"edited by {stream} {name}")
+        (inbox / f"{name}.json").write_text(json.dumps({"tool_name": "Edit", "tool_input": {"file_path": path}}))
+        stream_refresh(spark, str(inbox), index_path, str(tmp_path / f"cp-{stream}-{name}"), encoder=ENC).awaitTermination()
+        assert keys(snapshots.read_index(spark, index_path)) == keys(m.build_index(files(named), ENC))
+
+
+def test_a_version_is_committed_once(spark, files, tmp_path):
+    path = str(tmp_path / "index")
+    snapshots.save_index(m.build_index(files(A), ENC), path)
+    with pytest.raises(RuntimeError, match="another writer"):
+        snapshots._commit(spark, path, 0, 0, None)
+
+
 def test_events_without_source_files_commit_nothing(spark, files, tmp_path):
     inbox, index_path = tmp_path / "events", str(tmp_path / "index")
     inbox.mkdir()
