@@ -9,6 +9,7 @@ from corpusmill.schema import (
     DOCUMENT_MAX_TOKENS,
     EMBED_DIM,
     EXCLUDED_DIRS,
+    PAIR_MAX_TOKENS,
 )
 
 PATH = ("'corpus/' || source || '/' || lang || '/doc_' || doc_id || "
@@ -178,6 +179,26 @@ def jaccard(a: str, b: str) -> str:
     return f"round({shared} / (len({x}) + len({y}) - {shared}), 6)"
 
 
+def capped_jaccard(a: str, b: str, cap: int) -> str:
+    """``jaccard`` of the first ``cap`` words of a pair, the first text going before the second."""
+    asked = f"list_slice({TOKENS.format(a)}, 1, {cap})"
+    found = f"list_slice({TOKENS.format(b)}, 1, greatest(0, {cap} - len({asked})))"
+    x, y = f"list_distinct({asked})", f"list_distinct({found})"
+    shared = f"len(list_intersect({x}, {y}))"
+    return f"round({shared} / (len({x}) + len({y}) - {shared}), 6)"
+
+
+def dealt(score: str) -> str:
+    """Best eight of the documents that a hash deals to each benchmark text."""
+    return f"""WITH pairs AS (
+              SELECT item_id AS query_id, doc_id, doc_id AS candidate_rank, {score} AS rerank_score
+              FROM documents d JOIN benchmark ON item_id =
+                ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT % (SELECT count(*) FROM benchmark))
+            SELECT query_id, row_number() OVER (
+                PARTITION BY query_id ORDER BY rerank_score DESC, candidate_rank) AS rank,
+              candidate_rank, rerank_score, doc_id FROM pairs QUALIFY rank <= 8"""
+
+
 def split_words(text: str) -> str:
     """Distinct lower-cased words between blanks."""
     parts = f"regexp_split_to_array(lower({text}), '\\s+')"
@@ -289,6 +310,8 @@ def oracle_sql() -> dict[str, str]:
         "file_stats": over_chunks(per_file),
         "file_stats_top": over_chunks(
             f"SELECT * FROM ({per_file}) ORDER BY chunk_count DESC, filepath LIMIT 1000"),
+        "file_stats_bottom": over_chunks(
+            f"SELECT * FROM ({per_file}) ORDER BY chunk_count, filepath LIMIT 1000"),
         "file_filter": over_chunks(
             f"SELECT * FROM ({per_file}) WHERE contains(lower(filepath), 'src1/en')"),
         "l2_normalize": f"""WITH {VECTORS}, scaled AS (
@@ -339,14 +362,8 @@ def oracle_sql() -> dict[str, str]:
                 PARTITION BY query_id ORDER BY rerank_score DESC, candidate_rank) AS rank,
               candidate_rank, score, rerank_score, id, filepath
             FROM pairs QUALIFY rank <= 8""",
-        "rerank": f"""WITH pairs AS (
-              SELECT item_id AS query_id, doc_id, doc_id AS candidate_rank,
-                {jaccard('benchmark.text', 'd.text')} AS rerank_score
-              FROM documents d LEFT JOIN labels USING (doc_id)
-                JOIN benchmark ON item_id = coalesce(quality, 2))
-            SELECT query_id, row_number() OVER (
-                PARTITION BY query_id ORDER BY rerank_score DESC, candidate_rank) AS rank,
-              candidate_rank, rerank_score, doc_id FROM pairs QUALIFY rank <= 8""",
+        "rerank": dealt(jaccard("benchmark.text", "d.text")),
+        "rerank_capped": dealt(capped_jaccard("benchmark.text", "d.text", PAIR_MAX_TOKENS)),
         "edited_paths": f"""SELECT CASE lang WHEN 'en' THEN 'Edit' ELSE 'MultiEdit' END AS tool_name,
             unnest({single}) AS filepath FROM documents WHERE lang IN ('en', 'fr')""",
         "stream_refresh": over_both(f""", moved AS ({moved})
@@ -360,4 +377,18 @@ def oracle_sql() -> dict[str, str]:
                 FROM chunks))"""),
         "map_legend": over_chunks("""SELECT language AS color, count(*) AS points
             FROM chunks GROUP BY language"""),
+        "map_legend_types": over_chunks("""SELECT node_type AS color, count(*) AS points
+            FROM chunks GROUP BY node_type"""),
+        "map_saved": over_chunks("SELECT count(*) AS total, 'PCA' AS method FROM chunks"),
+        "index_cleared": over_chunks("SELECT count(*) AS stored, 0::BIGINT AS left_over FROM chunks"),
+        "ann_ivf": f"""WITH {VECTORS}, {CENTROIDS},
+            placed AS (SELECT id, v, language, query_id AS cell FROM vecs, cents
+              QUALIFY row_number() OVER (PARTITION BY id ORDER BY {COSINE} DESC, query_id) = 1),
+            probes AS (SELECT a.query_id, a.qv, a.qlang, b.query_id AS cell FROM cents a, cents b
+              QUALIFY row_number() OVER (PARTITION BY a.query_id
+                ORDER BY list_dot_product(a.qv, b.qv) DESC, b.query_id) <= 4),
+            scored AS (SELECT query_id::BIGINT AS query_id, id, round({COSINE}, 6) AS score
+              FROM probes JOIN placed USING (cell) WHERE qlang IS NULL OR qlang = language)
+            SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank,
+              score, id FROM scored QUALIFY rank <= 40""",
     }

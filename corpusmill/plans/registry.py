@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +16,7 @@ from corpusmill.operators.projection import map_legend, map_points, pca_2d
 from corpusmill.operators.rerank import jaccard, model_scorer, rerank, search_end_to_end
 from corpusmill.operators.search import knn_search
 from corpusmill.plans import bindings as b
-from corpusmill.schema import DOCUMENT_MAX_TOKENS
+from corpusmill.schema import DOCUMENT_MAX_TOKENS, PAIR_MAX_TOKENS
 from corpusmill.session import shared_dir, spread
 from corpusmill.sources import events, files, snapshots
 
@@ -189,6 +191,10 @@ def file_stats_top(spark, d):
     return reports.file_stats_top(reports.file_stats(chunks_of(spark, d)))
 
 
+def file_stats_bottom(spark, d):
+    return reports.file_stats_top(reports.file_stats(chunks_of(spark, d)), ascending=True)
+
+
 def file_filter(spark, d):
     return reports.file_filter(reports.file_stats(chunks_of(spark, d)), "SRC1/En")
 
@@ -253,10 +259,11 @@ def knn_quantized(spark, d):
 
 
 def ann_ivf(spark, d):
-    index = b.vector_index(spark, d)
-    centers = ann.fit_cells(index, cells=8)
+    """Cells around the means of the labels, of which there are ten."""
+    index, asked = b.vector_index(spark, d), b.centroid_queries(spark, d)
+    centers = np.array([r["qvec"] for r in asked.orderBy("query_id").collect()])
     return ann.ann_ivf(
-        ann.assign_cells(index, centers), b.centroid_queries(spark, d), centers,
+        ann.assign_cells(index, centers), asked, centers,
         probes=4, with_rows=False)
 
 
@@ -318,17 +325,23 @@ def knn_text(spark, d):
 _HIT = ["query_id", "rank", "candidate_rank", "score", "rerank_score", "id", "filepath"]
 
 
+def _dealt_hits(spark, d):
+    """Every document as a candidate of one benchmark text, dealt by a hash; candidates rank by id."""
+    texts = b.table(spark, d, "benchmark").count()
+    number = F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 8), 16, 10).cast("long")
+    return spread(b.table(spark, d, "documents")).select(
+        F.pmod(number, F.lit(texts)).alias("query_id"), F.col("doc_id").alias("rank"), "text", "doc_id")
+
+
 def rerank_query(spark, d):
-    """Every document as a candidate of one benchmark text, picked by its quality.
+    return rerank(_dealt_hits(spark, d), b.benchmark_queries(spark, d), jaccard, 8).select(
+        "query_id", "rank", "candidate_rank", "rerank_score", "doc_id")
 
-    Documents without a label belong to the third text; candidates rank by id.
-    """
-    docs = spread(b.table(spark, d, "documents")).join(
-        b.table(spark, d, "labels"), "doc_id", "left")
-    hits = docs.select(
-        F.coalesce("quality", F.lit(2)).cast("long").alias("query_id"),
-        F.col("doc_id").alias("rank"), "text", "doc_id")
-    return rerank(hits, b.benchmark_queries(spark, d), jaccard, 8).select(
+
+def rerank_capped(spark, d):
+    """Pairs cut to a model's cap: the query first, then what it leaves of the text."""
+    scorer = partial(jaccard, max_tokens=PAIR_MAX_TOKENS)
+    return rerank(_dealt_hits(spark, d), b.benchmark_queries(spark, d), scorer, 8).select(
         "query_id", "rank", "candidate_rank", "rerank_score", "doc_id")
 
 
@@ -380,6 +393,28 @@ def legend(spark, d):
     return map_legend(_points(spark, d)).select("color", "points")
 
 
+def legend_types(spark, d):
+    return map_legend(_points(spark, d), "node_type").select("color", "points")
+
+
+def map_saved(spark, d):
+    """A map written, read back and counted."""
+    path = shared_dir(spark, "points")
+    snapshots.save_points(_points(spark, d), path)
+    return snapshots.points_summary(snapshots.load_points(spark, path))
+
+
+def index_cleared(spark, d):
+    """Rows of an index before and after it is cleared."""
+    path = shared_dir(spark, "cleared")
+    snapshots.save_index(maintenance.build_index(
+        b.document_files(spark, d), embedding.hashed(64), shards=4), path)
+    before = snapshots.read_index(spark, path).agg(F.count("*").alias("stored"))
+    snapshots.clear_index(spark, path)
+    after = snapshots.read_index(spark, path).agg(F.count("*").alias("left_over"))
+    return before.crossJoin(after)
+
+
 # Events
 
 
@@ -463,6 +498,7 @@ def queries() -> dict[str, Query]:
         "languages_by_size": languages_by_size,
         "file_stats": file_stats,
         "file_stats_top": file_stats_top,
+        "file_stats_bottom": file_stats_bottom,
         "file_filter": file_filter,
         "l2_normalize": l2_normalize,
         "mean_pool": mean_pool,
@@ -478,11 +514,15 @@ def queries() -> dict[str, Query]:
         "embed_model": embed_model,
         "knn_text": knn_text,
         "rerank": rerank_query,
+        "rerank_capped": rerank_capped,
         "rerank_model": rerank_model,
         "search_end_to_end": search,
         "pca_2d": pca,
         "map_points": points,
         "map_legend": legend,
+        "map_legend_types": legend_types,
+        "map_saved": map_saved,
+        "index_cleared": index_cleared,
         "edited_paths": edited_paths,
         "stream_refresh": stream_refresh,
     }
