@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.functions import vectors as vx
 from corpusmill.operators import ann, embedding, projection, search
-from corpusmill.operators.rerank import model_scorer, rerank, search_end_to_end
+from corpusmill.operators.rerank import model_scorer, rerank
 
 RNG = np.random.default_rng(7)
 N, DIM, Q = 600, 16, 9
@@ -95,7 +95,7 @@ def test_more_results_than_candidates(index, queries, spark):
     texts = index.withColumn("text", F.col("id"))
     asked = queries.select("query_id", F.lit("some words").alias("query"))
     hits = search.knn_search(index, queries, 4, with_rows=False).join(texts.select("id", "text"), "id")
-    assert rerank(hits, asked, n=9).count() == 4 * queries.count()
+    assert rerank(hits, asked, n=9).count() == hits.count() > 4
 
 
 def test_bad_arguments(index, queries, spark):
