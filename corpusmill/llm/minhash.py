@@ -217,8 +217,12 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = TH
 
     members = stars.select("key", F.col("b").alias("node")).join(first, "node", "left").select(
         "key", "node", F.coalesce("component", "node").alias("component"))
-    mixed = members.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y")
-    open_nodes = members.join(mixed.select("key"), "key", "left_semi")
+    # Of keys with the same nodes, as most keys of two near documents are, one is searched.
+    mixed = members.groupBy("key").agg(
+        F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n"),
+        F.bit_xor(F.xxhash64("node")).alias("one"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("two")).filter("x <> y")
+    searched = mixed.groupBy("n", "one", "two").agg(F.min("key").alias("key"))
+    open_nodes = members.join(searched.select("key"), "key", "left_semi")
     more = written(_tile_links(open_nodes, sets, threshold, block), "minhash-more")
     found = components(links.union(more).union(_shared_ids(same)))
     return _labelled(signed, same, found)
