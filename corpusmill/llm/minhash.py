@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm import hashing as hs
 from corpusmill.llm.components import components
-from corpusmill.llm.tables import written
+from corpusmill.llm.tables import discard, written
 
 BANDS, ROWS = 32, 4
 SHINGLE = 5
@@ -225,6 +225,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = TH
     open_nodes = members.join(searched.select("key"), "key", "left_semi")
     more = written(_tile_links(open_nodes, sets, threshold, block), "minhash-more")
     found = components(links.union(more).union(_shared_ids(same)))
+    discard(stars, best, ids, sets, links, first, more)
     return _labelled(signed, same, found)
 
 

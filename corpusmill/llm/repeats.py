@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm import hashing as hs
 from corpusmill.llm.run_index import RunIndex
-from corpusmill.llm.tables import written
+from corpusmill.llm.tables import discard, written
 
 LENGTH = 50
 GRAM = 20
@@ -362,6 +362,7 @@ class Repeats:
             .unionByName(indexed.select("batch", none.cast("int").alias("bucket"), "one", "two", none.cast("array<long>").alias("places")))
             .unionByName(held.select("batch", none.cast("int").alias("bucket"), none.cast("binary").alias("one"), none.cast("binary").alias("two"), "places")),
             "repeats-found")
+        discard(answers, contexts)
 
     def _apply(self, make, schema) -> DataFrame:
         length, buckets = self.length, self.buckets
