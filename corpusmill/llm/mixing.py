@@ -31,8 +31,8 @@ SHARD_WORDS = 20_000_000
 BLOCK_WORDS = 500_000
 BLOCK_DOCS = 50_000
 SEED = 20
-#: Block tables up to this many rows (about 60 bytes each) are sent to the documents.
-MAX_BROADCAST_BLOCKS = 500_000
+#: Block and source tables up to this many rows (about 100 bytes each) are sent to the documents.
+MAX_BROADCAST_ROWS = 300_000
 #: Matches the bytes between words.
 _WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -192,7 +192,7 @@ class Plan:
             .withColumn("source_no", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("source").asc_nulls_last())))
             .withColumn("block_count", (F.ceil(F.col("source_size") / block_words) + F.floor(F.col("docs") / BLOCK_DOCS)).cast("long"))
             .withColumn("block_count", F.greatest(F.col("block_count"), F.lit(1).cast("long"))).checkpoint())
-        taken = self.sources.agg(F.coalesce(F.sum("target"), F.lit(0.0))).first()[0]
+        taken, self.source_count = self.sources.agg(F.coalesce(F.sum("target"), F.lit(0.0)), F.count("*")).first()
         self.shards = shards or max(1, -(-int(taken) // shard_words))
         self.draws = self._draws(sizes).checkpoint()
         self.draw_count = self.draws.count()
@@ -201,6 +201,8 @@ class Plan:
         """Sized documents with the number of their source and their block."""
         known = self.sources.select(F.col("source").alias("mix_source"), "source_no", "block_count",
                                     F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"))
+        if self.source_count <= MAX_BROADCAST_ROWS:
+            known = F.broadcast(known)
         return (docs.join(known, F.col("source").eqNullSafe(F.col("mix_source"))).drop("mix_source")
                 .withColumn("block", F.pmod(F.xxhash64(F.lit(self.seed + 1), "mix_hash"), "block_count")).drop("block_count"))
 
@@ -236,7 +238,7 @@ class Plan:
     def copies(self, docs: DataFrame) -> DataFrame:
         """One row per copy taken: the columns of ``placed`` with mix_epoch and mix_shard."""
         draws = self.draws.select("source_no", "block", F.col("epoch").alias("mix_epoch"), F.col("shard").alias("mix_shard"), "room")
-        if self.draw_count <= MAX_BROADCAST_BLOCKS:
+        if self.draw_count <= MAX_BROADCAST_ROWS:
             draws = F.broadcast(draws)
         rows = docs.join(draws, ["source_no", "block"])
         line = Window.partitionBy("source_no", "block", "mix_epoch").orderBy(
