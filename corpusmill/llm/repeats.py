@@ -39,7 +39,7 @@ LENGTH = 50
 GRAM = 20
 BATCH_BYTES = 2 << 20
 BUCKET_UNITS = 400_000  # units of a bucket, on average
-INDEX_BYTES = 3 << 20  # bytes of a run-length index, on average
+INDEX_BYTES = 1 << 20  # bytes of a run-length index, on average
 #: Anchors with more different units than this, in a batch or in all, are split by window.
 BATCH_FORMS, ALL_FORMS = 8, 64
 #: Windows of a piece of text, small enough to stay in the processor's cache, and bits to count them.
@@ -347,7 +347,7 @@ class Repeats:
         self.buckets = max(64, -(-total // (16 * BUCKET_UNITS)))
         answers = written(_told(self.packed, length, self.buckets).groupBy("bucket").applyInArrow(_answered, _ANSWER), "repeats-answers")
         asked = answers.agg(F.coalesce(F.sum(F.octet_length("ask")), F.lit(0))).first()[0] // 4
-        groups = max(64, -(-asked * (length + 16) // INDEX_BYTES))
+        groups = max(128, -(-asked * (length + 16) // INDEX_BYTES))
         contexts = written(self.packed.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(
             _contexts(length, self.buckets, groups), _CONTEXT), "repeats-contexts")
         indexed = contexts.filter("group is not null").select("group", "batch", "entries", "docs", "sizes", "places_of", "body").groupBy(

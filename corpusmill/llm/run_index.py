@@ -46,7 +46,7 @@ def suffix_order(text: np.ndarray, left: np.ndarray, owner: np.ndarray) -> tuple
         second = np.zeros(n, np.int64)
         second[:max(0, n - have)] = rank[have:] + 1
         key = rank * (n + 1) + second
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         new[1:] = key[order][1:] != key[order][:-1]
         rank, have = ranked(order, new), 2 * have
         ranks.append((have, rank))
