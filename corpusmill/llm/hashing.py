@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 19
 
 #: Odd, so that it has an inverse modulo 2**64.
 _STEP = 0x9E3779B97F4A7C15

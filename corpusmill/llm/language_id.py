@@ -33,7 +33,7 @@ PENALTY = 1e-4
 MIN_SCORE = 0.5
 UNKNOWN = "und"
 #: Characters taken at once; a longer line is taken whole.
-PIECE_CHARS = 1_000_000
+PIECE_CHARS = 200_000
 
 
 def in_training(doc_id: Column) -> Column:
