@@ -149,10 +149,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
             .select("a", "b", "one", "two", "sign_one", "sign_two").mapInArrow(task, "a long, b long"))
 
 
-def _tile_links(open_nodes: DataFrame, sets: DataFrame, threshold: int, block: int) -> DataFrame:
-    """Links between the nodes of each key, from block pairs; open_nodes: key, node, component."""
-    counted = open_nodes.groupBy("key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    placed = (open_nodes.join(counted, "key")
+def _tile_links(open_nodes: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Links between the nodes of each key, from block pairs; open_nodes: key, node, component, blocks."""
+    placed = (open_nodes
               .withColumn("own", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
               .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
               .select("key", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
@@ -222,8 +221,9 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = TH
         F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n"),
         F.bit_xor(F.xxhash64("node")).alias("one"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("two")).filter("x <> y")
     searched = mixed.groupBy("n", "one", "two").agg(F.min("key").alias("key"))
-    open_nodes = members.join(searched.select("key"), "key", "left_semi")
-    more = written(_tile_links(open_nodes, sets, threshold, block), "minhash-more")
+    # The count per key comes with it: no later step needs a key's nodes in one task.
+    open_nodes = members.join(searched.select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "key")
+    more = written(_tile_links(open_nodes, sets, threshold), "minhash-more")
     found = components(links.union(more).union(_shared_ids(same)))
     discard(stars, best, ids, sets, links, first, more)
     return _labelled(signed, same, found)
