@@ -1,19 +1,23 @@
-"""Benchmark leaks: rare n-gram seeds find candidates, Smith-Waterman alignment scores them.
+"""Benchmark leaks: rare words of the items find candidates, Smith-Waterman alignment scores them.
 
 The test items are the query set: they are taken in blocks of bounded bytes, each block
-against all documents. Per block, a first pass counts in how many documents each word
-n-gram of the items occurs. Of every ``every`` consecutive n-grams of an item the one
-found in the fewest documents becomes a seed, so each stretch of ``gram + every - 1``
-unchanged words of an item holds a seed, however often the item was copied. A second
-pass looks the seeds up in the documents and aligns the item with the words around
-them, in the task that read the document: no shuffle, and nothing grows with copies.
+against all documents. An alignment that reaches ``min_score`` matches at least that
+share of an item's words, and no text longer than the item and the gaps this score
+allows. So of ``n`` words at most ``n - least`` are unmatched, where ``least`` words must match, and of any
+``n - least + k`` of them ``k`` or more stand in the leaked passage, however it was edited.
+Per block, a first pass counts how often each word of the items occurs; the rarest of an
+item become its seeds. A second pass looks the seeds up in the documents and aligns the
+item with every passage that holds ``k`` of them, and ``least`` of its words, close enough to
+each other. Both happen in the task that read the document: no shuffle, and nothing grows with copies.
 
 Words are runs of ASCII letters, digits and non-ASCII characters, lower-cased.
 """
 
 from __future__ import annotations
 
-from collections import defaultdict
+import math
+from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,34 +27,29 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm import hashing as hs
 
-GRAM = 3
-EVERY = 4
 MATCH, MISMATCH, GAP = 2, -1, -1
 MIN_SCORE = 0.6  # of the score of a verbatim copy
+SEEDS_A_HIT = 10  # one seed more is asked for, and taken, for so many words of an item
 BLOCK_BYTES = 4 << 20  # of item texts sent to the tasks at once
+SLICE_HITS = 1 << 20  # hits of whole documents that are sorted at once
 _BITS = 20
 
 
-class Seeds:
-    """n-gram hashes of one size, looked up through a bitmap and then exactly."""
+class Lookup:
+    """Word hashes, looked up through a bitmap and then exactly."""
 
-    def __init__(self, size: int, hashes: np.ndarray):
-        self.size = size
+    def __init__(self, hashes: np.ndarray):
         self.hashes = np.unique(hashes)
         self.bitmap = np.zeros(1 << _BITS, dtype=bool)
         self.bitmap[self.hashes >> np.uint64(64 - _BITS)] = True
 
-    def find(self, word_hashes: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(document, word position, index of the hash) of every hit within a document."""
-        grams = hs.grams(word_hashes, self.size)
-        at = np.flatnonzero(self.bitmap[grams >> np.uint64(64 - _BITS)])
-        index = np.searchsorted(self.hashes, grams[at])
+    def find(self, word_hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(word position, index of the hash) of every hit."""
+        at = np.flatnonzero(self.bitmap[word_hashes >> np.uint64(64 - _BITS)])
+        index = np.searchsorted(self.hashes, word_hashes[at])
         index[index == len(self.hashes)] = 0
-        good = self.hashes[index] == grams[at]
-        at, index = at[good], index[good]
-        doc = np.searchsorted(bound, at, side="right") - 1
-        good = at + self.size <= bound[doc + 1]
-        return doc[good], at[good], index[good]
+        good = self.hashes[index] == word_hashes[at] if len(self.hashes) else np.zeros(0, dtype=bool)
+        return at[good], index[good]
 
 
 def align(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
@@ -97,81 +96,113 @@ def _item_words(items: list) -> list[np.ndarray]:
 class Matcher:
     """The items of a block with their seeds; made on the driver, used in the tasks."""
 
-    def __init__(self, words: list[np.ndarray], gram: int, every: int, min_score: float):
-        self.words, self.gram, self.every, self.min_score = words, gram, every, min_score
-        self.grams = [hs.grams(w, min(gram, len(w))) if len(w) else w for w in words]
-        sizes = defaultdict(list)
-        for w, g in zip(words, self.grams, strict=True):
-            if len(w):
-                sizes[min(gram, len(w))].append(g)
-        self.tables = [Seeds(size, np.concatenate(x)) for size, x in sorted(sizes.items())]
-        self.places: dict[tuple[int, int], list[int]] = {}
-
-    def counts(self, column: pa.Array) -> dict[tuple[int, int], int]:
-        """In how many of the texts each n-gram occurs."""
-        found: dict[tuple[int, int], int] = defaultdict(int)
-        for _, hashes, bound in _text_words(column):
-            for table in self.tables:
-                doc, _, index = table.find(hashes, bound)
-                pair = np.unique(doc * len(table.hashes) + index) % max(1, len(table.hashes))
-                for i, n in zip(*np.unique(pair, return_counts=True), strict=True):
-                    found[table.size, int(table.hashes[i])] += int(n)
+    def __init__(self, words: list[np.ndarray], min_score: float):
+        self.words, self.min_score = words, min_score
+        self.size = np.array([len(w) for w in words], np.int64)
+        self.least = np.array([max(1, math.ceil(min_score * n - 1e-9)) for n in self.size], np.int64)
+        #: Gaps in the item that an alignment of all its words can afford.
+        self.gaps = np.array([max(0, math.floor((1 - min_score) * MATCH * n / -GAP + 1e-9)) for n in self.size], np.int64)
+        self.asked = np.minimum(np.maximum(1, self.size // SEEDS_A_HIT), self.least)
+        self.seeds = Lookup(np.concatenate([np.zeros(0, np.uint64), *words]))
+        self.first = self.item = self.place = np.zeros(0, np.int64)
+
+    def counts(self, column: pa.Array) -> dict[int, int]:
+        """How often each word of the items occurs in the texts."""
+        found: Counter[int] = Counter()
+        for _, hashes, _ in _text_words(column):
+            index, n = np.unique(self.seeds.find(hashes)[1], return_counts=True)
+            found.update(dict(zip(self.seeds.hashes[index].tolist(), n.tolist(), strict=True)))
         return found
 
-    def choose(self, frequency: dict[tuple[int, int], int]) -> None:
-        """Keep as seeds the rarest of every ``every`` consecutive n-grams of an item."""
-        places = defaultdict(set)
-        for k, (w, g) in enumerate(zip(self.words, self.grams, strict=True)):
-            size = min(self.gram, len(w))
-            count = [frequency.get((size, int(h)), 0) for h in g]
-            for i in range(max(1, len(g) - self.every + 1) if len(g) else 0):
-                window = range(i, min(i + self.every, len(g)))
-                j = min(window, key=lambda x: (count[x], x))
-                places[size, int(g[j])].add((k, j))
-        self.places = {key: sorted(x) for key, x in places.items()}
-        self.tables = [Seeds(size, np.array([h for s, h in places if s == size], np.uint64))
-                       for size in sorted({s for s, _ in places})]
+    def choose(self, frequency: dict[int, int]) -> None:
+        """Keep as seeds so many of the rarest words of an item that each leak holds ``asked`` of them."""
+        seeds = []
+        for k, w in enumerate(self.words):
+            order = sorted(range(len(w)), key=lambda j: (frequency.get(int(w[j]), 0), j))
+            seeds += [(int(w[j]), k, j) for j in order[:max(0, len(w) - int(self.least[k]) + int(self.asked[k]))]]
+        seeds.sort()
+        self.seeds = Lookup(np.array([x[0] for x in seeds], np.uint64))
+        self.first = np.searchsorted(np.array([x[0] for x in seeds], np.uint64), self.seeds.hashes)
+        self.first = np.append(self.first, len(seeds)).astype(np.int64)
+        self.item, self.place = (np.array([x[i] for x in seeds], np.int64) for i in (1, 2))
 
     def hits(self, column: pa.Array) -> list[tuple[int, int, float, int, int]]:
         """(row, item, score, first word, word after the last): the best place of each leak."""
         out = []
         for row, hashes, bound in _text_words(column):
-            seeds = defaultdict(list)
-            for table in self.tables:
-                for doc, at, index in zip(*table.find(hashes, bound), strict=True):
-                    for item, j in self.places[table.size, int(table.hashes[index])]:
-                        seeds[int(doc), item].append(int(at - bound[doc]) - j)
-            for (doc, item), starts in seeds.items():
-                own, words = hashes[bound[doc]:bound[doc + 1]], self.words[item]
-                best = (0.0, 0, 0)
-                for low, high in _regions(sorted(set(starts)), len(words), len(own)):
-                    text = own[low:high]
-                    if np.isin(words, text).sum() < self.min_score * len(words):
-                        continue  # so few of its words are there that no alignment can do
-                    score, first, last = located(words, text)
-                    best = max(best, (score / (MATCH * len(words)), -low - first, low + last))
+            for doc, item, low, high in self._passages(hashes, bound):
+                own, words, best = hashes[bound[doc]:bound[doc + 1]], self.words[item], (0.0, 0, 0)
+                for a, b in _joined(low, high):
+                    for begin, end in self._dense(own, item, max(0, a), min(len(own), b)):
+                        score, first, last = located(words, own[begin:end])
+                        best = max(best, (score / (MATCH * len(words)), -begin - first, begin + last))
                 if best[0] >= self.min_score:
                     out.append((row + doc, item, best[0], -best[1], best[2]))
         return out
 
-
-def _regions(starts: list[int], length: int, most: int):
-    """Stretches of a text around presumed item starts, joined where they overlap."""
-    pad = length // 2 + 4
-    low = high = None
-    for start in starts:
-        a, b = max(0, start - pad), min(most, start + length + pad)
-        if low is not None and a <= high:
-            high = max(high, b)
-            continue
-        if low is not None:
-            yield low, high
-        low, high = a, b
-    if low is not None:
-        yield low, high
-
-
-def _matchers(docs: DataFrame, items: DataFrame, gram: int, every: int, min_score: float, block_bytes: int):
+    def _passages(self, hashes: np.ndarray, bound: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """(document, item, first words, words after the last) of stretches that hold enough seeds."""
+        at, index = self.seeds.find(hashes)
+        doc = np.searchsorted(bound, at, side="right") - 1
+        times = self.first[index + 1] - self.first[index]
+        total = np.cumsum(times)
+        begin = 0
+        while begin < len(at):
+            end = int(np.searchsorted(total, total[begin] + SLICE_HITS))
+            end = int(np.searchsorted(doc, doc[min(max(end, begin + 1), len(at)) - 1], side="right"))
+            part = slice(begin, end)
+            n = times[part]
+            entry = np.repeat(self.first[index[part]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            yield from self._close(np.repeat(doc[part], n), self.item[entry], np.repeat(at[part], n) - bound[np.repeat(doc[part], n)],
+                                   self.place[entry])
+            begin = end
+
+    def _close(self, doc: np.ndarray, item: np.ndarray, at: np.ndarray, place: np.ndarray):
+        pair = doc * len(self.words) + item
+        order = np.lexsort((at, pair))
+        pair, item, at, place = pair[order], item[order], at[order], place[order]
+        new = np.ones(len(pair), dtype=bool)
+        new[1:] = (pair[1:] != pair[:-1]) | (at[1:] != at[:-1])
+        own = np.flatnonzero(new)  # a text position counts once
+        asked, spot = self.asked[item[own]], np.arange(len(own))
+        last = np.minimum(spot + asked - 1, len(own) - 1)
+        good = ((spot + asked <= len(own)) & (pair[own][last] == pair[own])
+                & (at[own][last] - at[own] < (self.size + self.gaps)[item[own]]))
+        step = np.zeros(len(own) + 1, np.int64)
+        np.add.at(step, spot[good], 1)
+        np.add.at(step, (spot + asked)[good], -1)
+        live = np.flatnonzero((np.cumsum(step)[:-1] > 0)[np.cumsum(new) - 1])
+        pair, item = pair[live], item[live]
+        low = at[live] - place[live] - self.gaps[item]
+        high = at[live] - place[live] + self.size[item] + self.gaps[item]
+        cut = np.append(np.flatnonzero(np.append(True, pair[1:] != pair[:-1])), len(pair)) if len(pair) else [0]
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
+            yield int(pair[a]) // len(self.words), int(item[a]), low[a:b], high[a:b]
+
+    def _dense(self, own: np.ndarray, item: int, low: int, high: int) -> Iterator[tuple[int, int]]:
+        """Stretches within own[low:high] that hold as many words of the item as an alignment must match."""
+        words, least, span = self.words[item], int(self.least[item]), int(self.size[item] + self.gaps[item])
+        at = np.flatnonzero(np.isin(own[low:high], words))
+        if len(at) < least or np.isin(words, own[low:high]).sum() < least:
+            return
+        start = at[:len(at) - least + 1]
+        start = start[at[least - 1:] - start < span] + low
+        for begin, end in _joined(start, start + span):
+            yield begin, min(high, end)
+
+
+def _joined(low: np.ndarray, high: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Stretches of a text in order, joined where they meet."""
+    if not len(low):
+        return
+    order = np.argsort(low, kind="stable")
+    low, high = low[order], np.maximum.accumulate(high[order])
+    cut = np.flatnonzero(low[1:] > high[:-1]) + 1
+    for a, b in zip(np.append(0, cut), np.append(cut, len(low)), strict=True):
+        yield int(low[a]), int(high[b - 1])
+
+
+def _matchers(docs: DataFrame, items: DataFrame, min_score: float, block_bytes: int):
     """(item ids, matcher) per block of items; one counting pass over the documents each."""
     texts = docs.select(F.col("text").cast("string").alias("text"))
     asked = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null").distinct()
@@ -180,28 +211,25 @@ def _matchers(docs: DataFrame, items: DataFrame, gram: int, every: int, min_scor
     for k in range(blocks):
         # Of bounded size: the hash deals the items evenly over the blocks.
         own = asked.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
-        matcher = Matcher(_item_words(own), gram, every, min_score)
+        matcher = Matcher(_item_words(own), min_score)
 
         def count(batches, matcher=matcher):
             for batch in batches:
                 found = matcher.counts(batch.column(0))
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([s for s, _ in found], pa.int32()),
-                    pa.array(np.array([h for _, h in found], np.uint64).view(np.int64)),
-                    pa.array(found.values(), pa.int64())], names=["size", "hash", "n"])
+                    pa.array(np.array(list(found), np.uint64).view(np.int64)), pa.array(found.values(), pa.int64())], names=["hash", "n"])
 
-        rows = (texts.mapInArrow(count, "size int, hash long, n long").groupBy("size", "hash").agg(F.sum("n").alias("n"))
+        rows = (texts.mapInArrow(count, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
                 .collect() if any(len(w) for w in matcher.words) else [])
-        matcher.choose({(r["size"], r["hash"] % (1 << 64)): r["n"] for r in rows})
+        matcher.choose({r["hash"] % (1 << 64): r["n"] for r in rows})
         yield [x["item_id"] for x in own], matcher
 
 
-def leaks(docs: DataFrame, items: DataFrame, gram: int = GRAM, every: int = EVERY, min_score: float = MIN_SCORE,
-          block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, min_score: float = MIN_SCORE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, item_id, score, first_word, end_word) of each document that holds a test item.
 
     ``score`` is the best local alignment score (match 2, mismatch and gap -1) over that
-    of a verbatim copy; pairs below ``min_score`` are left out. Word positions count the
+    of a verbatim copy; all pairs that reach ``min_score`` are found, the others left out. Word positions count the
     words of the document; of equal scores the last end wins. Null or empty texts and
     items without words match nothing; items repeated with the same id and text count
     once; each document row is answered for itself, also with a null or repeated doc_id.
@@ -210,7 +238,7 @@ def leaks(docs: DataFrame, items: DataFrame, gram: int = GRAM, every: int = EVER
     schema = "doc_id long, item_id long, score double, first_word long, end_word long"
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     result = None
-    for ids, matcher in _matchers(docs, items, gram, every, min_score, block_bytes):
+    for ids, matcher in _matchers(docs, items, min_score, block_bytes):
 
         def search(batches, ids=ids, matcher=matcher):
             for batch in batches:
@@ -226,11 +254,10 @@ def leaks(docs: DataFrame, items: DataFrame, gram: int = GRAM, every: int = EVER
     return result
 
 
-def without_leaks(docs: DataFrame, items: DataFrame, gram: int = GRAM, every: int = EVERY,
-                  min_score: float = MIN_SCORE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def without_leaks(docs: DataFrame, items: DataFrame, min_score: float = MIN_SCORE, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents that hold no test item, with all their columns; no shuffle."""
     column = docs.columns.index("text")
-    for _, matcher in _matchers(docs, items, gram, every, min_score, block_bytes):
+    for _, matcher in _matchers(docs, items, min_score, block_bytes):
 
         def clean(batches, matcher=matcher):
             for batch in batches:

@@ -97,3 +97,30 @@ def test_benchmark_passages_in_documents(real):
     verbatim = {(d.doc_id, i.item_id) for d in texts for i in items if i.text in d.text}
     got = {(r.doc_id, r.item_id) for r in leaks(real("documents"), real("benchmark")).collect()}
     assert verbatim and verbatim <= got
+
+
+def edited(rng, words, source, kind):
+    if kind in (4, 5, 6):  # one word in so many is another
+        return [rng.choice(words) if k % kind == rng.randrange(2) else w for k, w in enumerate(source)]
+    if kind == "between":  # a word after most words, which leaves no two neighbours
+        return [x for k, w in enumerate(source) for x in ([w, "more"] if k % 5 else [w])]
+    if kind == "gone":
+        return [w for k, w in enumerate(source) if k % 5 != 2]
+    return source[:len(source) * 2 // 3]
+
+
+def test_every_alignment_above_the_bound_is_found(spark, docs):
+    """All pairs against the full table, for copies without a run of six unchanged words."""
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(400)]
+    items = [(i, [rng.choice(words) for _ in range(n)]) for i, n in enumerate([2, 3, 5, 8, 12, 20, 24, 36])]
+    rows = []
+    for kind in (4, 5, 6, "between", "gone", "part"):
+        for item, source in items:
+            own = [rng.choice(words) for _ in range(20)] + edited(rng, words, source, kind) + [rng.choice(words) for _ in range(20)]
+            rows.append((len(rows), own))
+    got = {(r.doc_id, r.item_id): r.score for r in leaks(
+        docs([(d, " ".join(x)) for d, x in rows]), spark.createDataFrame([(i, " ".join(x)) for i, x in items], ITEMS)).collect()}
+    want = {(d, i): plain_score(x, text) / (MATCH * len(x)) for d, text in rows for i, x in items}
+    assert got == {key: score for key, score in want.items() if score >= 0.6}
+    assert len(got) > 30
