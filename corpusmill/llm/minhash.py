@@ -209,7 +209,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, threshold: int = TH
     stars = written(keyed.join(heads, "key").select("key", F.col("node").alias("b"), "a"), "minhash-keys")
     pairs = stars.filter("a <> b").groupBy("b", "a").agg(F.count("*").alias("n"))
     best = written(pairs.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")), "minhash-best")
-    ids = written(best.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "minhash-ids")
+    # Every node that shares a key: step 5 also compares those that are in no best pair.
+    ids = written(stars.select(F.col("b").alias("node")).distinct(), "minhash-ids")
     sets = written(full_sets(docs, ids, shingle).join(named.select("node", "signature"), "node"), "minhash-sets")
     links = written(_verified(best, sets, threshold), "minhash-links")
     first = written(components(links), "minhash-first")

@@ -100,3 +100,23 @@ def test_components_of_a_chain_and_a_star(spark):
 
 def test_components_without_edges(spark):
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_a_node_that_heads_its_keys_and_no_best_pair(docs):
+    """Two edits of a text that share no band with each other, each with the text: all three belong together.
+
+    The seeds are families whose text shares as many or more bands with the first edit,
+    so the second, the least of all its keys, is in nobody's best pair.
+    """
+    rows = []
+    for seed in (816, 2443, 3328, 3438, 3636, 4175, 4998, 5209, 6865, 7371, 8411):
+        rng = random.Random(seed)
+        base = [f"w{rng.randrange(10**6)}" for _ in range(94)]
+        for _ in range(2):
+            text = list(base)
+            for k in rng.sample(range(94), 2):
+                text[k] = f"x{rng.randrange(10**6)}"
+            rows.append((len(rows), " ".join(text)))
+        rows.append((len(rows), " ".join(base)))
+    got = {r.doc_id: r.component_id for r in near_duplicates(docs(rows)).collect()}
+    assert got == brute(rows, 5) == {i: i - i % 3 for i in range(len(rows))}
