@@ -1,15 +1,20 @@
-"""License notices by conditional compression.
+"""License notices by their decisive words, word by word, and by conditional compression.
 
-Lines with a word that licenses use, and their neighbours, form candidate blocks. A block
-is compressed alone and with each template as a raw dictionary; the templates are ranked
-by the size they save. The best ones are then compared word by word: a template is
-confirmed if enough of its words stand in the block in order and none of its decisive
-words (name, version) differs. The differing words are reported exactly.
+Every template is compared word by word with the surroundings of each place where its
+decisive words (name, version) stand: it is confirmed if enough of its words are there
+in order and no decisive word differs. The confirmed place with most words is taken, its words are
+removed, and so on until none is confirmed. The differing words are reported exactly.
+
+Lines with a word that licenses use, and their neighbours, form candidate blocks. One that
+touches no confirmed place is compressed alone and with each template as a raw
+dictionary, and the template that saves most is reported as the nearest.
 """
 
 from __future__ import annotations
 
+import heapq
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 from difflib import SequenceMatcher
@@ -74,7 +79,9 @@ _CUE = re.compile(CUES)
 _WORD = re.compile(r"[^\s\"'(),;:]*[^\s\"'(),;:.]")
 #: Lines between cues of one block; characters kept of a line around a cue.
 GAP_LINES, LINE_REACH = 3, 1000
-RANKED, MIN_SIMILARITY = 3, 0.8
+MIN_SIMILARITY = 0.8
+#: Words looked at on each side of a template's expected place, besides as many as it has.
+SLACK = 8
 
 
 def words(text: str) -> list[str]:
@@ -100,18 +107,20 @@ def blocks(text: str) -> Iterator[tuple[int, int]]:
         yield start, end
 
 
-def compare(template: list[str], block: list[str]) -> tuple[float, list[str], set[int]]:
-    """(share of the template found in order, differences within it, matched template words)."""
+def compare(template: list[str], block: list[str | None]) -> tuple[float, list[str], dict[int, int]]:
+    """(share of the template found in order, differences within it, place in the block of each matched template word).
+
+    None stands for a word that another template has taken."""
     matched = [m for m in SequenceMatcher(None, template, block, autojunk=False).get_matching_blocks() if m.size]
     if not matched:
-        return 0.0, [], set()
+        return 0.0, [], {}
     differences, i, j = [], 0, matched[0].b
     for m in matched:
         for sign, part in (("-", template[i:m.a]), ("+", block[j:m.b])):
-            differences += [sign + w for w in part]
+            differences += [sign + w for w in part if w is not None]
         i, j = m.a + m.size, m.b + m.size
     differences += ["-" + w for w in template[i:]]
-    places = {m.a + k for m in matched for k in range(m.size)}
+    places = {m.a + k: m.b + k for m in matched for k in range(m.size)}
     return len(places) / len(template), differences, places
 
 
@@ -132,27 +141,74 @@ class Scanner:
         size = len(self.plain.compress(data))
         return sorted(((size - len(c.compress(data)), k) for k, c in enumerate(self.with_template)), key=lambda x: (-x[0], x[1]))
 
+    def confirmed(self, text: str) -> list[tuple]:
+        """(start, end, template, similarity, differences) of each confirmed template, in order and apart."""
+        low = text.lower()
+        possible = [k for k, t in enumerate(self.templates) if all(w in low for w in t.decisive)]
+        if not possible:
+            return []
+        spans = [m.span() for m in _WORD.finditer(text)]
+        tokens: list[str | None] = [text[a:b].lower() for a, b in spans]
+        wanted = {w for k in possible for w in self.templates[k].decisive}
+        at = defaultdict(list)
+        for p, w in enumerate(tokens):
+            if w in wanted:
+                at[w].append(p)
+        heap: list[tuple] = []
+
+        def judge(k: int, p: int) -> None:
+            """Queue the template if it is confirmed around the word at p."""
+            own, decisive = self.words[k], self.templates[k].decisive
+            places = [i for i, w in enumerate(own) if w == tokens[p]]
+            reach = len(own) + SLACK
+            first = max(0, p - places[-1] - reach)
+            window = tokens[first:p - places[0] + len(own) + reach]
+            if not set(decisive) <= set(window):
+                return
+            similarity, differences, found = compare(own, window)
+            if similarity >= MIN_SIMILARITY and all(any(own[i] == w for i in found) for w in decisive):
+                taken = sorted(first + j for j in found.values())
+                heapq.heappush(heap, (-len(found), len(differences), taken[0], k, p, taken, similarity, differences))
+
+        for k in possible:
+            for p in at[min(self.templates[k].decisive, key=lambda w: len(at[w]))]:
+                judge(k, p)
+        rows, used = [], set()
+        while heap:
+            _, _, _, k, p, taken, similarity, differences = heapq.heappop(heap)
+            if used.isdisjoint(taken):
+                used.update(taken)
+                for j in taken:
+                    tokens[j] = None
+                end = spans[taken[-1]][1]
+                while end < len(text) and not text[end].isspace():
+                    end += 1
+                rows.append((spans[taken[0]][0], end, k, similarity, differences))
+            elif tokens[p] is not None:
+                judge(k, p)
+        return sorted(rows, key=lambda x: x[:3])
+
     def scan(self, text: str) -> Iterator[tuple]:
-        """(start, end, license, template, saved, similarity, differences) per block; license None if none is confirmed."""
+        """(start, end, license, template, saved, similarity, differences) per confirmed template, or block without one (license None)."""
+        rows = []
+        places = self.confirmed(text)
+        for start, end, k, similarity, differences in places:
+            saved = dict((j, x) for x, j in self.ranked(text[start:end]))[k]
+            rows.append((start, end, self.templates[k].license, self.templates[k].name, saved, similarity, differences))
         for start, end in blocks(text):
-            found = words(text[start:end])
-            best = None
-            for saved, k in self.ranked(text[start:end])[:RANKED]:
-                similarity, differences, places = compare(self.words[k], found)
-                decisive = all(any(self.words[k][i] == w for i in places) for w in self.templates[k].decisive)
-                good = decisive and similarity >= MIN_SIMILARITY
-                if best is None or (good, good * similarity * len(self.words[k])) > best[0]:
-                    best = ((good, good * similarity * len(self.words[k])), saved, k, similarity, differences)
-            (good, _), saved, k, similarity, differences = best
-            yield (start, end, self.templates[k].license if good else None, self.templates[k].name if good else None,
-                   saved, similarity, differences)
+            if not any(a < end and start < b for a, b, *_ in places):
+                saved, k = self.ranked(text[start:end])[0]
+                similarity, differences, _ = compare(self.words[k], words(text[start:end]))
+                rows.append((start, end, None, None, saved, similarity, differences))
+        yield from sorted(rows, key=lambda x: x[:2])
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
-    """One row per candidate block: doc_id, start, end (code points), license, template, saved_bytes, similarity, differences.
+    """One row per confirmed template, and per candidate block without one.
 
-    ``license`` is null where no template was confirmed; ``differences`` lists the words
-    the best template lacks ("+") or has in excess ("-"). Whole texts are searched; null,
+    Columns: doc_id, start, end (code points), license, template, saved_bytes, similarity,
+    differences. ``license`` is null where no template was confirmed; ``differences`` lists the
+    words the template lacks ("+") or has in excess ("-"). Whole texts are searched; null,
     empty and cue-less texts give no row. Repeated rows and null ids are answered like
     any other; other columns are ignored.
     """

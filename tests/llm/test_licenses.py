@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import random
+
 import pytest
 
 from corpusmill.llm.licenses import TEMPLATES, Scanner, scan_licenses
@@ -29,6 +31,16 @@ def test_a_wrong_version_is_not_confirmed():
     assert [r[2] for r in rows] == [None] and {"-3", "-2"} & set(rows[0][6])
 
 
+@pytest.mark.parametrize("template", TEMPLATES, ids=lambda t: f"{t.license}-{t.name}")
+def test_each_template_is_found_in_a_long_line(template):
+    """Plain prose on both sides, without a line end: no rank of savings decides."""
+    rng = random.Random(4)
+    common = sorted({w for t in TEMPLATES if len(t.text) > 300 for w in t.text.split() if w.isalpha()} - {w for t in TEMPLATES for w in t.decisive})
+    for _ in range(20):
+        a, b = (" ".join(rng.choice(common) for _ in range(200)) for _ in range(2))
+        assert template.license in {r[2] for r in Scanner().scan(f"{a} {template.text} {b}")}
+
+
 def test_edges(spark, docs):
     notice = "Released under the MIT License."
     rows = [(1, None), (2, ""), (3, "no cue"), (4, notice), (4, notice), (None, notice), (5, "word " * 100_000 + notice + " word" * 100_000),
