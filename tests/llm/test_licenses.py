@@ -41,6 +41,29 @@ def test_each_template_is_found_in_a_long_line(template):
         assert template.license in {r[2] for r in Scanner().scan(f"{a} {template.text} {b}")}
 
 
+def test_neighbouring_notices_get_a_row_each():
+    notices = [t for t in TEMPLATES if t.name == "notice"]
+    text = "\n".join(t.text for t in notices) + "\n" + notices[0].text
+    rows = [r for r in Scanner().scan(text) if r[2]]
+    assert [r[2] for r in rows] == [t.license for t in notices] + [notices[0].license]
+    assert [text[r[0]:r[1]] for r in rows] == text.split("\n")
+
+
+def test_third_party_notices():
+    longer = [t for t in TEMPLATES if t.name in ("permission", "header", "conditions")]
+    rows = [r for r in Scanner().scan("\n\n".join(t.text for t in longer)) if r[2]]
+    assert [(r[2], r[3], r[5]) for r in rows] == [(t.license, t.name, 1.0) for t in longer]
+
+
+@pytest.mark.parametrize("template", [t for t in TEMPLATES if len(t.text) > 150], ids=lambda t: f"{t.license}-{t.name}")
+@pytest.mark.parametrize("width,gap", [(4, "\n"), (6, "\n"), (9, "\n\n"), (5, "\n\n * ")])
+def test_narrow_or_spaced_lines(template, width, gap):
+    words = template.text.split()
+    text = PROSE + gap.join(" ".join(words[i:i + width]) for i in range(0, len(words), width)) + "\n" + PROSE
+    rows = [r for r in Scanner().scan(text) if r[2]]
+    assert [(r[2], r[3]) for r in rows] == [(template.license, template.name)]
+
+
 def test_edges(spark, docs):
     notice = "Released under the MIT License."
     rows = [(1, None), (2, ""), (3, "no cue"), (4, notice), (4, notice), (None, notice), (5, "word " * 100_000 + notice + " word" * 100_000),
