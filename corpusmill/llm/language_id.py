@@ -236,11 +236,12 @@ def _pieces(text: str):
         at = end
 
 
-def predict(texts: list[str | None], model: Model | None) -> tuple[list[str], list[float]]:
-    """(label, score) of each text."""
-    labels, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+def predict(texts: list[str | None], model: Model | None) -> tuple[list[str], list[float], list[float]]:
+    """(label, score, certainty) of each text; certainty is the mean of its words' largest posteriors."""
+    labels, scores, certain = [UNKNOWN] * len(texts), [0.0] * len(texts), [0.0] * len(texts)
     if model is None:
-        return labels, scores
+        return labels, scores, certain
+    largest = np.zeros(len(texts))
     sums, counts, letters = np.zeros((len(texts), len(model.labels))), np.zeros(len(texts)), np.zeros(len(texts), bool)
 
     def add(rows: list[int], parts: list[str]) -> None:
@@ -251,6 +252,8 @@ def predict(texts: list[str | None], model: Model | None) -> tuple[list[str], li
         total = np.concatenate([np.zeros((1, gamma.shape[1])), np.cumsum(gamma, axis=0)])
         np.add.at(sums, rows, total[at[1:]] - total[at[:-1]])
         np.add.at(counts, rows, at[1:] - at[:-1])
+        total = np.concatenate([np.zeros(1), np.cumsum(gamma.max(axis=1))]) if len(gamma) else np.zeros(1)
+        np.add.at(largest, rows, total[at[1:]] - total[at[:-1]])
         if words.letters:
             for row, part in zip(rows, parts, strict=True):
                 letters[row] |= any(map(str.isalpha, part))
@@ -270,7 +273,8 @@ def predict(texts: list[str | None], model: Model | None) -> tuple[list[str], li
         mean = sums[i] / counts[i]
         best = int(mean.argmax())
         labels[i], scores[i] = model.labels[best], float(min(1.0, max(0.0, mean[best])))
-    return labels, scores
+        certain[i] = float(min(1.0, max(0.0, largest[i] / counts[i])))
+    return labels, scores, certain
 
 
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -283,7 +287,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
 
     def task(batches):
         for batch in batches:
-            labels, scores = predict(batch.column(1).to_pylist(), model)
+            labels, scores, _ = predict(batch.column(1).to_pylist(), model)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(labels, pa.string()), pa.array(scores, pa.float64())],
                                              names=["doc_id", "lang_pred", "score"])
 
@@ -292,13 +296,17 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
 
 
 def identified_only(docs: DataFrame, model: Model | None, min_score: float = MIN_SCORE) -> DataFrame:
-    """The documents with a language, in all their columns: not ``und``, score ``min_score`` or more."""
+    """The documents with a language, in all their columns: not ``und``, words certain to ``min_score`` or more.
+
+    Certainty is judged per word, as the mean of each word's largest posterior: a text in
+    several languages stays if its words are told apart, however its score is spread.
+    """
     column = docs.columns.index("text")
 
     def task(batches):
         for batch in batches:
-            labels, scores = predict(batch.column(column).to_pylist(), model)
-            yield batch.filter(pa.array([x != UNKNOWN and s >= min_score for x, s in zip(labels, scores, strict=True)], pa.bool_()))
+            labels, _, certain = predict(batch.column(column).to_pylist(), model)
+            yield batch.filter(pa.array([x != UNKNOWN and c >= min_score for x, c in zip(labels, certain, strict=True)], pa.bool_()))
 
     return docs.mapInArrow(task, docs.schema)
 

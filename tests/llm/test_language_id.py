@@ -85,3 +85,25 @@ def test_predictions_ignore_everything_but_the_text(docs, model):
     a = language_id.identify(docs([(1, "la de que el los", "en", "x")]), model).first()
     b = language_id.identify(docs([(9, "la de que el los", "fr", "y")]), model).first()
     assert (a.lang_pred, a.score) == (b.lang_pred, b.score)
+
+
+def test_texts_in_several_languages_stay(docs, model, real):
+    texts = {lang: next(r.text for r in real("documents").collect() if r.lang == lang and len(r.text) > 500) for lang in ("en", "fr", "de")}
+    mixed = "\n".join(" ".join(x.split()[20:60]) for x in texts.values())
+    rows = docs([(1, mixed), (2, "12 !")])
+    assert language_id.identify(rows.filter("doc_id = 1"), model).first().score < language_id.MIN_SCORE
+    assert [r.doc_id for r in language_id.identified_only(rows, model).collect()] == [1]
+
+
+def test_certainty_is_judged_per_word():
+    class Fixed:
+        """Posteriors by a word's first letter: a, b and c are languages, others fit none."""
+        labels = ["a", "b", "c"]
+
+        def label(self, text):
+            words = language_id.Words(text)
+            first = [text[i - 4] for i in words.start.tolist()]
+            return words, np.array([np.eye(3)["abc".index(x)] if x in "abc" else np.full(3, 1 / 3) for x in first])
+
+    _, scores, certain = language_id.predict(["aa bb cc", "xx yy zz", "aa aa", None], Fixed())
+    assert scores == pytest.approx([1 / 3, 1 / 3, 1, 0]) and certain == pytest.approx([1, 1 / 3, 1, 0])
