@@ -1,7 +1,8 @@
 """Main text of web pages by composite text density.
 
 Each page is parsed leniently into nodes. Menus, headers, adverts, forms and the like go
-first, by element and by the words of class, id and role. Every remaining node gets a
+first, by element and by the words of class, id and role. What such a word marks comes
+back if it holds most of the page and nothing like an article is left without it. Every remaining node gets a
 density: its characters per tag, lowered where many of them are link text. The node
 whose children's densities have the largest sum is the core of the article. The least
 density on the way from it to the body is the threshold: neighbours of the core that
@@ -37,6 +38,8 @@ BOILERPLATE = frozenset(
     "widget widgets related recommended recommendations share sharing social cookie cookies consent gdpr notice notices alert "
     "popup modal overlay newsletter subscribe subscription signup login comment comments disqus respond replies pagination pager "
     "toolbar search skip copyright disclaimer paywall".split())
+#: A name that begins or ends so says how the page is set up, not what the element is.
+STATE_FIRST, STATE_LAST = frozenset("no not with without has".split()), frozenset("enabled disabled".split())
 PAGE_HEADER = frozenset(("header", "siteheader", "pageheader"))
 #: A new element of the key closes an open one of the values, up to a container.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"),
@@ -48,32 +51,37 @@ _NAMES = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
-def _marked(name: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element is boilerplate by its name or attributes."""
+ELEMENT, NAMED = 2, 1
+
+
+def _marked(name: str, attributes: str, in_article: bool) -> int:
+    """Whether an element is boilerplate as such or hidden (ELEMENT), by a word of class, id or role (NAMED), or not (0)."""
     if name in DROPPED or name == "header" and not in_article:
-        return True
+        return ELEMENT
     if not attributes or name in ("html", "body", "article", "main"):
         # A reader's comment may be an article of its own.
-        return name == "article" and in_article and "comment" in attributes.lower()
+        return ELEMENT * (name == "article" and in_article and "comment" in attributes.lower())
+    mark = 0
     for key, value in _NAMES.findall(attributes):
         key, value = key.lower(), value.strip("\"'")
         if key == "hidden" or key == "aria-hidden" and value.lower() == "true":
-            return True
+            return ELEMENT
         if key == "style":
             if "display:none" in value.replace(" ", "").lower():
-                return True
+                return ELEMENT
         elif key in ("class", "id", "role"):
-            words = {w.lower() for w in _WORD.findall(value)}
+            names = [[w.lower() for w in _WORD.findall(x)] for x in value.split()]
+            words = {w for x in names if x and x[0] not in STATE_FIRST and x[-1] not in STATE_LAST for w in x}
             if words & BOILERPLATE or not in_article and words & PAGE_HEADER:
-                return True
-    return False
+                mark = NAMED
+    return mark
 
 
 class Page:
     """Nodes of a page (parent before child) and its text pieces and breaks in page order."""
 
     def __init__(self, source: str):
-        self.name, self.parent, self.dropped, self.link, self.article = ["#root"], [-1], [False], [False], [False]
+        self.name, self.parent, self.mark, self.link, self.article = ["#root"], [-1], [0], [False], [False]
         self.pieces: list[tuple[int, str | None]] = []  # (node, text), or (node, None) for a break
         stack, at, size = [0], 0, len(source)
         while at < size:
@@ -118,7 +126,7 @@ class Page:
         self.parent.append(up)
         self.article.append(self.article[up] or name in ("article", "main"))
         self.link.append(self.link[up] or name == "a")
-        self.dropped.append(self.dropped[up] or _marked(name, attributes, self.article[up]))
+        self.mark.append(_marked(name, attributes, self.article[up]))
         self._break(name, node)
         if name not in VOID:
             stack.append(node)
@@ -144,7 +152,44 @@ class Page:
             if name not in BLOCKS and self.name[stack[k]] in CONTAINERS:
                 return  # an inline end does not close a container
 
+    def _under(self, least: int) -> list[bool]:
+        """Whether each node is, or is within, one of that mark or more."""
+        out = [self.mark[0] >= least]
+        for k in range(1, len(self.name)):
+            out.append(out[self.parent[k]] or self.mark[k] >= least)
+        return out
+
     def text(self) -> str:
+        own, gone = [0] * len(self.name), self._under(ELEMENT)
+        for node, piece in self.pieces:
+            if piece and not gone[node] and not self.link[node]:
+                own[node] += len(piece) - piece.count(" ") - piece.count("\n")
+        held = list(own)
+        for k in range(len(own) - 1, 0, -1):
+            held[self.parent[k]] += held[k]
+        while True:
+            self.dropped = self._under(NAMED)
+            text = self._text()
+            # Nodes with most of the page are within each other, the outermost first.
+            most = [k for k in range(len(own)) if self.mark[k] == NAMED and not gone[k] and 2 * held[k] > held[0]]
+            if not most or not self._wraps(most[0], own, held, text):
+                return text
+            for k in most:
+                if held[k] == held[most[0]]:
+                    self.mark[k] = 0
+
+    def _wraps(self, node: int, own: list[int], held: list[int], text: str) -> bool:
+        """Whether a named node has the article: what is left without it is short, without long pieces, article or main."""
+        if 4 * sum(map(len, text.split())) >= held[node]:
+            return False
+        inside = [False] * len(own)
+        for k in range(node, len(own)):
+            inside[k] = k == node or inside[self.parent[k]]
+        rest = [k for k in range(len(own)) if not self.dropped[k]]
+        return (2 * max((own[k] for k in rest), default=0) < max(x for k, x in enumerate(own) if inside[k])
+                and not any(held[k] and self.name[k] in ("article", "main") for k in rest))
+
+    def _text(self) -> str:
         n = len(self.name)
         chars, links, tags, link_tags = [0] * n, [0] * n, [1] * n, [0] * n
         for node, piece in self.pieces:

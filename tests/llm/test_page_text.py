@@ -43,6 +43,28 @@ def test_page(name):
     assert main_text(page(body)) == "\n\n".join(want)
 
 
+@pytest.mark.parametrize("wrapper", [
+    "div class='content with-sidebar'", "div id=main class=no-sidebar", "div class='post-content social-sharing-enabled'", "section class=newsletter-article",
+    "div class='social'", "div class=widget"])
+@pytest.mark.parametrize("inner", ["div class=body", "div class='promo-text'", "article"])
+def test_a_marked_wrapper_of_the_article_stays(wrapper, inner):
+    name, within = wrapper.split()[0], inner.split()[0]
+    body = (f"<div id=header>Site</div><p>Short line</p><{wrapper}><{inner}><p>{A}</p><p>{B}</p><p>{C}</p></{within}>"
+            f"<div class=sidebar><p>{C}</p></div></{name}><div class=cookie-notice><p>{C}</p></div>")
+    got = main_text(page(body)).split("\n\n")
+    assert [x for x in got if x != "Short line"] == [A, B, C]
+
+
+def test_long_comments_do_not_replace_a_short_article():
+    comments = f"<div class=comments>{f'<p>{B}</p>' * 30}</div>"
+    for article in (f"<article><p>{A}</p></article>", f"<div><p>{A}</p></div>"):
+        assert main_text(page(article + comments)) == A
+
+
+def test_many_marked_wrappers():
+    assert main_text(page("<div class=widget>" * 2000 + f"<p>{A}</p>")) == A
+
+
 @pytest.mark.parametrize("source", ["", None, "   ", "<", "<<<>>>", "<p", "</p></div>", "<!--", "<script>x", "&amp", "<a 'x>", "<html><body></body></html>", "<td><li></ul>" * 50, "<div>" * 3000])
 def test_broken_pages_do_not_fail(source):
     assert isinstance(main_text(source), str)
