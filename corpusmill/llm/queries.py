@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusmill.llm import decontamination, language_id, licenses, minhash, mixing, page_text, quality, quotations, token_counts
+from corpusmill.llm import (
+    decontamination, filter_audit, language_id, licenses, minhash, mixing, packing, page_text, quality, quotations, sql, token_counts, vector_codes)
 from corpusmill.llm.repeats import Repeats
 from corpusmill.llm.tables import written
 
@@ -67,9 +68,23 @@ def op10_page_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_text.extract(_table(spark, sf_dir, "pages"))
 
 
+def op11_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces are written once, so that sequence numbers hold for every reading of the result."""
+    pieces = packing.pack(_table(spark, sf_dir, "documents"), with_ids=False).drop("ids", "key")
+    return written(pieces, "pack-pieces")
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.Codes(_table(spark, sf_dir, "embeddings")).digested()
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op12_vector_codes": sql.vector_codes(), "op13_filter_audit": sql.FILTER_AUDIT}
