@@ -41,8 +41,8 @@ UNIT = 1 << 12
 RANGE_BYTES = 32 << 20
 #: Encoded words that a task remembers, and the longest of them in characters.
 CACHE, CACHED_CHARS = 300_000, 48
-#: Characters encoded at a time.
-BLOCK_CHARS = 1 << 20
+#: Characters looked up at a time, and of new pieces encoded at a time.
+BLOCK_CHARS, JOINED_CHARS = 1 << 20, 1 << 17
 
 _SPACES = re.compile(r" \s")
 _BEFORE_WORD = re.compile(r"(?= \S)")
@@ -52,8 +52,8 @@ class Encoder:
     """Token ids of texts, as bytes.
 
     No token of this kind of vocabulary reaches over the place before a space that a
-    visible character follows, so texts are encoded in the pieces between those places
-    and frequent pieces only once.
+    visible character follows, so texts are encoded in the pieces between those places,
+    frequent pieces only once. The vocabulary must be of bytes.
     """
 
     def __init__(self, vocabulary: str):
@@ -61,6 +61,10 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.known: dict[str, bytes] = {}
+        # Byte-level tokens are written with one character for each byte.
+        vocab = self.tokenizer.get_vocab()
+        self.bytes_of = np.zeros(max(vocab.values()) + 1, np.int64)
+        self.bytes_of[list(vocab.values())] = [len(token) for token in vocab]
 
     @staticmethod
     def pieces(text: str) -> list[str]:
@@ -82,9 +86,8 @@ class Encoder:
 
     def _encoded(self, block: list[list[str]]) -> Iterator[bytes]:
         known = self.known
-        new = list({p for pieces in block for p in pieces if p not in known})
-        for piece, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[piece] = np.array(found.ids, self.kind).tobytes()
+        new = {piece for pieces in block for piece in pieces}.difference(known)
+        self._learn(new)
         for pieces in block:
             yield b"".join(map(known.__getitem__, pieces))
         for piece in new:
@@ -93,6 +96,33 @@ class Encoder:
         if len(known) > CACHE:
             known.clear()
 
+    def _learn(self, new: Iterable[str]) -> None:
+        """Encode pieces, joined into long texts where a piece may follow another."""
+        joined, chars = [], 0
+        for piece in new:
+            if len(piece) < 2 or piece[0] != " " or piece[1].isspace():
+                self.known[piece] = self._ids(piece).tobytes()
+                continue
+            joined.append(piece)
+            chars += len(piece)
+            if chars >= JOINED_CHARS:
+                self._split(joined)
+                joined, chars = [], 0
+        self._split(joined)
+
+    def _split(self, pieces: list[str]) -> None:
+        """Encode pieces as one text, and tell them apart by the bytes of their tokens."""
+        ids = self._ids("".join(pieces))
+        ends = np.cumsum([len(p.encode()) for p in pieces])
+        cuts = np.searchsorted(np.cumsum(self.bytes_of[ids]), ends, side="left") + 1
+        data, size, at = ids.tobytes(), self.kind.itemsize, 0
+        for piece, cut in zip(pieces, (cuts * size).tolist(), strict=True):
+            self.known[piece] = data[at:cut]
+            at = cut
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+
 
 def signs() -> np.ndarray:
     """Fixed random signs, a row per class."""
