@@ -32,20 +32,21 @@ def whole(tokenizer, text):
     return [*tokenizer.encode(text or "", add_special_tokens=False).ids, packing.END]
 
 
-def test_pieces_encode_like_whole_texts(tokenizer, encoder):
+def test_ids_are_those_of_tokenizers(tokenizer, encoder, real):
     rng = random.Random(1)
     texts = ["".join(rng.choices(POOL, k=rng.randint(0, 25))) for _ in range(4000)]
-    for text, ids in zip(texts, encoder.encode(texts), strict=True):
-        assert np.frombuffer(ids, encoder.kind).tolist() == whole(tokenizer, text)[:-1], text
-
-
-def test_remembered_words_do_not_change_ids(tokenizer, monkeypatch):
-    monkeypatch.setattr(packing, "CACHE", 5)
-    monkeypatch.setattr(packing, "BLOCK_CHARS", 20)
-    own = packing.Encoder(packing._read(packing.VOCABULARY))
-    texts = [f"some words {k % 7} and a " + "verylong" * 20 for k in range(50)]
-    assert [np.frombuffer(i, own.kind).tolist() for i in own.encode(texts)] == [whole(tokenizer, t)[:-1] for t in texts]
-    assert len(own.known) <= 5 + 10
+    texts += [r.text for r in real("documents").collect()]
+    texts += [" " * 300_000, "a" + "\n" * 25_000 + "b", "x" * 200_000, "-=" * 50_000]
+    for text in texts:
+        assert encoder.encode(text).tolist() == whole(tokenizer, text)[:-1], text[:100]
+
+
+def test_ids_must_follow_the_merges(tokenizer):
+    import json
+    data = json.loads(packing._read(packing.VOCABULARY))
+    data["model"]["merges"].reverse()
+    with pytest.raises(ValueError):
+        packing.Encoder(json.dumps(data))
 
 
 @pytest.mark.parametrize("dims,bits", [(1, 4), (2, 4), (3, 3), (4, 2)])
