@@ -32,6 +32,8 @@ SYMBOLS = "[#$%&*|]"
 #: Row numbers of one posting row: the most that a list can hold.
 RANGE = 1 << 16
 HOT_SHARE = 1000
+#: Posting rows that a task merges: small in bytes, long in time.
+ROWS_PER_TASK = 16
 
 
 def gallop(ids: Sequence[int], start: int, wanted: int) -> int:
@@ -148,12 +150,13 @@ def facts(docs: DataFrame) -> DataFrame:
 
 def copies(rows: DataFrame) -> DataFrame:
     """The rows whose text a smaller doc_id has. A null id has no smaller one and is none."""
-    groups = rows.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")).filter("n > 1")
+    groups = rows.groupBy("digest").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")).filter("n > 1 and least is not null")
     hot = F.col("n") > rows.count() // HOT_SHARE
     most, some = groups.filter(hot).drop("n"), groups.filter(~hot).drop("n")
     # Fewer than HOT_SHARE digests can have more than that share of the rows each.
-    return (rows.join(F.broadcast(most), "digest").unionByName(rows.join(some, "digest"))
-            .filter("doc_id > least").select("row", "doc_id", "part"))
+    known = rows.join(F.broadcast(most), "digest", "left")
+    rest = known.filter("least is null").drop("least").join(some, "digest")
+    return known.unionByName(rest).filter("doc_id > least").select("row", "doc_id", "part")
 
 
 def postings(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -207,6 +210,7 @@ def audit(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     rows = written(facts(docs), "audit-facts")
     lists = written(postings(rows, labels), "audit-postings")
+    lists = lists.repartition(max(1, -(-lists.count() // ROWS_PER_TASK)))
     counts = _counted(lists).groupBy("part").agg(F.map_from_entries(F.collect_list(F.struct("key", F.struct("size", "good", "toxic")))).alias("counts"))
     orders = F.split(F.lit(" ".join(map("".join, permutations(FILTERS)))), " ")
     steps = (rows.groupBy("part").agg(F.count("*").alias("n")).join(counts, "part", "left")
