@@ -1,355 +1,351 @@
 """Cut TypeScript and Go files into declaration chunks, without a grammar.
 
-Files become token rows by one regular expression; bracket depth, statement
-boundaries and the extent of each declaration are window functions over the
-tokens of a file. The files are partitioned by path once and every window,
-aggregation and the final join reuse that partitioning.
+Each file is read once, where its row is: its lexemes pass a stack of open brackets, and
+what can begin, end or belong to a declaration is kept with the braces that enclose it.
+When the braces close, one look back over what they hold gives each declaration its end.
+Nothing is kept per lexeme but its place, no row leaves its task, and there is no shuffle.
+
+Every row is a file: one that is repeated is cut as often, as in ``chunk_documents``.
 
 Known limits: a decorator is part of a class or export only when it stands on
-lines of its own before it; template strings that nest a backtick, and apostrophes or unbalanced brackets in
-JSX text, can shift a boundary; a second typed declarator in one statement is
-not looked at for an arrow function.
+lines of its own before it; template strings that nest a backtick, and apostrophes or
+unbalanced brackets in JSX text, can shift a boundary.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.functions import text as tx
 from corpusmill.operators.chunking import chunk_nodes
 from corpusmill.schema import CHUNK_MAX_CHARS, CHUNK_MIN_CHARS
 
-# A token is one significant lexeme with the blanks and comments before it. Every
-# part is possessive, so the matcher neither backtracks nor recurses on long strings
-# and comments. Together the matches cover every character of a file.
-_LEAD = r"(?:\s++|//[^\n]*+|/\*(?:[^*]|\*(?!/))*+(?:\*/)?)"
+# A match is one significant lexeme (the group) with the blanks and comments before it.
+# Every part is possessive, so the matcher does not backtrack on long strings and comments.
+_BLANK = r"[ \t\n\x0b\f\r]"
+_LEAD = rf"(?:{_BLANK}++|//[^\n]*+|/\*(?:[^*]|\*(?!/))*+(?:\*/)?)"
 _STRINGS = [r'"(?:[^"\\\n]|\\[\s\S])*+"?', r"'(?:[^'\\\n]|\\[\s\S])*+'?"]
 _TEMPLATE = r"`(?:[^`\\]|\\[\s\S])*+`?"
 _RAW_STRING = r"`[^`]*+`?"
-_REGEX = (
-    r"(?:(?<=[(=,:;!&|?{\[]\s{0,8})|(?<=(?:=>|\breturn)\s{0,8}))/(?![/*])"
-    r"(?:[^\\/\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*+\])++/[a-z]*+")
-_REST = [r"[\p{L}\p{N}_$]++", r"=>", r"[=!<>]=++", r"\S"]
-TS_TOKEN = rf"{_LEAD}*+(?:{'|'.join([*_STRINGS, _TEMPLATE, _REGEX, *_REST])})|{_LEAD}++"
-GO_TOKEN = rf"{_LEAD}*+(?:{'|'.join([*_STRINGS, _RAW_STRING, *_REST])})|{_LEAD}++"
-
-_WORD = r"^[\p{L}_$][\p{L}\p{N}_$]*$"
+# A slash begins a pattern after one of these and at most eight blanks.
+_BEFORE_REGEX = "|".join(
+    rf"(?<={before}{_BLANK * n})" for n in range(9) for before in (r"[(=,:;!&|?{\[]", "=>", r"\breturn"))
+_REGEX = rf"(?=/)(?:{_BEFORE_REGEX})/(?![/*])(?:[^\\/\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*+\])++/[a-z]*+"
+_REST = [r"[\w$]++", r"=>", r"[=!<>]=++", r"[^ \t\n\x0b\f\r]"]
+_LEXEMES = {
+    "typescript": re.compile(rf"{_LEAD}*+({'|'.join([*_STRINGS, _TEMPLATE, _REGEX, *_REST])})|{_LEAD}++"),
+    "go": re.compile(rf"{_LEAD}*+({'|'.join([*_STRINGS, _RAW_STRING, *_REST])})|{_LEAD}++"),
+}
+
 # A newline does not end a statement after one of these ...
-_OPEN_ENDED = [
+_OPEN_ENDED = frozenset([
     "=", "=>", "|", "&", "?", ":", ",", "+", "-", "*", "/", "%", "<", ".", "!", "~",
     "==", "===", "!=", "!==", "<=", ">=", "extends", "implements", "keyof", "typeof",
     "new", "in", "of", "instanceof", "as", "satisfies", "is", "async", "export",
     "default", "declare", "abstract", "const", "let", "var", "function", "class",
     "interface", "enum", "namespace", "type", "readonly", "infer",
-]
+])
 # ... nor before one of these.
-_CONTINUING = [
+_CONTINUING = frozenset([
     ".", ",", ";", "|", "&", "?", ":", "=", "=>", "+", "-", "*", "/", "%", "<", ">",
     "(", "[", "{", "==", "===", "!=", "!==", "<=", ">=", "extends", "implements",
     "in", "of", "instanceof", "as", "satisfies", "is",
-]
-_AFTER_TYPE_BRACE = ["{", "|", "&", ">", "["]
-_BLOCK_KINDS = ["function", "class", "interface", "enum", "namespace", "module", "abstract"]
-_MODIFIERS = [
-    "public", "private", "protected", "static", "override", "readonly", "async",
-    "get", "set", "*",
-]
-_MARKS = [";", ",", "=>", "="]
-_WORDS = ["@", "class", "interface", "type", "export", "const", "let", "var", "func"]
-_NOT_METHODS = [
+])
+_AFTER_TYPE_BRACE = frozenset(["{", "|", "&", ">", "["])
+_BLOCK_KINDS = frozenset(["function", "class", "interface", "enum", "namespace", "module", "abstract"])
+_MODIFIERS = frozenset([
+    "public", "private", "protected", "static", "override", "readonly", "async", "get", "set", "*",
+])
+_WORDS = frozenset(["@", "class", "interface", "type", "export", "const", "let", "var", "func"])
+_NOT_METHODS = frozenset([
     "if", "for", "while", "switch", "catch", "with", "function", "return", "await",
     "new", "typeof", "import", "super",
-]
-
-
-def _among(name: str, *words: str) -> Column:
-    """``name IN (...)`` as one expression, parsed once."""
-    listed = ", ".join(f"'{w}'" for w in words)
-    return F.expr(f"{name} IN ({listed})")
-
-
-def _tokens(code: Column, language: Column) -> Column:
-    return F.when(language == "go", F.regexp_extract_all(code, F.lit(GO_TOKEN), F.lit(0))).otherwise(
-        F.regexp_extract_all(code, F.lit(TS_TOKEN), F.lit(0)))
-
-
-def _without_lead(raw: Column) -> Column:
-    return F.regexp_replace(raw, rf"^{_LEAD}++", "")
-
-
-#: What tells the rows of two files apart; both are partitioned by the path.
-_FILE = ["filepath", "key"]
-_PARTITION_BYTES = 4 << 20
-
-
-def _newlines(text: Column) -> Column:
-    return F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
-
-
-def _significant(files: DataFrame) -> DataFrame:
-    """Token rows, each with its line, its bracket depth and its neighbours."""
-    rows = files.select(
-        "filepath", "key", "language",
-        F.posexplode(_tokens(F.col("code"), F.col("language"))).alias("pos", "raw"))
-    in_file = Window.partitionBy(*_FILE).orderBy("pos")
-    so_far = in_file.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    tok = F.col("tok")
-    opens, closes = _among("tok", "(", "[", "{"), _among("tok", ")", "]", "}")
-    step = F.when(opens, 1).when(closes, -1).otherwise(0)
-    lexemes = rows.select(
-        "filepath", "key", "language", "pos", _without_lead(F.col("raw")).alias("tok"),
-        _newlines(F.col("raw")).alias("breaks")).where("tok <> ''")
-    near = lexemes.select(
-        "*", opens.alias("opens"), closes.alias("closes"), _newlines(tok).alias("inside"),
-    ).withColumns({
-        "level": F.sum(step).over(so_far) - opens.cast("int"),
-        "end_line": 1 + F.sum("breaks").over(so_far),
-    }).withColumn("line", F.col("end_line") - F.col("inside")).withColumns({
-        **{f"prev{i}": F.lag("tok", i).over(in_file) for i in (1, 2, 3)},
-        **{f"next{i}": F.lead("tok", i).over(in_file) for i in (1, 2, 3)},
-        "prev_pos": F.lag("pos").over(in_file),
-        "next_pos": F.lead("pos").over(in_file),
-        "prev_line": F.lag("line").over(in_file),
-        "next_line": F.lead("line").over(in_file),
-        "prev_end": F.lag("end_line").over(in_file),
-        "file_end": F.max("pos").over(Window.partitionBy(*_FILE)),
-        "pos2": F.lag("pos", 2).over(in_file), "line2": F.lag("line", 2).over(in_file),
-        "pos3": F.lag("pos", 3).over(in_file), "line3": F.lag("line", 3).over(in_file),
-    })
-    prev, fresh = F.col("prev1"), F.col("line") > F.col("prev_end")
-    go_break = prev.rlike(r"[\p{L}\p{N}_)\]}\"'`]$")
-    ts_break = ~_among("prev1", *_OPEN_ENDED) & ~_among("tok", *_CONTINUING) & ~tok.startswith("`")
-    ends_before = fresh & ~closes & F.when(F.col("language") == "go", go_break).otherwise(ts_break)
-    marked = near.withColumn("breaks_here", F.coalesce(ends_before, F.lit(False)))
-    starts = (
-        prev.isNull() | _among("prev1", "export", "default", "declare") | F.col("breaks_here")
-        | _among("prev1", ";", "{", "}") & ~closes & ~_among("tok", *_CONTINUING))
-    member = _among("prev1", "{", "}", ";", ",") | F.col("breaks_here")
-    known = marked.withColumns({"starts": starts, "member": member}).withColumns({
-        "prev_starts": F.lag("starts").over(in_file),
-        **{f"member{i}": F.lag("member", i).over(in_file) for i in (1, 2, 3)},
-    })
-    # Beyond their neighbours' columns, only these tokens matter from here on.
-    return known.where(
-        opens | closes | _among("tok", *_MARKS) | F.col("breaks_here")
-        | F.col("starts") & _among("tok", *_WORDS) | (tok == "function")
-        | (F.col("next1") == "(") & tok.rlike(_WORD))
-
-
-def _in_blocks(tokens: DataFrame) -> DataFrame:
-    """Rows per enclosing braces; a brace also bounds the block it opens or ends.
-
-    Declarations and what ends them stand in braces or at the top, so tokens
-    directly inside parentheses or square brackets leave here.
-    """
-    own = F.struct(F.col("level").alias("lvl"), F.lit("token").alias("role"))
-    inner = F.struct(
-        (F.col("level") + 1).alias("lvl"),
-        F.when(F.col("opens"), "open").otherwise("close").alias("role"))
-    bracket = F.col("opens") | F.col("closes")
-    placed = tokens.withColumn(
-        "at", F.explode(F.when(bracket, F.array(own, inner)).otherwise(F.array(own))))
-    flat = placed.select("*", "at.lvl", "at.role").drop("at")
-    so_far = Window.partitionBy(*_FILE, "lvl").orderBy("pos").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    opened = F.col("role") == "open"
-    return flat.withColumns({
-        "blk": F.sum(opened.cast("int")).over(so_far),
-        "within": F.last(F.when(opened, F.col("tok")), ignorenulls=True).over(so_far),
-    }).where("within IS NULL OR within = '{'")
-
-
-def _with_ends(rows: DataFrame) -> DataFrame:
-    """For each token, what follows it in its block; each look-ahead is one pass.
-
-    A frame that runs to the block's end would be re-evaluated per row, so the
-    look-ahead is a look-back over the reversed order.
-    """
-    block = Window.partitionBy(*_FILE, "lvl", "blk")
-    ahead = block.orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
-    back = block.orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    earlier = block.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    token = F.col("role") == "token"
-    tok, pos, before = F.col("tok"), F.col("pos"), F.col("prev_pos")
-
-    def nearest(condition: Column, value: Column) -> Column:
-        return F.last(F.when(condition, value), ignorenulls=True).over(ahead)
-
-    new_line = F.col("next_line") > F.col("end_line")
-    body_end = (tok == "}") & (
-        F.col("next1").isNull() | ~_among("next1", *_AFTER_TYPE_BRACE)
-        | (new_line & (F.col("next1") != "{")))
-    first = rows.withColumns({
-        "semi": nearest(token & (tok == ";"), pos),
-        "semi_before": nearest(token & (tok == ";"), before),
-        "comma_before": nearest(token & (tok == ","), before),
-        "break_before": nearest(token & F.col("breaks_here"), before),
-        "block_end": nearest(F.col("role") == "close", before),
-        "body_end": nearest(token & body_end, pos),
-        "brace": nearest(token & (tok == "}"), pos),
-        "paren": nearest(token & (tok == ")"), pos),
-        "paren_next": nearest(token & (tok == ")"), F.col("next1")),
-    })
-    stop = F.least("break_before", F.coalesce("block_end", "file_end"))
-    second = first.withColumns({
-        "statement_end": F.least("semi", stop),
-        "expression_end": F.least("semi_before", "comma_before", stop),
-        "stop": stop,
-    })
-    arrow = token & (tok == "=>")
-    arrow_end = F.when(F.col("next1") == "{", F.col("brace")).otherwise(F.col("expression_end"))
-    start = token & F.col("starts")
-    third = second.withColumns({
-        "arrow_end": nearest(arrow, arrow_end),
-        "statement_word": F.last(F.when(start, tok), ignorenulls=True).over(back),
-        "statement_pos": F.last(F.when(start, pos), ignorenulls=True).over(back),
-        "equals_pos": F.last(
-            F.when(token & (tok == "="), pos), ignorenulls=True).over(earlier),
-        "word_before": F.last(F.when(start, tok), ignorenulls=True).over(earlier),
-    })
-    # Of several decorators in a row the first one is where the statement starts.
-    leads = start & (tok == "@") & ~F.col("word_before").eqNullSafe("@")
-    return third.withColumns({
-        "lead_pos": F.last(F.when(leads, pos), ignorenulls=True).over(back),
-        "lead_line": F.last(F.when(leads, F.col("line")), ignorenulls=True).over(back),
-    }).where(token)
-
-
-def _candidate(node_type: str | Column, start: Column, line: Column, end: Column) -> Column:
-    kind = F.lit(node_type) if isinstance(node_type, str) else node_type
-    return F.struct(
-        kind.alias("node_type"), start.alias("first"), line.alias("line"), end.alias("last"))
-
-
-def _ts_candidate() -> Column:
-    tok, pos, line = F.col("tok"), F.col("pos"), F.col("line")
-    prev1, prev2 = F.col("prev1"), F.col("prev2")
-    next1, next2, next3 = F.col("next1"), F.col("next2"), F.col("next3")
-    is_async = prev1 == "async"
-    named = next1.rlike(_WORD)
-    whole_body = F.least("body_end", "statement_end") == F.col("body_end")
-
-    decorated = F.col("word_before").eqNullSafe("@") & F.col("breaks_here")
-    first = F.when(decorated, F.col("lead_pos")).otherwise(pos)
-    first_line = F.when(decorated, F.col("lead_line")).otherwise(line)
-
-    function = (
-        (tok == "function") & (named | (next1 == "*") & next2.rlike(_WORD))
-        & F.when(is_async, F.col("prev_starts")).otherwise(F.col("starts")) & whole_body)
-    class_like = (
-        _among("tok", "class", "interface") & F.col("starts") & whole_body
-        & named & ~_among("next1", "extends", "implements"))
-    alias = (tok == "type") & F.col("starts") & named & _among("next2", "=", "<")
-    export = (tok == "export") & F.col("starts") & ~_among("next1", ":", ",", "}", "(", "?", ".")
-    block_export = (
-        _among("next1", *_BLOCK_KINDS)
-        | _among("next1", "default", "declare") & _among("next2", *_BLOCK_KINDS)
-        | (next1 == "async") & (next2 == "function")
-        | (next1 == "default") & (next2 == "async") & (next3 == "function")
-        | (next1 == "const") & (next2 == "enum"))
-    export_end = F.when(
-        block_export, F.least("body_end", "statement_end")).otherwise(F.col("statement_end"))
-
-    direct = next1.rlike(_WORD) & (next2 == "=>")
-    direct |= (next1 == "async") & next2.rlike(_WORD) & (next3 == "=>")
-    listed = (_among("next1", "(", "<") | (next1 == "async") & _among("next2", "(", "<")) & _among(
-        "paren_next", "=>", ":") & (F.col("paren") < F.col("statement_end"))
-    bound_arrow = (
-        (tok == "=") & _among("statement_word", "const", "let", "var")
-        & (prev2.eqNullSafe(",") | F.coalesce(
-            F.col("equals_pos") < F.col("statement_pos"), F.lit(True)))
-        & (direct | listed))
-
-    one, two, three = (_among(f"prev{i}", *_MODIFIERS) for i in (1, 2, 3))
-    method_start = (
-        F.when(one & two & three & F.col("member3"), F.col("pos3"))
-        .when(one & two & F.col("member2"), F.col("pos2"))
-        .when(one & F.col("member1"), F.col("prev_pos"))
-        .when(F.col("member"), pos))
-    method_line = (
-        F.when(one & two & three & F.col("member3"), F.col("line3"))
-        .when(one & two & F.col("member2"), F.col("line2"))
-        .when(one & F.col("member1"), F.col("prev_line"))
-        .otherwise(line))
-    method = (
-        tok.rlike(_WORD) & ~_among("tok", *_NOT_METHODS) & (next1 == "(") & (F.col("lvl") > 0)
-        & _among("paren_next", "{", ":") & method_start.isNotNull()
-        & F.when(F.col("paren_next") == "{", F.lit(True)).otherwise(whole_body))
-    method_end = F.when(F.col("paren_next") == "{", F.col("brace")).otherwise(F.col("body_end"))
-
-    return (
-        F.when(function, _candidate(
-            "function_declaration", F.when(is_async, F.col("prev_pos")).otherwise(pos),
-            F.when(is_async, F.col("prev_line")).otherwise(line), F.col("body_end")))
-        .when(class_like, _candidate(
-            F.concat(tok, F.lit("_declaration")), first, first_line, F.col("body_end")))
-        .when(alias, _candidate("type_alias_declaration", pos, line, F.col("statement_end")))
-        .when(export, _candidate("export_statement", first, first_line, export_end))
-        .when(bound_arrow, _candidate(
-            "arrow_function", F.col("next_pos"), F.col("next_line"), F.col("arrow_end")))
-        .when(method, _candidate("method_definition", method_start, method_line, method_end)))
-
-
-def _go_candidate() -> Column:
-    tok, pos, line, next1 = F.col("tok"), F.col("pos"), F.col("line"), F.col("next1")
-    end = F.least("semi_before", "stop")
-    top = (tok == "func") & F.col("starts") & (F.col("lvl") == 0)
-    types = (tok == "type") & F.col("starts") & (next1.rlike(_WORD) | (next1 == "("))
-    return (
-        F.when(top & next1.rlike(_WORD), _candidate("function_declaration", pos, line, end))
-        .when(top & (next1 == "(") & F.col("paren_next").rlike(_WORD), _candidate(
-            "method_declaration", pos, line, end))
-        .when(types, _candidate("type_declaration", pos, line, end)))
-
-
-def find_declarations(files: DataFrame) -> DataFrame:
-    """Declarations as token ranges: filepath, key, node_type, first, last, line.
-
-    A declaration inside another is left out, except inside an export.
-    """
-    rows = _with_ends(_in_blocks(_significant(files)))
-    hit = F.when(F.col("language") == "go", _go_candidate()).otherwise(_ts_candidate())
-    # Unpacked by a generator, so that the long condition runs once per token.
-    hits = rows.select(*_FILE, F.inline(F.filter(
-        F.array(hit), lambda h: h["last"] >= h["first"])))
-    before = Window.partitionBy(*_FILE).orderBy("first", F.desc("last")).rowsBetween(
-        Window.unboundedPreceding, -1)
-    closed = F.when(F.col("node_type") != "export_statement", F.col("last"))
-    covered = hits.withColumn("covered_to", F.max(closed).over(before))
-    return covered.where("covered_to IS NULL OR covered_to < first").drop("covered_to")
+])
+_OPENS, _CLOSES = frozenset("([{"), frozenset(")]}")
+_MARKS = frozenset([*_OPENS, *_CLOSES, ";", ",", "=>", "=", "function"])
+_SPLITS = frozenset(["{", "}", ";", ","])
+_PREFIXES = frozenset(["export", "default", "declare"])
+_GO_ENDS = frozenset("_)]}\"'`")
+_OUTPUT = "filepath string, language string, node_type string, start_line int, code string"
+#: Bytes of nodes that leave a task at a time.
+_OUTPUT_BYTES = 4 << 20
+
+Node = tuple[str, int, str]  # kind, first line, code
+Hit = tuple[str, int, int, int]  # kind, first and last lexeme, line
+
+
+def _word(lexeme: str) -> bool:
+    return lexeme[:1].isalpha() or lexeme[:1] in ("_", "$")
+
+
+class _Lexemes:
+    """The lexemes of a file: text, place and lines, and where statements and members begin."""
+
+    def __init__(self, code: str, language: str):
+        self.go = language == "go"
+        self.text: list[str] = []
+        self.place: list[int] = []
+        self.line: list[int] = []
+        self.end_line: list[int] = []
+        line = 1
+        for match in _LEXEMES[language].finditer(code):
+            start, stop = match.span(1)
+            if start < 0:  # blanks and comments at the end
+                break
+            line += code.count("\n", match.start(), start)
+            self.text.append(match[1])
+            self.place.append(start)
+            self.line.append(line)
+            if "\n" in match[1]:
+                line += code.count("\n", start, stop)
+            self.end_line.append(line)
+        self.text += ["", "", ""]  # what follows the last one
+        self.size = len(self.place)
+
+    def breaks(self, k: int) -> bool:
+        """A line end before this lexeme ends a statement."""
+        if not k or self.line[k] <= self.end_line[k - 1] or self.text[k] in _CLOSES:
+            return False
+        before, lexeme = self.text[k - 1], self.text[k]
+        if self.go:
+            return before[-1].isalnum() or before[-1] in _GO_ENDS
+        return before not in _OPEN_ENDED and lexeme not in _CONTINUING and lexeme[0] != "`"
+
+    def starts(self, k: int) -> bool:
+        """A statement begins here."""
+        if not k or self.text[k - 1] in _PREFIXES or self.breaks(k):
+            return True
+        return self.text[k - 1] in (";", "{", "}") and self.text[k] not in _CLOSES and self.text[k] not in _CONTINUING
+
+    def member(self, k: int) -> bool:
+        """A member of a class or object begins here."""
+        return k > 0 and (self.text[k - 1] in _SPLITS or self.breaks(k))
+
+
+class _Block:
+    """What braces hold: the lexemes that matter, and the one that closes them."""
+
+    __slots__ = ("level", "brace", "held", "closed")
+
+    def __init__(self, level: int, brace: bool):
+        self.level, self.brace = level, brace
+        self.held: list[int] = []
+        self.closed: int | None = None
+
+
+def _blocks(lexemes: _Lexemes) -> Iterator[_Block]:
+    """One pass with a stack of open brackets; braces come out as they close, the rest at the end."""
+    text, top = lexemes.text, _Block(0, True)
+    stack = [top]
+    for k in range(lexemes.size):
+        lexeme = text[k]
+        if lexeme in _CLOSES and len(stack) > 1:
+            done = stack.pop()
+            done.closed = k
+            if done.brace and done.held:
+                yield done
+        block = stack[-1]
+        if block.brace and (
+                lexeme in _MARKS or text[k + 1] == "(" and _word(lexeme) or lexemes.breaks(k)
+                or lexeme in _WORDS and lexemes.starts(k)):
+            block.held.append(k)
+        if lexeme in _OPENS:
+            stack.append(_Block(block.level + 1, lexeme == "{"))
+    yield from (block for block in reversed(stack) if block.brace and block.held)
+
+
+class _Ahead:
+    """The nearest lexemes behind a place in its block: what may end a declaration there."""
+
+    __slots__ = ("semi", "comma", "line_end", "body_end", "brace", "paren", "arrow_end", "stop")
+
+    def __init__(self, last: int):
+        self.semi = self.comma = self.line_end = self.body_end = self.brace = self.paren = self.arrow_end = None
+        self.stop = last
+
+    def copy(self) -> _Ahead:
+        other = _Ahead(self.stop)
+        for name in _Ahead.__slots__:
+            setattr(other, name, getattr(self, name))
+        return other
+
+    @property
+    def broken(self) -> int:
+        return self.stop if self.line_end is None else min(self.line_end, self.stop)
+
+    @property
+    def statement_end(self) -> int:
+        return self.broken if self.semi is None else min(self.semi, self.broken)
+
+    @property
+    def expression_end(self) -> int:
+        return min(x for x in (self.broken, self.semi and self.semi - 1, self.comma) if x is not None)
+
+    @property
+    def whole_body(self) -> bool:
+        return self.body_end is not None and self.body_end <= self.statement_end
+
+
+def _looks_ahead(block: _Block, lexemes: _Lexemes, wanted: set[int]) -> dict[int, _Ahead]:
+    """For each wanted lexeme of a block, what is behind it; one pass from the end."""
+    text, ahead = lexemes.text, _Ahead(lexemes.size - 1 if block.closed is None else block.closed - 1)
+    found = {}
+    for k in reversed(block.held):
+        lexeme, following = text[k], text[k + 1]
+        if k in wanted:
+            found[k] = ahead.copy()
+        if lexeme == ";":
+            ahead.semi = k
+        elif lexeme == ",":
+            ahead.comma = k - 1
+        elif lexeme == ")":
+            ahead.paren = k
+        elif lexeme == "=>":
+            end = ahead.brace if following == "{" else ahead.expression_end
+            ahead.arrow_end = ahead.arrow_end if end is None else end
+        elif lexeme == "}":
+            ahead.brace = k
+            fresh = k + 1 < lexemes.size and lexemes.line[k + 1] > lexemes.end_line[k]
+            if not following or following not in _AFTER_TYPE_BRACE or fresh and following != "{":
+                ahead.body_end = k
+        if lexemes.breaks(k):
+            ahead.line_end = k - 1
+    return found
+
+
+def _go_hits(block: _Block, lexemes: _Lexemes) -> Iterator[Hit]:
+    text = lexemes.text
+    wanted = {k for k in block.held if text[k] in ("func", "type") and lexemes.starts(k)}
+    for k, ahead in _looks_ahead(block, lexemes, wanted).items():
+        following, kind = text[k + 1], None
+        if text[k] == "type":
+            kind = "type_declaration" if _word(following) or following == "(" else None
+        elif block.level == 0 and _word(following):
+            kind = "function_declaration"
+        elif block.level == 0 and following == "(" and ahead.paren is not None and _word(text[ahead.paren + 1]):
+            kind = "method_declaration"
+        if kind:
+            yield kind, k, ahead.broken if ahead.semi is None else min(ahead.semi - 1, ahead.broken), lexemes.line[k]
+
+
+def _ts_hits(block: _Block, lexemes: _Lexemes) -> Iterator[Hit]:
+    text, line = lexemes.text, lexemes.line
+    word = word_at = equals = comma = lead = None  # statement's first word, last "=", last ",", first decorator
+    wanted: dict[int, tuple] = {}
+    for k in block.held:
+        lexeme, following = text[k], text[k + 1]
+        starts, before = lexemes.starts(k), word
+        if starts:
+            word, word_at = lexeme, k
+            if lexeme == "@" and before != "@":
+                lead = k
+        if lexeme == "=":
+            # One "=" gives a declarator its value: the first since the statement or the last comma began.
+            first = equals is None or equals < word_at if word_at is not None else True
+            if word in ("const", "let", "var") and (first or comma is not None and comma > equals):
+                wanted[k] = ("arrow",)
+            equals = k
+        elif lexeme == ",":
+            comma = k
+        elif lexeme == "function":
+            wanted[k] = ("function", starts)
+        elif lexeme in ("class", "interface", "type", "export") and starts:
+            wanted[k] = (lexeme, lead if before == "@" and lexemes.breaks(k) else k)
+        if k not in wanted and following == "(" and block.level and _word(lexeme) and lexeme not in _NOT_METHODS:
+            wanted[k] = ("method",)
+    for k, ahead in _looks_ahead(block, lexemes, set(wanted)).items():
+        what, *more = wanted[k]
+        hit = None
+        one, two, three = text[k + 1], text[k + 2], text[k + 3] if k + 3 < len(text) else ""
+        if what == "function":
+            held = k > 0 and text[k - 1] == "async"
+            begins = lexemes.starts(k - 1) if held else more[0]
+            if begins and ahead.whole_body and (_word(one) or one == "*" and _word(two)):
+                hit = "function_declaration", k - held, ahead.body_end
+        elif what in ("class", "interface"):
+            if ahead.whole_body and _word(one) and one not in ("extends", "implements"):
+                hit = f"{what}_declaration", more[0], ahead.body_end
+        elif what == "type":
+            if _word(one) and two in ("=", "<"):
+                hit = "type_alias_declaration", k, ahead.statement_end
+        elif what == "export":
+            if one not in (":", ",", "}", "(", "?", ".", ""):
+                body = (
+                    one in _BLOCK_KINDS or one in ("default", "declare") and two in _BLOCK_KINDS
+                    or one == "async" and two == "function" or one == "const" and two == "enum"
+                    or one == "default" and two == "async" and three == "function")
+                end = ahead.statement_end
+                hit = "export_statement", more[0], min(end, ahead.body_end) if body and ahead.body_end is not None else end
+        elif what == "arrow":
+            direct = _word(one) and two == "=>" or one == "async" and _word(two) and three == "=>"
+            listed = (
+                (one in ("(", "<") or one == "async" and two in ("(", "<"))
+                and ahead.paren is not None and text[ahead.paren + 1] in ("=>", ":") and ahead.paren < ahead.statement_end)
+            if (direct or listed) and ahead.arrow_end is not None:
+                hit = "arrow_function", k + 1, ahead.arrow_end
+        else:
+            closing = text[ahead.paren + 1] if ahead.paren is not None else ""
+            first = _method_start(k, lexemes)
+            if first is not None and (closing == "{" or closing == ":" and ahead.whole_body):
+                end = ahead.brace if closing == "{" else ahead.body_end
+                hit = ("method_definition", first, end) if end is not None else None
+        if hit:
+            yield *hit, line[hit[1]]
+
+
+def _method_start(k: int, lexemes: _Lexemes) -> int | None:
+    """Where a method begins, with up to three modifiers before its name."""
+    text, count = lexemes.text, 0
+    while count < 3 and k > count and text[k - 1 - count] in _MODIFIERS:
+        count += 1
+    return next((k - n for n in range(count, -1, -1) if lexemes.member(k - n)), None)
+
+
+def declarations(code: str, language: str) -> Iterator[Node]:
+    """The declarations of a file in order; one inside another is left out, except inside an export."""
+    lexemes = _Lexemes(code, language)
+    find = _go_hits if lexemes.go else _ts_hits
+    hits = sorted((h for b in _blocks(lexemes) for h in find(b, lexemes) if h[2] >= h[1]), key=lambda h: (h[1], -h[2]))
+    covered = -1
+    for kind, first, last, line in hits:
+        if covered < first:
+            yield kind, line, code[lexemes.place[first]:lexemes.place[last] + len(lexemes.text[last])]
+        if kind != "export_statement":
+            covered = max(covered, last)
 
 
 def declaration_nodes(files: DataFrame) -> DataFrame:
     """Nodes (filepath, language, node_type, start_line, code) of all files.
 
-    Rows are told apart by their path as given and their contents, so two files whose
-    paths become the same are both read; a row that is repeated as a whole counts once.
-    A file meets its own list of ranges, so its text is neither copied per declaration
-    nor sent through another exchange. The number of partitions is given, from the
-    bytes of the texts (which takes a pass over them), since AQE would merge partitions
-    by the size of the texts, and tokens take many times that.
+    A null content or language gives none; so does a language without a set of lexemes.
     """
-    known = files.where(F.col("language").isNotNull() & F.col("content").isNotNull())
-    size = known.agg(F.coalesce(F.sum(F.octet_length("content")), F.lit(0))).first()[0]
-    cores = files.sparkSession.sparkContext.defaultParallelism
-    keyed = known.select(
-        tx.normalize_path(F.col("filepath")).alias("filepath"),
-        F.md5(F.concat_ws("\n", "filepath", "content")).alias("key"), "language",
-        F.col("content").alias("code")).repartition(
-        max(cores, -(-size // _PARTITION_BYTES)), "filepath").dropDuplicates(_FILE)
-    ranges = find_declarations(keyed).groupBy(*_FILE).agg(
-        F.collect_list(F.struct("node_type", "first", "last", "line")).alias("ranges"))
-    # The one-element array binds the token list once per file, not per range.
-    cut = F.flatten(F.transform(
-        F.array(_tokens(F.col("code"), F.col("language"))),
-        lambda tokens: F.transform(F.col("ranges"), lambda r: F.struct(
-            r["node_type"].alias("node_type"), r["line"].cast("int").alias("start_line"),
-            _without_lead(F.array_join(
-                F.slice(tokens, r["first"] + 1, r["last"] - r["first"] + 1), "")).alias("code")))))
-    joined = keyed.join(ranges, _FILE).select(
-        "filepath", "language", F.explode(cut).alias("node"))
-    return joined.select("filepath", "language", "node.*")
+
+    def task(batches):
+        rows, size = [], 0
+        for batch in batches:
+            for path, language, code in zip(*(batch.column(k) for k in range(3)), strict=True):
+                for node in declarations(code.as_py(), language.as_py()):
+                    rows.append((path.as_py(), language.as_py(), *node))
+                    size += len(node[2])
+                    if size >= _OUTPUT_BYTES:
+                        yield _batch(rows)
+                        rows, size = [], 0
+        yield _batch(rows)
+
+    known = files.where(F.col("content").isNotNull() & F.col("language").isin(*_LEXEMES)).select(
+        tx.normalize_path(F.col("filepath")).alias("filepath"), "language", F.col("content").alias("code"))
+    return known.mapInArrow(task, _OUTPUT)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.string(), pa.string(), pa.string(), pa.int32(), pa.string()]
+    names = ["filepath", "language", "node_type", "start_line", "code"]
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names=names)
 
 
 def chunk_code(

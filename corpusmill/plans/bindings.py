@@ -42,8 +42,9 @@ def document_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document as a source file that carries its whole text in comments.
 
-    TypeScript: an exported function, an interface, a bound arrow function. Go: a
-    struct type, a function, a method.
+    TypeScript: an exported function, an interface, a bound arrow function, a method of
+    an abstract class, a class, a type alias, an arrow function bound by a typed second
+    declarator. Go: a struct type, a function, a method.
     """
     docs = spread(table(spark, sf_dir, "documents"))
     path = document_path()
@@ -58,7 +59,12 @@ def code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(" { */\nexport function doc_"), F.col("doc_id"), F.lit("() {\n"), comment("  "),
         F.lit("\n}\n\ninterface Row"), F.col("doc_id"),
         F.lit(" {\n  lang: string;\n  chars: number;\n}\n\nconst size"), F.col("doc_id"),
-        F.lit(" = (scale: number) => scale * "), F.col("n_chars"), F.lit(";\n"))
+        F.lit(" = (scale: number) => scale * "), F.col("n_chars"), F.lit(";\n\nabstract class Base"),
+        F.col("doc_id"), F.lit(" {\n  protected async load"), F.col("doc_id"),
+        F.lit("(scale: number): Promise<void> {\n    await scale;\n  }\n}\n\nclass Store"), F.col("doc_id"),
+        F.lit(" {\n  rows = "), F.col("n_chars"), F.lit(";\n}\n\ntype Name"), F.col("doc_id"),
+        F.lit(" = string | number;\n\nconst low"), F.col("doc_id"), F.lit(" = 0, high"), F.col("doc_id"),
+        F.lit(": (x: number) => number = (x) => x + "), F.col("n_chars"), F.lit(";\n"))
     go = F.concat(
         F.lit("package corpus\n\ntype Row"), F.col("doc_id"),
         F.lit(" struct {\n\tLang string // {\n}\n\nfunc Doc"), F.col("doc_id"), F.lit("() {\n"),

@@ -54,6 +54,13 @@ declared AS (
       || chr(10) || '  lang: string;' || chr(10) || '  chars: number;' || chr(10) || '}}' FROM ts
     UNION ALL SELECT *, 'a', 'arrow_function', 12 + n,
       '(scale: number) => scale * ' || n_chars FROM ts
+    UNION ALL SELECT *, 'p', 'method_definition', 15 + n, 'protected async load' || doc_id
+      || '(scale: number): Promise<void> {{' || chr(10) || '    await scale;' || chr(10) || '  }}' FROM ts
+    UNION ALL SELECT *, 'c', 'class_declaration', 20 + n, 'class Store' || doc_id || ' {{'
+      || chr(10) || '  rows = ' || n_chars || ';' || chr(10) || '}}' FROM ts
+    UNION ALL SELECT *, 'n', 'type_alias_declaration', 24 + n,
+      'type Name' || doc_id || ' = string | number;' FROM ts
+    UNION ALL SELECT *, 'h', 'arrow_function', 26 + n, '(x) => x + ' || n_chars FROM ts
     UNION ALL SELECT *, 't', 'type_declaration', 3, 'type Row' || doc_id || ' struct {{'
       || chr(10) || chr(9) || 'Lang string // {{' || chr(10) || '}}' FROM go
     UNION ALL SELECT *, 'g', 'function_declaration', 7, {GO_FUNCTION} FROM go

@@ -5,7 +5,7 @@ from __future__ import annotations
 import pytest
 
 from corpusmill.operators.chunking import chunk_nodes
-from corpusmill.operators.declarations import chunk_code, declaration_nodes
+from corpusmill.operators.declarations import chunk_code, declaration_nodes, declarations
 
 TS = """import { x } from './y';
 // function commented() { }
@@ -173,12 +173,49 @@ export declare function ambient(a: string): void;
     ]
 
 
-def test_paths_that_become_the_same_are_both_read(spark):
+def test_every_row_is_a_file(spark):
+    """Also rows whose paths become the same, and rows repeated as a whole."""
     rows = [("s\\x.ts", "typescript", "export function one() { return 1; }"), ("s/x.ts", "typescript", "interface Two { b: string }"),
-            ("s/x.ts", "typescript", "interface Two { b: string }")]
+            ("s/x.ts", "typescript", "interface Two { b: string }"), ("s/y.ts", None, "class No { x = 1 }"), ("s/z.ts", "typescript", None)]
     nodes = declaration_nodes(spark.createDataFrame(rows, "filepath string, language string, content string"))
     assert sorted(r.code for r in nodes.collect()) == [
-        "export function one() { return 1; }", "function one() { return 1; }", "interface Two { b: string }"]
+        "export function one() { return 1; }", "function one() { return 1; }", "interface Two { b: string }", "interface Two { b: string }"]
+    assert declaration_nodes(spark.createDataFrame([], "filepath string, language string, content string")).collect() == []
+
+
+def test_second_declarators(files):
+    source = """const a = 1, b: (x: number) => number = (x) => x + 1, c = (y) => y * 2;
+let d: Map<string, number> = new Map(), e: Fn = async (z) => { return z; }
+const f = g = (w) => w;
+var h = { i: (v) => v }, [j, k] = (u) => u;
+"""
+    found = [(r.start_line, r.code) for r in declaration_nodes(files({"a.ts": source})).collect()]
+    assert found == [
+        (1, "(x) => x + 1"), (1, "(y) => y * 2"), (2, "async (z) => { return z; }"), (4, "(u) => u")]
+
+
+def test_unbalanced_brackets_lose_no_file(files):
+    rows = declaration_nodes(files({
+        "close.ts": "}}})\nfunction after() { return 1; }\n",
+        "open.ts": "function before() { return 1; }\nif (x) { [ (\n",
+        "deep.ts": "{" * 20_000 + "function inside() { return 1; }" + "}" * 20_000,
+    })).collect()
+    assert {(r.filepath, r.code) for r in rows} == {
+        ("close.ts", "function after() { return 1; }"), ("open.ts", "function before() { return 1; }"),
+        ("deep.ts", "function inside() { return 1; }")}
+
+
+def test_time_grows_with_the_file():
+    """No step looks over a whole file again."""
+    import time
+
+    one = "class A { run(x: number): void { if (x) { log([1, 2], { a: 'b' }); } } }\nconst f = (q) => q * 2;\n"
+    took = []
+    for n in (300, 3000):
+        started = time.process_time()
+        assert sum(1 for _ in declarations(one * n, "typescript")) == 2 * n
+        took.append(time.process_time() - started)
+    assert took[1] < 25 * max(took[0], 0.02)
 
 
 def test_long_literals_and_odd_input(files):

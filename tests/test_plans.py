@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.operators import lookup, maintenance, reports, search
 from corpusmill.operators.chunking import chunk_documents
-from corpusmill.operators.declarations import declaration_nodes
+from corpusmill.operators.declarations import chunk_code
 from corpusmill.operators.embedding import hashed
 from corpusmill.sources import snapshots
 from corpusmill.sources.files import scan_files
@@ -41,11 +41,11 @@ def test_scan_and_chunking_are_narrow(stored):
     assert "Exchange" not in text and "Python" not in text and "Arrow" not in text
 
 
-def test_declarations_shuffle_files_only(stored):
+def test_declarations_are_cut_where_the_file_is(stored):
     table, _ = stored
-    text = plan(declaration_nodes(table))
-    assert text.count("Exchange hashpartitioning") <= 2
-    assert "Python" not in text and "Arrow" not in text
+    text = plan(chunk_code(table))
+    assert text.count("MapInArrow") == 1
+    assert not any(step in text for step in ("Exchange", "Window", "Sort", "ArrowEvalPython"))
 
 
 def test_reports_read_their_columns(stored):
