@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm import hashing as hs
+from corpusmill.llm.tables import lean
 
 MATCH, MISMATCH, GAP = 2, -1, -1
 MIN_SCORE = 0.6  # of the score of a verbatim copy
@@ -219,7 +220,7 @@ def _matchers(docs: DataFrame, items: DataFrame, min_score: float, block_bytes:
                 yield pa.RecordBatch.from_arrays([
                     pa.array(np.array(list(found), np.uint64).view(np.int64)), pa.array(found.values(), pa.int64())], names=["hash", "n"])
 
-        rows = (texts.mapInArrow(count, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+        rows = (texts.mapInArrow(lean(count), "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
                 .collect() if any(len(w) for w in matcher.words) else [])
         matcher.choose({r["hash"] % (1 << 64): r["n"] for r in rows})
         yield [x["item_id"] for x in own], matcher
@@ -249,7 +250,7 @@ def leaks(docs: DataFrame, items: DataFrame, min_score: float = MIN_SCORE, block
                     pa.array([x[3] for x in found], pa.int64()), pa.array([x[4] for x in found], pa.int64())],
                     names=["doc_id", "item_id", "score", "first_word", "end_word"])
 
-        part = texts.mapInArrow(search, schema)
+        part = texts.mapInArrow(lean(search), schema)
         result = part if result is None else result.union(part)
     return result
 
@@ -265,5 +266,5 @@ def without_leaks(docs: DataFrame, items: DataFrame, min_score: float = MIN_SCOR
                 keep[[x[0] for x in matcher.hits(batch.column(column))]] = False
                 yield batch.filter(pa.array(keep))
 
-        docs = docs.mapInArrow(clean, docs.schema)
+        docs = docs.mapInArrow(lean(clean), docs.schema)
     return docs

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm import hashing as hs
+from corpusmill.llm.tables import lean
 
 #: The sample: texts per label, and the longest text (in characters) that it takes.
 TRAIN_TEXTS, TRAIN_CHARS = 250, 20_000
@@ -292,7 +293,7 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
                                              names=["doc_id", "lang_pred", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        task, "doc_id long, lang_pred string, score double")
+        lean(task), "doc_id long, lang_pred string, score double")
 
 
 def identified_only(docs: DataFrame, model: Model | None, min_score: float = MIN_SCORE) -> DataFrame:
@@ -308,7 +309,7 @@ def identified_only(docs: DataFrame, model: Model | None, min_score: float = MIN
             labels, _, certain = predict(batch.column(column).to_pylist(), model)
             yield batch.filter(pa.array([x != UNKNOWN and c >= min_score for x, c in zip(labels, certain, strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(task, docs.schema)
+    return docs.mapInArrow(lean(task), docs.schema)
 
 
 def label_words(docs: DataFrame, model: Model) -> DataFrame:
@@ -336,4 +337,4 @@ def label_words(docs: DataFrame, model: Model) -> DataFrame:
                 schema=pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string()), ("score", pa.float64())]))
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        task, "doc_id long, start long, end long, lang string, score double")
+        lean(task), "doc_id long, start long, end long, lang string, score double")

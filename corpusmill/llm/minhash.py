@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm import hashing as hs
 from corpusmill.llm.components import components
-from corpusmill.llm.tables import discard, written
+from corpusmill.llm.tables import discard, lean, written
 
 BANDS, ROWS = 32, 4
 SHINGLE = 5
@@ -93,7 +93,7 @@ def signatures(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows
                 names=["doc_id", "n_shingles", "key1", "key2", "signature", "band"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
-        task, "doc_id long, n_shingles long, key1 long, key2 long, signature binary, band array<long>")
+        lean(task), "doc_id long, n_shingles long, key1 long, key2 long, signature binary, band array<long>")
 
 
 def full_sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
@@ -107,7 +107,7 @@ def full_sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
                 [batch.column(0), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
     return (docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("string").alias("text"))
-            .join(wanted, "node", "left_semi").mapInArrow(task, "node long, shingles binary"))
+            .join(wanted, "node", "left_semi").mapInArrow(lean(task), "node long, shingles binary"))
 
 
 def agreeing(one: np.ndarray, many: np.ndarray, threshold: int) -> np.ndarray:

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm import hashing as hs
 from corpusmill.llm.run_index import RunIndex
-from corpusmill.llm.tables import discard, written
+from corpusmill.llm.tables import discard, lean, lean_group, written
 
 LENGTH = 50
 GRAM = 20
@@ -163,7 +163,7 @@ def _packed(docs: DataFrame) -> DataFrame:
                     pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["batch", "size", "payload"])
                 number += 1
 
-    return docs.mapInArrow(pack, "batch long, size long, payload binary")
+    return docs.mapInArrow(lean(pack, None), "batch long, size long, payload binary")
 
 
 def _told(packed: DataFrame, length: int, buckets: int) -> DataFrame:
@@ -187,7 +187,7 @@ def _told(packed: DataFrame, length: int, buckets: int) -> DataFrame:
                     pa.array(rows["base"], pa.int64()), pa.array(rows["body"], pa.list_(pa.binary()))],
                     names=["bucket", "batch", "base", "body"])
 
-    return packed.select("batch", "payload").mapInArrow(tell, "bucket int, batch long, base long, body array<binary>")
+    return packed.select("batch", "payload").mapInArrow(lean(tell, None), "bucket int, batch long, base long, body array<binary>")
 
 
 def _answered(table: pa.Table) -> pa.Table:
@@ -345,13 +345,13 @@ class Repeats:
         self.packed = written(_packed(docs), "repeats-batches")
         total = self.packed.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
         self.buckets = max(64, -(-total // (16 * BUCKET_UNITS)))
-        answers = written(_told(self.packed, length, self.buckets).groupBy("bucket").applyInArrow(_answered, _ANSWER), "repeats-answers")
+        answers = written(_told(self.packed, length, self.buckets).groupBy("bucket").applyInArrow(lean_group(_answered), _ANSWER), "repeats-answers")
         asked = answers.agg(F.coalesce(F.sum(F.octet_length("ask")), F.lit(0))).first()[0] // 4
         groups = max(128, -(-asked * (length + 16) // INDEX_BYTES))
         contexts = written(self.packed.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(
-            _contexts(length, self.buckets, groups), _CONTEXT), "repeats-contexts")
+            lean_group(_contexts(length, self.buckets, groups)), _CONTEXT), "repeats-contexts")
         indexed = contexts.filter("group is not null").select("group", "batch", "entries", "docs", "sizes", "places_of", "body").groupBy(
-            "group").applyInArrow(_indexed(length), "batch long, one binary, two binary")
+            "group").applyInArrow(lean_group(_indexed(length)), "batch long, one binary, two binary")
         single = contexts.filter("group is null").select("batch", F.explode(F.arrays_zip("hashes", "owners", "places")).alias("w")).select(
             "batch", "w.hashes", "w.owners", "w.places")
         least = single.groupBy("hashes").agg(F.min("owners").alias("least"))
@@ -374,7 +374,7 @@ class Repeats:
                 out.append(make(own, _removed(own, right, length)))
             return pa.concat_tables(out)
 
-        return self.packed.groupBy("batch").cogroup(self.answers.groupBy("batch")).applyInArrow(finish, schema)
+        return self.packed.groupBy("batch").cogroup(self.answers.groupBy("batch")).applyInArrow(lean_group(finish), schema)
 
     def digest(self) -> DataFrame:
         """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) per document."""

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+import ctypes
+from collections.abc import Callable
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 
 from corpusmill.session import shared_dir
 
@@ -29,12 +32,45 @@ def without(docs: DataFrame, ids: DataFrame, column: str = "doc_id") -> DataFram
     return docs.join(ids.select(column), column, "left_anti").select(docs.columns)
 
 
-def partition_count(df: DataFrame) -> int:
-    """Partitions for a shuffle that must be numbered: the session's, or the input's if more."""
-    spark = df.sparkSession
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), df.rdd.getNumPartitions())
+#: Rows that a task works on at a time.
+SLICE_ROWS = 512
+
+
+def _give_back() -> None:
+    """Return freed memory to the system: Python workers live on into later stages, idle or not."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not every C library can
+        pass
+
+
+def lean(task: Callable, rows: int | None = SLICE_ROWS) -> Callable:
+    """A mapInArrow task over slices of the batches (whole ones without ``rows``) that leaves no memory behind."""
+
+    def run(batches):
+        slices = batches if rows is None else (b.slice(k, rows) for b in batches for k in range(0, b.num_rows, rows))
+        try:
+            yield from task(slices)
+        finally:
+            _give_back()
+
+    return run
+
+
+def lean_group(task: Callable) -> Callable:
+    """The same for a function of one or two grouped tables."""
+
+    def one(table: pa.Table) -> pa.Table:
+        try:
+            return task(table)
+        finally:
+            _give_back()
 
+    def two(left: pa.Table, right: pa.Table) -> pa.Table:
+        try:
+            return task(left, right)
+        finally:
+            _give_back()
 
-def text_or_null(df: DataFrame, name: str, kind: str) -> Column:
-    """A column cast to its kind, or nulls where the table lacks it."""
-    return (F.col(name) if name in df.columns else F.lit(None)).cast(kind).alias(name)
+    return two if task.__code__.co_argcount == 2 else one
