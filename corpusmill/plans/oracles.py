@@ -293,6 +293,8 @@ def oracle_sql() -> dict[str, str]:
               count(DISTINCT text_hash) AS upserted FROM later
             WHERE filepath IN (SELECT filepath FROM moved)"""),
         "index_build": over_chunks(f"SELECT {KEYS} FROM ({dedup('chunks')})"),
+        "index_created": over_chunks(f"""SELECT language, count(*) AS stored, true AS made,
+            0::BIGINT AS empty, false AS made_again FROM ({dedup('chunks')}) GROUP BY language"""),
         "path_search": over_chunks(f"""SELECT {row} FROM chunks WHERE contains(filepath, 'src1/')
             ORDER BY filepath, start_line, end_line, text_hash LIMIT 20"""),
         "path_like": over_chunks(f"""SELECT {row} FROM chunks WHERE filepath LIKE '%src1_/e_/doc%'

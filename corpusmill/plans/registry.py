@@ -415,6 +415,18 @@ def index_cleared(spark, d):
     return before.crossJoin(after)
 
 
+def index_created(spark, d):
+    """An index is created where there is none, takes all chunks, and is opened again as it is."""
+    path = shared_dir(spark, "created")
+    made = snapshots.ensure_index(spark, path)
+    empty = snapshots.read_index(spark, path).agg(F.count("*").alias("empty")).first()[0]
+    added = embedding.embed(maintenance.dedup_chunks(chunks_of(spark, d)), embedding.hashed(64))
+    snapshots.append_delta(added, added.select("filepath").limit(0), path)
+    again = snapshots.ensure_index(spark, path)
+    return snapshots.read_index(spark, path).groupBy("language").agg(F.count("*").alias("stored")).withColumns({
+        "made": F.lit(made), "empty": F.lit(empty), "made_again": F.lit(again)})
+
+
 # Events
 
 
@@ -523,6 +535,7 @@ def queries() -> dict[str, Query]:
         "map_legend_types": legend_types,
         "map_saved": map_saved,
         "index_cleared": index_cleared,
+        "index_created": index_created,
         "edited_paths": edited_paths,
         "stream_refresh": stream_refresh,
     }

@@ -2,17 +2,22 @@
 
 An index is three plain parquet tables under one path::
 
-    rows/v=<n>/language=<l>/shard=<s>/    rows written by version n
-    removed/v=<n>/                        paths whose rows older than n are gone
-    commits/                              one row per finished version
+    rows/v=<n>-<writer>/language=<l>/shard=<s>/    rows of version n
+    removed/v=<n>-<writer>/                        paths whose rows older than n are gone
+    commits/v-<n>.parquet                          one row per finished version
 
 A full save starts a new base; a refresh appends only its delta, so its cost
-follows the change and not the index. A version counts once its commit row is
-there, so a job that dies half-way leaves nothing a reader would see.
+follows the change and not the index. Every writer has folders of its own, and a
+version counts once its commit file is there. That file is moved into place and never
+over another: of two writers of one version the second is refused, and what the first
+wrote stays as it is. A job that dies half-way leaves nothing a reader would see.
 """
 
 from __future__ import annotations
 
+import uuid
+
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,10 +30,11 @@ _COMMITS = T.StructType([
     T.StructField("version", T.LongType()),
     T.StructField("base", T.LongType()),
     T.StructField("token", T.StringType()),
+    T.StructField("folder", T.StringType()),
 ])
-_REMOVED = T.StructType([T.StructField("filepath", T.StringType()), T.StructField("v", T.LongType())])
+_REMOVED = T.StructType([T.StructField("filepath", T.StringType()), T.StructField("v", T.StringType())])
 _ROWS = T.StructType([
-    *INDEX.fields, T.StructField("shard", T.IntegerType()), T.StructField("v", T.LongType())])
+    *INDEX.fields, T.StructField("shard", T.IntegerType()), T.StructField("v", T.StringType())])
 
 
 def _commits(spark: SparkSession, path: str) -> DataFrame | None:
@@ -49,20 +55,40 @@ def _state(spark: SparkSession, path: str) -> tuple[int, int] | None:
     return None if last["version"] is None else (last["version"], last["base"])
 
 
-def _commit(spark: SparkSession, path: str, version: int, base: int, token: str | None) -> None:
-    """Record a finished version; fails if another writer has finished it meanwhile."""
-    commits = _commits(spark, path)
-    if commits is not None and not commits.where(F.col("version") == version).isEmpty():
-        raise RuntimeError(f"version {version} of {path} was committed by another writer")
-    row = spark.createDataFrame([(version, base, token)], _COMMITS)
-    row.coalesce(1).write.mode("append").parquet(f"{path}/commits")
-
+def _commit(spark: SparkSession, path: str, version: int, base: int, token: str | None, folder: str | None = None) -> None:
+    """Record a finished version; fails if another writer has finished it meanwhile.
 
-def _write_rows(rows: DataFrame, path: str, version: int, shards: int) -> None:
+    The commit row is written aside and its file moved to the version's name, which file
+    systems with an atomic move do for one writer only.
+    """
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    aside = f"{path}/uncommitted/{uuid.uuid4().hex}"
+    spark.createDataFrame([(version, base, token, folder)], _COMMITS).coalesce(1).write.parquet(aside)
+    at = jvm.org.apache.hadoop.fs.Path
+    conf = spark._jsc.hadoopConfiguration()
+    files = at(path).getFileSystem(conf)
+    part = files.globStatus(at(f"{aside}/part-*"))[0].getPath()
+    files.mkdirs(at(f"{path}/commits"))
+    target = files.makeQualified(at(f"{path}/commits/v-{version}.parquet"))
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), conf)
+    no_overwrite = gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+    try:
+        context.rename(part, target, no_overwrite)
+    except Py4JJavaError as error:
+        if error.java_exception.getClass().getSimpleName() != "FileAlreadyExistsException":
+            raise
+        raise RuntimeError(f"version {version} of {path} was committed by another writer") from None
+    finally:
+        files.delete(at(aside), True)
+
+
+def _write_rows(rows: DataFrame, path: str, version: int, shards: int) -> str:
+    """Write rows to a folder of this writer's own; returns its name."""
+    folder = f"{version}-{uuid.uuid4().hex}"
     if "shard" not in rows.columns:
         rows = lay_out(rows, shards)
-    rows.select(*INDEX_COLUMNS, "shard").write.mode("overwrite").partitionBy(
-        "language", "shard").parquet(f"{path}/rows/v={version}")
+    rows.select(*INDEX_COLUMNS, "shard").write.partitionBy("language", "shard").parquet(f"{path}/rows/v={folder}")
+    return folder
 
 
 def save_index(index: DataFrame, path: str, shards: int = 16) -> int:
@@ -73,8 +99,8 @@ def save_index(index: DataFrame, path: str, shards: int = 16) -> int:
     spark = index.sparkSession
     state = _state(spark, path)
     version = 0 if state is None else state[0] + 1
-    _write_rows(index, path, version, shards)
-    _commit(spark, path, version, version, None)
+    folder = _write_rows(index, path, version, shards)
+    _commit(spark, path, version, version, None, folder)
     return version
 
 
@@ -93,13 +119,17 @@ def append_delta(
     if token is not None and not _commits(spark, path).where(F.col("token") == token).isEmpty():
         return None
     version = state[0] + 1
-    _write_rows(added, path, version, shards)
-    removed.select("filepath").distinct().write.mode("overwrite").parquet(
-        f"{path}/removed/v={version}")
-    _commit(spark, path, version, state[1], token)
+    folder = _write_rows(added, path, version, shards)
+    removed.select("filepath").distinct().write.parquet(f"{path}/removed/v={folder}")
+    _commit(spark, path, version, state[1], token, folder)
     return version
 
 
+def _numbered(table: DataFrame) -> DataFrame:
+    """``v`` as the version that the folder's name begins with."""
+    return table.withColumn("v", F.substring_index("v", "-", 1).cast("long"))
+
+
 def read_index(spark: SparkSession, path: str, keep_shard: bool = True) -> DataFrame:
     """The index as of the latest committed version; no index reads as empty."""
     state = _state(spark, path)
@@ -107,14 +137,14 @@ def read_index(spark: SparkSession, path: str, keep_shard: bool = True) -> DataF
         return empty_index(spark)
     _, base = state
     # One row per version since the last full save.
-    versions = sorted(r["version"] for r in _commits(spark, path).where(
-        F.col("version") >= base).select("version").collect())
-    rows = spark.read.schema(_ROWS).option("basePath", f"{path}/rows").parquet(
-        *[f"{path}/rows/v={v}" for v in versions])
-    deltas = [v for v in versions if v > base]
+    folders = {r["version"]: r["folder"] for r in _commits(spark, path).where(
+        F.col("version") >= base).select("version", "folder").collect()}
+    rows = _numbered(spark.read.schema(_ROWS).option("basePath", f"{path}/rows").parquet(
+        *[f"{path}/rows/v={folder}" for _, folder in sorted(folders.items())]))
+    deltas = [folder for version, folder in sorted(folders.items()) if version > base]
     if deltas:
-        gone = spark.read.schema(_REMOVED).option("basePath", f"{path}/removed").parquet(
-            *[f"{path}/removed/v={v}" for v in deltas])
+        gone = _numbered(spark.read.schema(_REMOVED).option("basePath", f"{path}/removed").parquet(
+            *[f"{path}/removed/v={folder}" for folder in deltas]))
         last = gone.groupBy("filepath").agg(F.max("v").alias("gone_at"))
         dead = (rows["filepath"] == last["filepath"]) & (rows["v"] < last["gone_at"])
         rows = rows.join(last, dead, "left_anti")
@@ -126,6 +156,14 @@ def compact_index(spark: SparkSession, path: str, shards: int = 16) -> int:
     return save_index(read_index(spark, path, keep_shard=False), path, shards)
 
 
+def ensure_index(spark: SparkSession, path: str) -> bool:
+    """Create an empty index with the fixed schema where there is none; tells whether it did."""
+    if _state(spark, path) is not None:
+        return False
+    save_index(empty_index(spark), path)
+    return True
+
+
 def clear_index(spark: SparkSession, path: str) -> None:
     """Make the index empty; does nothing where there is none."""
     if _state(spark, path) is not None:

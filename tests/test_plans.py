@@ -110,3 +110,20 @@ print("rows", entry.entry(local_session(2)).count())
         [sys.executable, "-c", script], cwd=tmp_path, env=env, capture_output=True,
         text=True, timeout=300)
     assert "rows 320" in done.stdout, done.stderr[-2000:]
+
+
+@pytest.mark.parametrize("mode", ["compat", "strict"])
+def test_refresh_meets_both_sides_in_one_exchange(stored, mode):
+    """No side is chunked or shuffled twice, and only rows that come in are embedded."""
+    table, index = stored
+    edited = table.withColumn("content", F.when(F.col("filepath").contains("f3"), F.concat("content", F.lit("more\n" * 20))).otherwise(F.col("content")))
+    refreshed = maintenance.refresh_index(index, edited, hashed(16), mode)
+    assert refreshed.count() == index.count()
+    rows = refreshed.collect()
+    assert len(rows) == index.count() and all(len(r.vector) == 16 for r in rows)
+    text = refreshed._jdf.queryExecution().executedPlan().toString()
+    final = text[text.index("Final Plan"):text.index("Initial Plan")] if "Initial Plan" in text else text
+    assert final.count("Exchange hashpartitioning(filepath") + final.count("ReusedExchange") >= 1
+    assert final.count("hashpartitioning(text_hash") == 0
+    executed = [line for line in final.split("\n") if "Exchange hashpartitioning" in line and "Reused" not in line]
+    assert len(executed) == 1, final

@@ -183,3 +183,34 @@ def test_events_without_source_files_commit_nothing(spark, files, tmp_path):
     (inbox / "1.json").write_text('{"tool_name": "Edit", "tool_input": {"file_path": "x.md"}}')
     stream_refresh(spark, str(inbox), index_path, str(tmp_path / "cp"), encoder=ENC).awaitTermination()
     assert spark.read.parquet(f"{index_path}/commits").agg(F.count("*")).first()[0] == 1
+
+
+def test_a_refused_writer_leaves_the_first_ones_rows(spark, files, tmp_path, monkeypatch):
+    """Two writers of one version: one is kept whole, the other is told."""
+    path = str(tmp_path / "index")
+    snapshots.save_index(m.build_index(files(A), ENC), path)
+    first, second = (m.build_index(files({name: text(name)}), ENC) for name in ("first.ts", "second.ts"))
+    seen = snapshots._state(spark, path)
+    assert snapshots.append_delta(first, first.select("filepath"), path) == 1
+    with monkeypatch.context() as patched:
+        # The second writer looked before the first one committed.
+        patched.setattr(snapshots, "_state", lambda *_: seen)
+        with pytest.raises(RuntimeError, match="another writer"):
+            snapshots.append_delta(second, second.select("filepath"), path)
+        with pytest.raises(RuntimeError, match="another writer"):
+            snapshots.save_index(second, path)
+    want = keys(m.build_index(files({**A, "first.ts": text("first.ts")}), ENC))
+    assert keys(snapshots.read_index(spark, path)) == want
+    assert snapshots.append_delta(second, second.select("filepath"), path) == 2
+    assert len(keys(snapshots.read_index(spark, path))) == len(want) + second.count()
+    assert not list((tmp_path / "index" / "uncommitted").iterdir())
+
+
+def test_an_index_is_created_once(spark, files, tmp_path):
+    path = str(tmp_path / "index")
+    assert snapshots.ensure_index(spark, path)
+    assert snapshots.read_index(spark, path).schema.fieldNames()[:9] == m.empty_index(spark).columns
+    index = m.build_index(files(A), ENC)
+    snapshots.save_index(index, path)
+    assert not snapshots.ensure_index(spark, path)
+    assert keys(snapshots.read_index(spark, path)) == keys(index)
