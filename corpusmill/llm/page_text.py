@@ -3,11 +3,11 @@
 Each page is parsed leniently into nodes. Menus, headers, adverts, forms and the like go
 first, by element and by the words of class, id and role. What such a word marks comes
 back if it holds most of the page and nothing like an article is left without it. Every remaining node gets a
-density: its characters per tag, lowered where many of them are link text. The node
-whose children's densities have the largest sum is the core of the article. The least
-density on the way from it to the body is the threshold: neighbours of the core that
-reach it belong to the text (as does all of an enclosing article or main element), and
-link lists below it do not.
+density: its characters per tag, lowered where many of them are link text; inline
+formatting belongs to its block. The block whose children's densities have the largest sum
+is the core of the article. The least density on the way from it to the body is the
+threshold: the core grows to a node on that way where a neighbour comes near the
+threshold, whatever the elements are called, and link lists below it go.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ import html
 import math
 import re
 from collections.abc import Iterator
+from itertools import pairwise
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -52,6 +53,8 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 ELEMENT, NAMED = 2, 1
+#: Part of the threshold that a neighbour of the core must reach: short sections of an article are less dense.
+MARGIN = 1 / 3
 
 
 def _marked(name: str, attributes: str, in_article: bool) -> int:
@@ -197,8 +200,14 @@ class Page:
                 count = len(piece) - piece.count(" ") - piece.count("\n")
                 chars[node] += count
                 links[node] += count * self.link[node]
-        for k in range(n):
+        # Inline formatting is part of its block: no tag, no node of its own.
+        blocks = [k == 0 or self.name[k] in BLOCKS or self.name[k] in ("html", "body") for k in range(n)]
+        home = [0] * n  # the nearest block around a node
+        for k in range(1, n):
+            up = self.parent[k]
+            home[k] = up if blocks[up] else home[up]
             link_tags[k] = int(self.name[k] == "a")
+            tags[k] = int(blocks[k] or self.name[k] == "a")
         for k in range(n - 1, 0, -1):
             if not self.dropped[k]:
                 up = self.parent[k]
@@ -211,27 +220,27 @@ class Page:
         density = [_density(chars[k], links[k], tags[k], link_tags[k], ratio) for k in range(n)]
         total = [0.0] * n
         for k in range(n - 1, 0, -1):
-            if not self.dropped[k]:
-                total[self.parent[k]] += density[k]
+            if not self.dropped[k] and blocks[k]:
+                total[home[k]] += density[k]
         within = [False] * n
         for k in range(n):
             within[k] = k == body or (k > 0 and within[self.parent[k]])
         if not chars[body]:
             return ""
-        core = max((k for k in range(n) if within[k] and not self.dropped[k]), key=lambda k: (total[k], chars[k], -k))
+        core = max((k for k in range(n) if within[k] and blocks[k] and not self.dropped[k]), key=lambda k: (total[k], chars[k], -k))
         path = [core]
         while path[-1] != body:
-            path.append(self.parent[path[-1]])
+            path.append(home[path[-1]])
         threshold = min(density[k] for k in path)
-        chosen, below = core, {core}
-        for up in path[1:]:
-            if self.name[up] in ("article", "main"):
-                chosen = up
-            elif up != body and not self.article[chosen] and any(
-                    self.parent[k] == up and k not in below and not self.dropped[k] and chars[k] and density[k] >= threshold
-                    for k in range(up + 1, n)):
+        # The widest node on the way to the body that joins the core with a neighbour about as dense.
+        children: dict[int, list[int]] = {up: [] for up in path[1:-1]}
+        for k in range(1, n):
+            if blocks[k] and home[k] in children and not self.dropped[k] and chars[k]:
+                children[home[k]].append(k)
+        chosen = core
+        for below, up in pairwise(path[:-1]):
+            if any(k != below and density[k] >= MARGIN * threshold for k in children[up]):
                 chosen = up
-            below.add(up)
         keep = [False] * n
         for k in range(n):
             inside = k == chosen or k > 0 and keep[self.parent[k]]
@@ -258,8 +267,8 @@ def _density(chars: int, links: int, tags: int, link_tags: int, ratio: float) ->
         return 0.0
     plain = max(1, chars - links)
     base = math.log(chars / plain * links + ratio * chars + math.e)  # 1 or more
-    gain = math.log(chars / max(1, links) * tags / max(1, link_tags) + 1.0)
-    return chars / tags * gain / math.log(base + 1.0)
+    gain = math.log(chars / max(1, links) * max(1, tags) / max(1, link_tags) + 1.0)
+    return chars / max(1, tags) * gain / math.log(base + 1.0)
 
 
 def main_text(source: str | None) -> str:

@@ -87,6 +87,30 @@ def test_all_pages(spark, real):
         assert (got[p.page_id].text, got[p.page_id].n_chars, got[p.page_id].url) == (text, len(text), p.url)
 
 
+def test_the_names_of_the_article_element_decide_nothing(real):
+    for p in real("pages").collect():
+        plain = p.html.replace("<article>", "<div>").replace("</article>", "</div>")
+        assert main_text(plain) == main_text(p.html)
+
+
+def test_density_decides_the_core():
+    """Two wrappers without telling names: the one with prose is the text, the one with links is not."""
+    links = "".join(f"<li><a href={k}>Entry number {k}</a> x</li>" for k in range(40))
+    body = f"<div><div><div><ul>{links}</ul></div></div><div><h2>Title</h2><p>{A}</p><p>{B}</p><p>{C}</p></div></div>"
+    assert main_text(page(body)) == "\n\n".join(["Title", A, B, C])
+
+
+def test_deep_nesting_takes_linear_time():
+    import time
+
+    took = []
+    for n in (10_000, 100_000):
+        started = time.process_time()
+        assert main_text("<body>" + "<div>" * n + A) == A
+        took.append(time.process_time() - started)
+    assert took[1] < 30 * took[0]
+
+
 def test_edges(spark):
     rows = [(1, "u", None), (2, None, ""), (None, "u", page(f"<p>{A}</p>")), (3, "u", page("<p>" + "word " * 200_000 + "</p>")), (3, "u", "<p>é</p>")]
     df = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, text string")
