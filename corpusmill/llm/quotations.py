@@ -23,7 +23,7 @@ from corpusmill.llm.tables import written
 from corpusmill.session import ensure_checkpoint_dir
 
 _MARKS = "^((?:[ \\t]{0,3}>)+)"
-#: Lines and paragraphs of fewer words say too little to be looked up on their own.
+#: Lines and paragraphs of fewer words say too little to be looked up apart from their passage.
 MIN_WORDS = 3
 
 
@@ -41,11 +41,15 @@ def word_number(text: Column) -> Column:
 
 
 def _keys(text: Column) -> Column:
-    """The distinct normalised forms of a passage, its paragraphs and its lines, with their words."""
-    parts = F.concat(F.array(text), F.split(text, "\\n[ \\t]*\\n"), F.split(text, "\\n"))
-    forms = F.array_distinct(F.transform(parts, normalised))
-    return F.filter(F.transform(forms, lambda x: F.struct(F.md5(x).alias("key"), word_number(x).alias("words"))),
-                    lambda x: x["words"] >= MIN_WORDS)
+    """The distinct normalised forms of a passage, its paragraphs and its lines, with their words.
+
+    A passage as a whole is looked up however short it is: it may be a whole message.
+    """
+    parts = F.concat(F.split(text, "\\n[ \\t]*\\n"), F.split(text, "\\n"))
+    forms = F.concat(
+        F.filter(F.array(normalised(text)), lambda x: x != ""),
+        F.filter(F.transform(parts, normalised), lambda x: word_number(x) >= MIN_WORDS))
+    return F.transform(F.array_distinct(forms), lambda x: F.struct(F.md5(x).alias("key"), word_number(x).alias("words")))
 
 
 def messages(conversations: DataFrame) -> DataFrame:

@@ -45,6 +45,13 @@ def test_long_chain_and_hot_line(run):
     assert all((got[1, 100 + i].reply_to, got[1, 100 + i].depth) == (1, 2) for i in range(30))
 
 
+def test_short_messages_are_found_as_a_whole(run):
+    got = run([
+        (1, 0, "user", "Shall we begin with the first of them now?"), (1, 1, "assistant", "Yes, agreed."), (1, 2, "user", "Why not?\n\nIt is a longer message here."),
+        (1, 3, "user", "> yes agreed\nGood."), (1, 4, "user", "> Why not?\nA line of a longer message is too short alone."), (1, 5, "user", "> Good\n> !\nfine"), (1, 6, "user", "> ...\nnothing")])
+    assert [got[1, t].reply_to for t in range(7)] == [None, None, None, 1, None, 3, None]
+
+
 def test_edges(run, spark):
     got = run([(1, 0, "user", None), (1, 1, None, ""), (None, 2, "user", "> Some words that are quoted\nown"), (3, None, "user", "plain"),
                (4, 0, "user", "\n\nkeeps its\n\n\nblank lines \n"), (4, 1, "user", ">>> \n>"), (5, 0, "user", "word " * 50_000)])
