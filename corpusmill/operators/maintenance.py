@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from corpusmill.operators.chunking import chunk_documents
 from corpusmill.operators.embedding import Encoder, embed
 from corpusmill.schema import CHUNK_COLUMNS, INDEX, INDEX_COLUMNS
+from corpusmill.session import shared_dir
 
 
 def empty_index(spark: SparkSession) -> DataFrame:
@@ -160,32 +161,6 @@ def refresh_delta(
     return _embedded(added, encoder, shards), changed
 
 
-def _met(index: DataFrame, chunks: DataFrame, mode: str) -> DataFrame:
-    """Stored rows (side 0) and new chunks (side 1) met by path, each with ``replaced``.
-
-    One exchange brings a file's rows of both sides together, and all windows reuse it:
-    they are partitioned by the path and more. A chunk text starts with its path, so the
-    copies of a hash meet as well, and of the new ones the first is kept.
-    """
-    stored = index.select(*INDEX_COLUMNS, F.lit(0).alias("side"))
-    new = with_defaults(chunks.select(*CHUNK_COLUMNS)).withColumns({
-        "vector": F.lit(None).cast(index.schema["vector"].dataType), "side": F.lit(1)})
-    both = stored.unionByName(new).repartition("filepath")
-    same_hash = Window.partitionBy("filepath", "text_hash")
-    first = same_hash.orderBy("side", "start_line", "end_line", "node_type", "id")
-    # Stored rows come before new ones in a group, so a new row's place among its own is what it exceeds them by.
-    once = both.withColumns({
-        "nth": F.row_number().over(first), "stored": F.sum(1 - F.col("side")).over(same_hash),
-    }).where("side = 0 OR nth = stored + 1")
-    if mode == "compat":
-        differs = (F.col("side") == 1) & (F.col("stored") == 0)
-    else:
-        same_row = Window.partitionBy("filepath", "id")
-        differs = F.min("side").over(same_row) == F.max("side").over(same_row)
-    return once.withColumn("differs", differs).withColumn(
-        "replaced", F.max("differs").over(Window.partitionBy("filepath"))).drop("nth", "stored", "differs")
-
-
 def refresh_index(
     index: DataFrame,
     files: DataFrame,
@@ -195,17 +170,18 @@ def refresh_index(
 ) -> DataFrame:
     """Whole index after a refresh; snapshots write just the delta instead.
 
-    Each side is read and chunked once: the rows that stay and the rows that come in are
-    two readings of one exchange. Modes are those of :func:`refresh_delta`.
+    Not lazy: the new chunks are written to the shared folder, so that files are read and
+    chunked once, for the comparison and for the rows that come in. Of a stored index
+    the comparison shuffles two narrow columns; texts and vectors stay where they are
+    unless the replaced paths are too many for Spark to broadcast.
     """
-    if mode not in ("compat", "strict"):
-        raise ValueError(f"mode must be 'compat' or 'strict', not {mode!r}")
-    met = _met(index, chunker(files), mode)
-    kept = met.where((F.col("side") == 0) & ~F.col("replaced"))
-    added = embed(met.where((F.col("side") == 1) & F.col("replaced")), encoder, into="fresh")
-    # Both readings ask for the same columns, or the exchange would be made twice.
-    added = added.withColumn("vector", F.coalesce("fresh", "vector"))
-    return kept.select(*INDEX_COLUMNS).unionByName(added.select(*INDEX_COLUMNS))
+    spark = index.sparkSession
+    path = shared_dir(spark, "refresh-chunks")
+    chunks = chunker(files)
+    chunks.write.parquet(path)
+    added, changed = refresh_delta(index, spark.read.schema(chunks.schema).parquet(path), encoder, mode)
+    kept = delete_by_filepath(index, changed)
+    return kept.select(*INDEX_COLUMNS).unionByName(added)
 
 
 def refresh_summary(index: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -108,7 +108,9 @@ def changed_files(spark, d):
 
 def _refreshed(mode):
     def run(spark, d):
-        old = _unvectored(maintenance.dedup_chunks(chunks_of(spark, d)))
+        path = shared_dir(spark, "stored")
+        _unvectored(maintenance.dedup_chunks(chunks_of(spark, d))).write.parquet(path)
+        old = spark.read.parquet(path)
         new = b.edited_document_files(spark, d)
         out = maintenance.refresh_index(old, new, embedding.hashed(64), mode)
         return out.select(*CHUNK_KEYS)
