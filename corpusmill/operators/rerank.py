@@ -73,10 +73,12 @@ def search_end_to_end(
     scorer: Scorer = jaccard,
     k: int = CANDIDATE_K,
     n: int = RESULT_N,
+    push_ids: bool = False,
 ) -> DataFrame:
     """Embed the queries, take k nearest rows each, re-score, keep n.
 
-    There are at most k rows to keep, so an n above k returns those.
+    There are at most k rows to keep, so an n above k returns those. ``push_ids`` lets the
+    scan of a saved index fetch only row groups that may hold hits (see :func:`knn_search`).
     """
     asked = embed_queries(queries, encoder)
-    return rerank(knn_search(index, asked, k), queries, scorer, n)
+    return rerank(knn_search(index, asked, k, push_ids=push_ids), queries, scorer, n)

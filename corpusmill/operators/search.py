@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from corpusmill.functions.keys import MAX_PUSHED_KEYS, among
 from corpusmill.schema import CANDIDATE_K, ROW_COLUMNS
 
 MAX_BLOCK_QUERIES = 4096
@@ -321,6 +322,7 @@ def knn_search(
     queries: DataFrame,
     k: int = CANDIDATE_K,
     with_rows: bool = True,
+    push_ids: bool = False,
 ) -> DataFrame:
     """Top-k rows per query by cosine score, ties by id.
 
@@ -328,6 +330,9 @@ def knn_search(
     applies before the top-k). Output: query_id, rank, score, id and, with
     ``with_rows``, the text and metadata, fetched after the top-k so that wide
     columns stay out of the comparison. Reads the query side once while planning.
+    ``push_ids`` is for a saved index: where the hits are few by count, the search
+    runs at once and its ids go into the scan that fetches the rows, see
+    :func:`attach_pushed`.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
@@ -344,6 +349,8 @@ def knn_search(
     hits = _ranked(candidates, k)
     if not with_rows:
         return hits.select("query_id", "rank", "score", "id")
+    if push_ids and fits and block.num_rows * k <= MAX_PUSHED_KEYS:
+        return attach_pushed(hits, index)
     return attach_rows(hits, index, fits and block.num_rows * k <= MAX_BROADCAST_HITS)
 
 
@@ -364,3 +371,17 @@ def attach_rows(hits: DataFrame, index: DataFrame, small: bool = False) -> DataF
     rows = index.select(*keys, *have)
     picked = F.broadcast(hits) if small else hits
     return rows.join(picked, keys).select("query_id", "rank", "score", "id", *have)
+
+
+def attach_pushed(hits: DataFrame, index: DataFrame) -> DataFrame:
+    """:func:`attach_rows` for at most ``MAX_PUSHED_KEYS`` hits; runs the search.
+
+    The hits come to the driver and their ids, and the shards they lie in, are
+    filters of the scan: parquet skips the row groups whose Bloom filter has none of
+    the ids, and the pages of sorted files whose bounds hold none.
+    """
+    found = hits.select("query_id", "rank", "score", *_row_keys(index)).toArrow()
+    rows = index.where(among("id", found["id"].to_pylist()))
+    if "shard" in found.column_names:
+        rows = rows.where(F.col("shard").isin(sorted(set(found["shard"].to_pylist()))))
+    return attach_rows(index.sparkSession.createDataFrame(found), rows, small=True)

@@ -244,6 +244,9 @@ def oracle_sql() -> dict[str, str]:
              "ELSE filepath END")
     per_file = f"""SELECT filepath, min(language) AS language, count(*) AS chunk_count,
         {short} AS short_filepath FROM chunks GROUP BY filepath"""
+    hit_rows = text_hits() + """
+            SELECT query_id, rank, score, id, filepath, start_line, text_hash
+            FROM hits JOIN chunks USING (id)"""
     row = "text, filepath, start_line, end_line, node_type, language, text_hash"
     flat = "replace(text, chr(10), ' ')"
     single = f"CASE WHEN lang = 'en' THEN [upper({PATH})] WHEN lang = 'fr' THEN [{PATH}] END"
@@ -350,9 +353,8 @@ def oracle_sql() -> dict[str, str]:
         "embed_truncated": f"""WITH {unit_ctes(
             'documents', 'doc_id', "'passage: ' || text", 'dv', EMBED_DIM, DOCUMENT_MAX_TOKENS)}
             SELECT doc_id, b::INTEGER AS dim, round(v, 6) AS value FROM dv""",
-        "knn_text": text_hits() + """
-            SELECT query_id, rank, score, id, filepath, start_line, text_hash
-            FROM hits JOIN chunks USING (id)""",
+        "knn_text": hit_rows,
+        "knn_stored": hit_rows,
         "search_end_to_end": text_hits() + f""", pairs AS (
               SELECT query_id, rank AS candidate_rank, score, id, filepath,
                      {jaccard('benchmark.text', 'chunks.text')} AS rerank_score

@@ -324,6 +324,15 @@ def knn_text(spark, d):
         "query_id", "rank", "score", "id", "filepath", "start_line", "text_hash")
 
 
+def knn_stored(spark, d):
+    """``knn_text`` over a saved index: the texts of the hits are fetched by pushed ids."""
+    path = shared_dir(spark, "stored")
+    snapshots.save_index(_text_index(spark, d), path)
+    asked = embedding.embed_queries(b.benchmark_queries(spark, d))
+    return knn_search(snapshots.read_index(spark, path), asked, push_ids=True).select(
+        "query_id", "rank", "score", "id", "filepath", "start_line", "text_hash")
+
+
 _HIT = ["query_id", "rank", "candidate_rank", "score", "rerank_score", "id", "filepath"]
 
 
@@ -527,6 +536,7 @@ def queries() -> dict[str, Query]:
         "embed_truncated": embed_truncated,
         "embed_model": embed_model,
         "knn_text": knn_text,
+        "knn_stored": knn_stored,
         "rerank": rerank_query,
         "rerank_capped": rerank_capped,
         "rerank_model": rerank_model,

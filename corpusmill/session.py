@@ -45,6 +45,12 @@ def shared_dir(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/corpusmill/{label}-{uuid.uuid4().hex}"
 
 
+def remove_dir(spark: SparkSession, path: str) -> None:
+    """Delete a folder of :func:`shared_dir` with all it holds."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Set a checkpoint folder only where the session has none."""
     context = spark.sparkContext

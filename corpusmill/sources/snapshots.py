@@ -32,6 +32,12 @@ _COMMITS = T.StructType([
     T.StructField("token", T.StringType()),
     T.StructField("folder", T.StringType()),
 ])
+#: Row groups tell which ids and paths they may hold, so a scan for a few skips the rest.
+_FILTERS = {
+    "parquet.bloom.filter.enabled#id": "true",
+    "parquet.bloom.filter.enabled#filepath": "true",
+    "parquet.bloom.filter.adaptive.enabled": "true",
+}
 _REMOVED = T.StructType([T.StructField("filepath", T.StringType()), T.StructField("v", T.StringType())])
 _ROWS = T.StructType([
     *INDEX.fields, T.StructField("shard", T.IntegerType()), T.StructField("v", T.StringType())])
@@ -87,7 +93,9 @@ def _write_rows(rows: DataFrame, path: str, version: int, shards: int) -> str:
     folder = f"{version}-{uuid.uuid4().hex}"
     if "shard" not in rows.columns:
         rows = lay_out(rows, shards)
-    rows.select(*INDEX_COLUMNS, "shard").write.partitionBy("language", "shard").parquet(f"{path}/rows/v={folder}")
+    # The writer sorts by its partition columns anyway; with the id behind them pages have narrow bounds.
+    ordered = rows.select(*INDEX_COLUMNS, "shard").sortWithinPartitions("language", "shard", "id")
+    ordered.write.options(**_FILTERS).partitionBy("language", "shard").parquet(f"{path}/rows/v={folder}")
     return folder
 
 

@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from corpusmill.functions import text as tx
+from corpusmill.functions.keys import MAX_PUSHED_KEYS, among
 from corpusmill.operators.chunking import chunk_documents
 from corpusmill.operators.embedding import Encoder
 from corpusmill.operators.maintenance import refresh_delta
-from corpusmill.session import ensure_checkpoint_dir
+from corpusmill.session import remove_dir, shared_dir
 from corpusmill.sources.events import edited_paths, stream_events
 from corpusmill.sources.files import read_files
 from corpusmill.sources.snapshots import append_delta, read_index
@@ -20,6 +21,19 @@ from corpusmill.sources.snapshots import append_delta, read_index
 MAX_BROADCAST_PATHS = 50_000
 
 
+def stored_rows(index: DataFrame, paths: DataFrame) -> DataFrame:
+    """Index rows of distinct paths; counts the paths.
+
+    Up to ``MAX_PUSHED_KEYS`` paths are a filter of the scan: parquet skips the row groups
+    of a saved index whose Bloom filter has none of them. More are broadcast, and beyond
+    ``MAX_BROADCAST_PATHS`` Spark sizes the join itself.
+    """
+    n = paths.count()
+    if n <= MAX_PUSHED_KEYS:
+        return index.where(among("filepath", [r["filepath"] for r in paths.collect()]))
+    return index.join(F.broadcast(paths) if n <= MAX_BROADCAST_PATHS else paths, "filepath", "left_semi")
+
+
 def refresh_paths(
     index: DataFrame,
     paths: DataFrame,
@@ -28,23 +42,27 @@ def refresh_paths(
     mode: str = "compat",
     chunker=chunk_documents,
     shards: int = 16,
+    work: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Delta for some files: reads these files and their index rows only.
 
-    The chunks are checkpointed so that files are read once and both parts of
-    the delta see the same contents. Few paths, by count, are broadcast to the
-    index scan, which then shuffles nothing.
+    Paths and chunks are written to the folder ``work`` (a new one in the shared folder),
+    so that files are read once and both parts of the delta see the same contents.
+    Both read that folder, which may go when they have been used.
     """
-    ensure_checkpoint_dir(index.sparkSession)
-    paths = paths.select("filepath").distinct().checkpoint()
-    chunks = chunker(loader(paths)).checkpoint()
-    named = paths.select(tx.normalize_path(F.col("filepath")).alias("filepath"))
-    if paths.count() <= MAX_BROADCAST_PATHS:
-        named = F.broadcast(named)
-    stored = index.join(named, "filepath", "left_semi")
+    spark = index.sparkSession
+    work = work or shared_dir(spark, "refresh")
+    named = _written(paths.select("filepath").distinct(), f"{work}/paths")
+    chunks = _written(chunker(loader(named)), f"{work}/chunks")
+    stored = stored_rows(index, named.select(tx.normalize_path(F.col("filepath")).alias("filepath")).distinct())
     return refresh_delta(stored, chunks, encoder, mode, shards)
 
 
+def _written(df: DataFrame, path: str) -> DataFrame:
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def stream_refresh(
     spark: SparkSession,
     events_dir: str,
@@ -72,12 +90,19 @@ def stream_refresh(
         stream = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
         if stream is None:
             raise RuntimeError("the batch does not name its stream")
-        paths = edited_paths(batch).select("filepath").distinct()
-        if paths.isEmpty():
-            return
-        index = read_index(batch.sparkSession, index_path)
-        added, removed = refresh_paths(index, paths, loader, encoder, mode, chunker)
-        append_delta(added, removed, index_path, token=f"{name}-{stream}-{batch_id}")
+        session = batch.sparkSession
+        work = shared_dir(session, "micro-batch")
+        try:
+            # Written once: a batch is otherwise evaluated again by every action.
+            paths = _written(edited_paths(batch).select("filepath").distinct(), f"{work}/events")
+            if paths.isEmpty():
+                return
+            index = read_index(session, index_path)
+            added, removed = refresh_paths(
+                index, paths, loader, encoder, mode, chunker, work=f"{work}/delta")
+            append_delta(added, removed, index_path, token=f"{name}-{stream}-{batch_id}")
+        finally:
+            remove_dir(session, work)
 
     return (
         stream_events(spark, events_dir, files_per_batch).writeStream.foreachBatch(refresh)

@@ -7,12 +7,13 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from corpusmill.functions.keys import among
 from corpusmill.operators import maintenance as m
 from corpusmill.operators import reports
 from corpusmill.operators.embedding import embed_queries, hashed
 from corpusmill.operators.search import knn_search
 from corpusmill.sources import events, snapshots
-from corpusmill.streaming.refresh import stream_refresh
+from corpusmill.streaming.refresh import stored_rows, stream_refresh
 
 ENC = hashed(8)
 
@@ -70,6 +71,85 @@ def test_hits_prune_shards(spark, files, tmp_path):
     assert hits.count() == 2
 
 
+@pytest.fixture()
+def small_pages(spark):
+    """Parquet pages of few rows, so that skipping shows on small tables."""
+    conf = spark._jsc.hadoopConfiguration()
+    names = ["parquet.page.row.count.limit", "parquet.page.size.row.check.min"]
+    for name in names:
+        conf.set(name, "20")
+    yield
+    for name in names:
+        conf.unset(name)
+
+
+def scanned_rows(df, column):
+    """(rows, scan filters) that leave the one file scan whose filters name the column."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    nodes, scans = [plan], []
+    while nodes:
+        node = nodes.pop()
+        if node.nodeName().startswith("AdaptiveSparkPlan"):
+            nodes.append(node.executedPlan())
+            continue
+        if node.nodeName().endswith("QueryStage"):
+            nodes.append(node.plan())
+            continue
+        if node.nodeName().startswith("Scan parquet"):
+            scans.append(node)
+        children = node.children()
+        nodes += [children.apply(k) for k in range(children.size())]
+    found = [(s.metrics().apply("numOutputRows").value(), s.metadata().apply("PushedFilters")) for s in scans]
+    return [x for x in found if f"{column}," in x[1] or f"{column})" in x[1]]
+
+
+def test_hits_are_fetched_by_pushed_ids(spark, files, tmp_path, small_pages):
+    path = str(tmp_path / "index")
+    many = files({f"src/f{n}.ts": f"const a{n} = {n};\n" for n in range(2000)})
+    snapshots.save_index(m.build_index(many, ENC), path, shards=2)
+    stored = snapshots.read_index(spark, path)
+    queries = embed_queries(spark.createDataFrame(
+        [(1, "const a3"), (2, "a77 = 77"), (3, "")], "query_id bigint, query string"), ENC)
+    plain, pushed = knn_search(stored, queries, 2), knn_search(stored, queries, 2, push_ids=True)
+    assert sorted(map(tuple, pushed.collect())) == sorted(map(tuple, plain.collect()))
+    (rows, filters), = scanned_rows(pushed, "id")
+    assert "In(id," in filters
+    assert rows <= stored.count() / 4
+    # More ids than parquet compares one by one in a list.
+    pushed = knn_search(stored, queries.where("query_id < 3"), 20, push_ids=True)
+    assert pushed.count() == 40
+    (rows, _), = scanned_rows(pushed, "id")
+    assert 36 <= rows < stored.count()
+    # No hits, and more hits than are pushed.
+    none = knn_search(stored.limit(0), queries, 2, push_ids=True)
+    assert none.count() == 0 and none.columns == plain.columns
+
+
+def test_stored_rows_of_few_paths(spark, files, tmp_path):
+    """A group of rows whose Bloom filter lacks the paths is not read; many paths join instead."""
+    path = str(tmp_path / "index")
+    snapshots.save_index(m.build_index(files({f"src/f{n}.ts": f"const a{n} = {n};\n" for n in range(300)}), ENC), path, 8)
+    stored = snapshots.read_index(spark, path)
+    for names in (["src/f7.ts"], ["src/f7.ts", "no.ts"], [f"src/f{n}.ts" for n in range(0, 300, 2)], []):
+        paths = spark.createDataFrame([(x,) for x in names], "filepath string")
+        got = stored_rows(stored, paths)
+        want = stored.join(paths, "filepath", "left_semi")
+        assert sorted(r.id for r in got.collect()) == sorted(r.id for r in want.collect())
+    absent = stored_rows(stored, spark.createDataFrame([("no.ts",)], "filepath string"))
+    (rows, _), = scanned_rows(absent, "filepath")
+    assert rows == 0
+
+
+def test_keys_are_taken_as_they_are(spark):
+    odd = ["it's", "back\\slash", "\\'", "a`b", "%", "", "ünï\n\t", "None"] + [f"k{n}" for n in range(30)]
+    rows = spark.createDataFrame([(x,) for x in [*odd, "other", None]], "key string")
+    assert sorted(r.key for r in rows.where(among("key", odd)).collect()) == sorted(odd)
+    assert rows.where(among("key", [])).count() == 0
+    with pytest.raises(ValueError, match="10001 keys"):
+        among("key", map(str, range(10_001)))
+
+
 def test_delta_needs_an_index(spark, files, tmp_path):
     index = m.build_index(files(A), ENC)
     with pytest.raises(FileNotFoundError):
