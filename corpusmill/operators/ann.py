@@ -23,9 +23,13 @@ from pyspark.sql import types as T
 
 from corpusmill.functions import vectors as vx
 from corpusmill.operators.search import (
+    Kernel,
+    Products,
+    QueryBlock,
     _matrix,
     _unit_rows,
     few_hits,
+    held,
     knn_search,
 )
 from corpusmill.schema import CANDIDATE_K
@@ -192,19 +196,78 @@ def _list_array(values: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.ravel()))
 
 
+def _codes(m: np.ndarray, quantizer: Quantizer) -> np.ndarray:
+    step = quantizer.step
+    share = np.where(step > 0, (m - quantizer.low) / np.where(step > 0, step, 1.0), 0.0)
+    return np.floor(np.clip(share, 0.0, 1.0) * 255 + 0.5).astype(np.uint8)
+
+
+def pack_codes(index: DataFrame, quantizer: Quantizer) -> DataFrame:
+    """Replace ``vector`` by ``codes`` as bytes, one per dimension: the form to store."""
+    dim = len(quantizer.low)
+
+    @F.arrow_udf(T.BinaryType())
+    def encode(vectors: pa.Array) -> pa.Array:
+        m = _matrix(vectors)
+        if m.shape[1] not in (0, dim):
+            raise ValueError("vectors and quantizer differ in length")
+        offsets = pa.py_buffer(np.arange(len(m) + 1, dtype=np.int32) * dim)
+        return pa.Array.from_buffers(
+            pa.binary(), len(m), [None, offsets, pa.py_buffer(_codes(m, quantizer).tobytes())])
+
+    rows = index.where(F.col("vector").isNotNull())
+    return rows.withColumn("codes", encode(F.col("vector"))).drop("vector")
+
+
+def _code_kernel(quantizer: Quantizer) -> Kernel:
+    """Cosines of queries and coded rows without decoding a row.
+
+    A row is low + scale * code, so its product with a query is the product of the codes
+    with the scaled query, plus one number per query; its length comes from two more
+    products of the codes.
+    """
+    low, scale = quantizer.low, quantizer.step / 255
+
+    def products(queries: QueryBlock, batch) -> Products:
+        column = batch["codes"]
+        if isinstance(column, pa.ChunkedArray):
+            column = column.combine_chunks()
+        if pa.types.is_binary(column.type):
+            offsets = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4)
+            if not np.all(np.diff(offsets) == len(low)):
+                raise ValueError("codes of different lengths in one table")
+            codes = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0]:offsets[-1]]
+            codes = codes.reshape(len(column), len(low)).astype(np.float64)
+        else:
+            codes = _matrix(column)
+        if queries.matrix.shape[1] != codes.shape[1]:
+            raise ValueError("query and index vectors differ in length")
+        scaled, fixed = queries.matrix * scale, queries.matrix @ low
+        squares = low @ low + codes @ (2 * low * scale) + (codes * codes) @ (scale * scale)
+        lengths = np.sqrt(np.maximum(squares, 0.0))
+        lengths[lengths == 0] = 1.0
+
+        def of_rows(where):
+            block, norm = codes[where].T, lengths[where]
+            return lambda part: (scaled[part] @ block + fixed[part, None]) / norm
+
+        return of_rows
+
+    return Kernel("codes", products)
+
+
 def quantize_vectors(index: DataFrame, quantizer: Quantizer) -> DataFrame:
-    """Replace ``vector`` by ``codes``, one number from 0 to 255 per dimension."""
-    low, step = quantizer.low, quantizer.step
-    safe = np.where(step > 0, step, 1.0)
+    """Replace ``vector`` by ``codes``, one number from 0 to 255 per dimension.
+
+    An array to look into; :func:`pack_codes` gives the bytes to store and scan.
+    """
 
     @F.arrow_udf(T.ArrayType(T.ShortType()))
     def encode(vectors: pa.Array) -> pa.Array:
         m = _matrix(vectors)
         if not m.size:
             return pa.array([[]] * len(vectors), pa.list_(pa.int16()))
-        share = np.where(step > 0, (m - low) / safe, 0.0)
-        codes = np.floor(np.clip(share, 0.0, 1.0) * 255 + 0.5)
-        return _list_array(codes.astype(np.int16))
+        return _list_array(_codes(m, quantizer).astype(np.int16))
 
     rows = index.where(F.col("vector").isNotNull())
     return rows.withColumn("codes", encode(F.col("vector"))).drop("vector")
@@ -234,10 +297,11 @@ def knn_quantized(
 ) -> DataFrame:
     """Scan the codes for the best ``refine * k``, re-score those exactly.
 
-    ``coded`` is the narrow table that is scanned in full; of ``vectors`` (id,
-    vector) only the candidates' rows are used.
+    ``coded`` (bytes of :func:`pack_codes` or arrays) is the narrow table that is scanned
+    in full and never decoded; of ``vectors`` (id, vector) only the candidates' rows are used.
     """
-    rough = knn_search(dequantize(coded, quantizer), queries, k * refine, with_rows=False)
+    queries = held(queries)
+    rough = knn_search(coded, queries, k * refine, with_rows=False, kernel=_code_kernel(quantizer))
     picked = rough.select("query_id", "id")
     if few_hits(queries, k * refine):
         picked = F.broadcast(picked)

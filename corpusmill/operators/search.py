@@ -12,7 +12,7 @@ what leaves a task is at most k rows per query, whatever its input size.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -155,8 +155,38 @@ def _kept(s: np.ndarray, floor: np.ndarray, k: int, id_order) -> np.ndarray:
     return keep
 
 
+Products = Callable[[np.ndarray], Callable[[np.ndarray], np.ndarray]]
+
+
+@dataclass(frozen=True)
+class Kernel:
+    """How a batch is scored: its column, and products of query and row numbers.
+
+    ``products(queries, batch)`` takes row numbers, then query numbers, and gives their
+    cosines as a (queries x rows) matrix.
+    """
+
+    column: str
+    products: Callable[[QueryBlock, pa.RecordBatch], Products]
+
+
+def _vector_products(queries: QueryBlock, batch) -> Products:
+    vectors = _unit_rows(_matrix(batch["vector"]))
+    if vectors.shape[1] != queries.matrix.shape[1]:
+        raise ValueError("query and index vectors differ in length")
+
+    def of_rows(where):
+        block = vectors[where].T
+        return lambda part: queries.matrix[part] @ block
+
+    return of_rows
+
+
+VECTORS = Kernel("vector", _vector_products)
+
+
 def top_rows(
-    queries: QueryBlock, batches: Iterable, k: int, carry: list[str],
+    queries: QueryBlock, batches: Iterable, k: int, carry: list[str], kernel: Kernel = VECTORS,
 ) -> pa.RecordBatch | None:
     """Best k rows per query over all batches of a task."""
     if not len(queries.ids):
@@ -167,9 +197,7 @@ def top_rows(
     for batch in batches:
         if batch.num_rows == 0:
             continue
-        vectors = _unit_rows(_matrix(batch["vector"]))
-        if vectors.shape[1] != queries.matrix.shape[1]:
-            raise ValueError("query and index vectors differ in length")
+        of_rows = kernel.products(queries, batch)
         new_pos, new_row, new_score = [], [], []
 
         def id_order(where, batch=batch):
@@ -179,11 +207,11 @@ def top_rows(
         for who, where in _groups(queries, batch):
             if not len(where):
                 continue
-            block = vectors[where].T
+            scores_of = of_rows(where)
             step = max(1, MAX_SCORE_CELLS // len(where))
             for at in range(0, len(who), step):
                 part = who[at:at + step]
-                s = np.round(queries.matrix[part] @ block, 6) + 0.0
+                s = np.round(scores_of(part), 6) + 0.0
                 qi, ri = np.nonzero(_kept(s, floor[part], k, lambda: id_order(where)))
                 new_pos.append(part[qi])
                 new_row.append(where[ri])
@@ -225,21 +253,21 @@ def _query_columns(queries: DataFrame) -> DataFrame:
         "query_id", "qvec", language.cast("string").alias("qlanguage"), *extra)
 
 
-def _vector_names(index: DataFrame, carry: list[str], with_cells: bool) -> list[str]:
-    names = ["id", "vector", *carry]
+def _vector_names(index: DataFrame, carry: list[str], with_cells: bool, kernel: Kernel) -> list[str]:
+    names = ["id", kernel.column, *carry]
     names += ["language"] if "language" in index.columns else []
     return names + (["cells"] if with_cells else [])
 
 
-def _vector_rows(index: DataFrame) -> DataFrame:
-    return index.where(F.col("vector").isNotNull())
+def _vector_rows(index: DataFrame, kernel: Kernel) -> DataFrame:
+    return index.where(F.col(kernel.column).isNotNull())
 
 
-def _scan_candidates(index, block: pa.Table, k, carry, schema) -> DataFrame:
+def _scan_candidates(index, block: pa.Table, k, carry, schema, kernel) -> DataFrame:
     """Broadcast-block plan: scan the vectors in place."""
     with_cells = "qcells" in block.column_names
     languages = {x or None for x in block["qlanguage"].to_pylist()}
-    vectors = _vector_rows(index)
+    vectors = _vector_rows(index, kernel)
     if languages and None not in languages and "language" in index.columns:
         # Every query names a language: let the scan skip the others.
         vectors = vectors.where(F.col("language").isin(sorted(languages)))
@@ -250,11 +278,11 @@ def _scan_candidates(index, block: pa.Table, k, carry, schema) -> DataFrame:
             vectors = vectors.where(F.col("cell").isin(sorted(probed)))
     if languages == {None}:
         vectors = vectors.drop("language")
-    vectors = vectors.select(*_vector_names(vectors, carry, with_cells))
+    vectors = vectors.select(*_vector_names(vectors, carry, with_cells, kernel))
     shared = index.sparkSession.sparkContext.broadcast(block)
 
     def search_task(batches):
-        best = top_rows(QueryBlock.of(shared.value), batches, k, carry)
+        best = top_rows(QueryBlock.of(shared.value), batches, k, carry, kernel)
         if best is not None:
             yield best
 
@@ -265,7 +293,7 @@ def _numbers(n: int) -> Column:
     return F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))
 
 
-def _grid_candidates(index, queries, k, carry, schema, dim: int) -> DataFrame:
+def _grid_candidates(index, queries, k, carry, schema, dim: int, kernel) -> DataFrame:
     """Grid plan for query batches of any size.
 
     Each vector meets each column of queries once, each query each row of
@@ -276,7 +304,7 @@ def _grid_candidates(index, queries, k, carry, schema, dim: int) -> DataFrame:
     per_row = max(1, MAX_BLOCK_BYTES // (8 * dim))
     n_cols = -(-queries.count() // per_column)
     n_rows = max(1, -(-index.count() // per_row))
-    vectors = _vector_rows(index).select(*_vector_names(index, carry, with_cells))
+    vectors = _vector_rows(index, kernel).select(*_vector_names(index, carry, with_cells, kernel))
     left = vectors.withColumn("_row", F.pmod(F.xxhash64("id"), F.lit(n_rows))).withColumn(
         "_col", F.explode(_numbers(n_cols)))
     right = queries.withColumn("_col", F.pmod(F.xxhash64("query_id"), F.lit(n_cols))).withColumn(
@@ -286,7 +314,7 @@ def _grid_candidates(index, queries, k, carry, schema, dim: int) -> DataFrame:
     def cell_task(cell_vectors: pa.Table, cell_queries: pa.Table) -> pa.Table:
         best = None
         if cell_vectors.num_rows and cell_queries.num_rows:
-            best = top_rows(QueryBlock.of(cell_queries), [cell_vectors], k, carry)
+            best = top_rows(QueryBlock.of(cell_queries), [cell_vectors], k, carry, kernel)
         if best is None:
             empty = {"query_id": cell_queries["query_id"].slice(0, 0),
                      "score": pa.array([], pa.float64())}
@@ -323,6 +351,7 @@ def knn_search(
     k: int = CANDIDATE_K,
     with_rows: bool = True,
     push_ids: bool = False,
+    kernel: Kernel = VECTORS,
 ) -> DataFrame:
     """Top-k rows per query by cosine score, ties by id.
 
@@ -342,10 +371,10 @@ def knn_search(
     block = asked.limit(MAX_BLOCK_QUERIES + 1).toArrow()
     fits = block.num_rows <= MAX_BLOCK_QUERIES and block.nbytes <= MAX_BLOCK_BYTES
     if fits:
-        candidates = _scan_candidates(index, block, k, carry, schema)
+        candidates = _scan_candidates(index, block, k, carry, schema, kernel)
     else:
         dim = len(block["qvec"][0].as_py())
-        candidates = _grid_candidates(index, asked, k, carry, schema, dim)
+        candidates = _grid_candidates(index, asked, k, carry, schema, dim, kernel)
     hits = _ranked(candidates, k)
     if not with_rows:
         return hits.select("query_id", "rank", "score", "id")
@@ -354,6 +383,14 @@ def knn_search(
     return attach_rows(hits, index, fits and block.num_rows * k <= MAX_BROADCAST_HITS)
 
 
+def held(queries: DataFrame) -> DataFrame:
+    """A query batch that fits one block as a local table, so that it is evaluated once."""
+    block = queries.limit(MAX_BLOCK_QUERIES + 1).toArrow()
+    if block.num_rows > MAX_BLOCK_QUERIES or block.nbytes > MAX_BLOCK_BYTES:
+        return queries
+    return queries.sparkSession.createDataFrame(block, queries.schema)
+
+
 def few_hits(queries: DataFrame, k: int) -> bool:
     """Whether k hits for each query are few enough to broadcast; counts the queries."""
     most = MAX_BROADCAST_HITS // k

@@ -256,7 +256,7 @@ def knn_quantized(spark, d):
     index = b.vector_index(spark, d)
     quantizer = ann.fit_quantizer(index)
     return ann.knn_quantized(
-        ann.quantize_vectors(index, quantizer), index,
+        ann.pack_codes(index, quantizer), index,
         b.centroid_queries(spark, d), quantizer)
 
 

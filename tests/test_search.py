@@ -192,6 +192,31 @@ def test_quantised_search(planted):
     assert recall(ann.knn_quantized(coded, index, queries, quantizer, 10), exact) >= 0.99
 
 
+def test_codes_are_scored_as_the_vectors_they_stand_for(planted):
+    """Bytes, arrays and decoded vectors give the same rough ranking, also for a length of 0."""
+    index, queries = planted
+    zero = F.transform("vector", lambda x: F.lit(0.0).cast("float"))
+    index = index.unionByName(index.limit(1).withColumns({"id": F.lit("zero"), "vector": zero}))
+    quantizer = ann.fit_quantizer(index)
+    packed, listed = ann.pack_codes(index, quantizer), ann.quantize_vectors(index, quantizer)
+    bytes_of = {r.id: list(r.codes) for r in packed.select("id", "codes").collect()}
+    assert bytes_of == {r.id: list(r.codes) for r in listed.select("id", "codes").collect()}
+    kernel = ann._code_kernel(quantizer)
+
+    def scores(hits):
+        return {(r.query_id, r["rank"]): r.score for r in hits.collect()}
+
+    want = scores(search.knn_search(ann.dequantize(listed, quantizer), queries, 20, with_rows=False))
+    for coded in (packed, listed):
+        got = scores(search.knn_search(coded, queries, 20, with_rows=False, kernel=kernel))
+        assert got.keys() == want.keys()
+        assert all(abs(got[x] - want[x]) < 3e-6 for x in want)
+    assert ann.pack_codes(index.limit(0), quantizer).count() == 0
+    assert ann.knn_quantized(packed.limit(0), index, queries, quantizer, 3).count() == 0
+    assert recall(ann.knn_quantized(packed, index, queries, quantizer, 10),
+                  search.knn_search(index, queries, 10, with_rows=False)) >= 0.99
+
+
 def test_rerank_is_stable_and_bounded(spark):
     hits = spark.createDataFrame(
         [(1, r, 0.9, f"h{r}", t) for r, t in enumerate(["b c", "a b", "b a", "x", "a b"], 1)],
