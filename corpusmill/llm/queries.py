@@ -87,4 +87,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op12_vector_codes": sql.vector_codes(), "op13_filter_audit": sql.FILTER_AUDIT}
+    return {"op7_suffix_repeats": sql.SUFFIX_REPEATS, "op8_minhash_near_dedup": sql.NEAR_DUPLICATES,
+            "op12_vector_codes": sql.vector_codes(), "op13_filter_audit": sql.FILTER_AUDIT}

@@ -42,6 +42,60 @@ counted AS (
 SELECT *, (sum(removed) OVER (PARTITION BY part, filter_order[step]))::BIGINT AS shapley FROM counted
 """
 
+#: All 50-byte strings, their least document, and islands of covered positions; bytes as hex pairs.
+SUFFIX_REPEATS = """
+WITH docs AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+windows AS (
+  SELECT doc_id, place, md5_number(substr(h, 2 * place + 1, 100)) AS w
+  FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS place FROM docs)),
+firsts AS (SELECT w, min(doc_id) AS least FROM windows GROUP BY w HAVING min(doc_id) < max(doc_id)),
+starts AS (
+  SELECT doc_id, place, coalesce(place > lag(place) OVER (PARTITION BY doc_id ORDER BY place) + 50, true) AS fresh
+  FROM windows JOIN firsts USING (w) WHERE doc_id > least),
+islands AS (
+  SELECT doc_id, island, min(place) AS lo, max(place) + 50 AS hi
+  FROM (SELECT doc_id, place, sum(fresh::INT) OVER (PARTITION BY doc_id ORDER BY place) AS island FROM starts)
+  GROUP BY ALL),
+cuts AS (
+  SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS before FROM islands),
+kept AS (
+  SELECT doc_id, sum(hi - lo)::BIGINT AS n_removed, count(*) AS n_spans,
+         string_agg(substr(h, 2 * before + 1, 2 * (lo - before)), '' ORDER BY lo)
+           || substr(any_value(h), 2 * max(hi) + 1) AS rest
+  FROM cuts JOIN docs USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed,
+       coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(rest, h))) AS kept_sha256
+FROM docs LEFT JOIN kept USING (doc_id)
+"""
+
+#: All pairs of different sets that share a shingle, and every document that links reach.
+NEAR_DUPLICATES = r"""
+WITH RECURSIVE worded AS (
+  SELECT doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+  FROM documents),
+sets AS (
+  SELECT doc_id, CASE
+    WHEN len(words) = 0 THEN []
+    WHEN len(words) < 4 THEN [array_to_string(words, ' ')]
+    ELSE list_sort(list_distinct([array_to_string(words[k:k + 3], ' ') FOR k IN range(1, len(words) - 2)])) END AS s
+  FROM worded),
+same AS (
+  SELECT doc_id, s, CASE WHEN len(s) = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY s) END AS least FROM sets),
+parts AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM same WHERE doc_id = least),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b
+  FROM parts a JOIN parts b ON a.x = b.x AND a.doc_id <> b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n
+  HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+reach AS (
+  SELECT DISTINCT least AS node, least AS other FROM same
+  UNION SELECT node, b FROM reach JOIN links ON a = other),
+roots AS (SELECT node, min(other) AS component_id FROM reach GROUP BY node)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
+FROM same JOIN roots ON node = least
+"""
+
 
 def vector_codes(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
     """Complete scans in every round, by the definition."""
