@@ -41,6 +41,41 @@ def test_each_template_is_found_in_a_long_line(template):
         assert template.license in {r[2] for r in Scanner().scan(f"{a} {template.text} {b}")}
 
 
+GNU = ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU {}General Public License as "
+       "published by the Free Software Foundation, either version {} of the License, or (at your option) any later version.")
+
+
+@pytest.mark.parametrize("text,want", [
+    (GNU.format("Affero ", 3), ["AGPL-3.0"]),
+    (GNU.format("Lesser ", 3), ["LGPL-3.0"]),
+    (GNU.format("Lesser ", "2.1"), ["LGPL-2.1"]),
+    (GNU.format("", 2), ["GPL-2.0"]),
+    (GNU.format("", "3.0"), ["GPL-3.0"]),
+    (GNU.format("", 2) + "\n" + GNU.format("", 3), ["GPL-2.0", "GPL-3.0"]),
+    ("This work is licensed under the GNU General Public License, version 3.0.", ["GPL-3.0"]),
+    ("This work is licensed under the GNU Lesser General Public License, version 2.", []),
+    ("This file is not Released under the MIT License.", []),
+    ("This work is not licensed under the GNU General Public License, version 3.", []),
+    ("Why not? No. Released under the MIT License.", ["MIT"]),
+    ("Licensed under CC BY-SA 4.0.", ["CC-BY-SA-4.0"]),
+    ("Released by some of us here long ago under the terms that go with the MIT License.", []),
+])
+def test_words_that_change_the_license(text, want):
+    assert [r[2] for r in Scanner().scan(text) if r[2]] == want
+
+
+def test_the_saving_ranks_what_the_wording_confirms():
+    """Both BSD templates hold word by word in the longer text; the one that saves more takes it."""
+    longer = next(t for t in TEMPLATES if t.license == "BSD-3-Clause")
+    shorter = next(t for t in TEMPLATES if t.license == "BSD-2-Clause")
+    scanner = Scanner()
+    row, = [r for r in scanner.scan(longer.text) if r[2]]
+    assert row[2] == "BSD-3-Clause" and row[4] == scanner.saved(longer.text.replace(",", "").replace(":", "").replace(".", ""), TEMPLATES.index(longer))
+    assert row[4] > scanner.saved(longer.text, TEMPLATES.index(shorter))
+    scanner.saved = lambda block, k: 1 if TEMPLATES[k] is shorter else 0
+    assert "BSD-2-Clause" in [r[2] for r in scanner.scan(longer.text)]
+
+
 def test_neighbouring_notices_get_a_row_each():
     notices = [t for t in TEMPLATES if t.name == "notice"]
     text = "\n".join(t.text for t in notices) + "\n" + notices[0].text
