@@ -45,9 +45,12 @@ SELECT *, (sum(removed) OVER (PARTITION BY part, filter_order[step]))::BIGINT AS
 #: All 50-byte strings, their least document, and islands of covered positions; bytes as hex pairs.
 SUFFIX_REPEATS = """
 WITH docs AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+pieces AS (
+  SELECT doc_id, first, substr(h, 2 * first + 1, 2 * (128 + 49)) AS piece
+  FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2, 128)) AS first FROM docs)),
 windows AS (
-  SELECT doc_id, place, md5_number(substr(h, 2 * place + 1, 100)) AS w
-  FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS place FROM docs)),
+  SELECT doc_id, first + k AS place, md5_number(substr(piece, 2 * k + 1, 100)) AS w
+  FROM (SELECT doc_id, first, piece, unnest(range(0, length(piece) // 2 - 49)) AS k FROM pieces)),
 firsts AS (SELECT w, min(doc_id) AS least FROM windows GROUP BY w HAVING min(doc_id) < max(doc_id)),
 starts AS (
   SELECT doc_id, place, coalesce(place > lag(place) OVER (PARTITION BY doc_id ORDER BY place) + 50, true) AS fresh
