@@ -386,6 +386,22 @@ def oracle_sql() -> dict[str, str]:
                 SELECT id, (length(text) + 9)::DOUBLE AS a,
                   (length(text) - length(replace(text, chr(10), '')) + 1)::DOUBLE AS b
                 FROM chunks))"""),
+        # Two components: the axes are the eigenvectors of a 2 x 2 matrix, the larger loading positive.
+        "map_points_plane": over_chunks(f""", vecs AS (
+              SELECT *, (a / n)::FLOAT::DOUBLE AS p, (b / n)::FLOAT::DOUBLE AS q FROM (
+                SELECT *, sqrt(a * a + b * b) AS n FROM (
+                  SELECT *, (length(text) + 9)::DOUBLE AS a,
+                    (length(text) - length(replace(text, chr(10), '')) + 1)::DOUBLE AS b FROM chunks))),
+            turned AS (SELECT avg(p) AS mp, avg(q) AS mq,
+              atan2(2 * covar_samp(p, q), var_samp(p) - var_samp(q)) / 2 AS t FROM vecs),
+            axes AS (SELECT mp, mq, cos(t) AS c, sin(t) AS s,
+              CASE WHEN abs(cos(t)) >= abs(sin(t)) THEN sign(cos(t)) ELSE sign(sin(t)) END AS first,
+              CASE WHEN abs(sin(t)) >= abs(cos(t)) THEN sign(-sin(t)) ELSE sign(cos(t)) END AS second
+              FROM turned)
+            SELECT round(first * (c * (p - mp) + s * (q - mq)), 6) + 0.0 AS x,
+              round(second * (c * (q - mq) - s * (p - mp)), 6) + 0.0 AS y,
+              filepath, {short} AS short_filepath, language, node_type, start_line,
+              substr({flat}, 1, 120) AS snippet FROM vecs, axes"""),
         "map_legend": over_chunks("""SELECT language AS color, count(*) AS points
             FROM chunks GROUP BY language"""),
         "map_legend_types": over_chunks("""SELECT node_type AS color, count(*) AS points

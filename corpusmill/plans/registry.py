@@ -400,6 +400,12 @@ def points(spark, d):
     return _points(spark, d).withColumn("x", F.round("x", 6)).withColumn("y", F.round("y", 6))
 
 
+def points_plane(spark, d):
+    """Map of chunks whose vectors have two components, the axes of which SQL can name."""
+    chunks = embedding.embed(chunks_of(spark, d), embedding.model(_length_model, 2))
+    return map_points(pca_2d(chunks)).withColumns({c: F.round(c, 6) + 0.0 for c in ("x", "y")})
+
+
 def legend(spark, d):
     return map_legend(_points(spark, d)).select("color", "points")
 
@@ -543,6 +549,7 @@ def queries() -> dict[str, Query]:
         "search_end_to_end": search,
         "pca_2d": pca,
         "map_points": points,
+        "map_points_plane": points_plane,
         "map_legend": legend,
         "map_legend_types": legend_types,
         "map_saved": map_saved,
