@@ -1,14 +1,19 @@
-"""Benchmark leaks: rare words of the items find candidates, Smith-Waterman alignment scores them.
+"""Benchmark leaks: rare bigrams of the items find candidates, Smith-Waterman alignment scores them.
 
 The test items are the query set: they are taken in blocks of bounded bytes, each block
 against all documents. An alignment that reaches ``min_score`` matches at least that
 share of an item's words, and no text longer than the item and the gaps this score
-allows. So of ``n`` words at most ``n - least`` are unmatched, where ``least`` words must match, and of any
-``n - least + k`` of them ``k`` or more stand in the leaked passage, however it was edited.
-Per block, a first pass counts how often each word of the items occurs; the rarest of an
-item become its seeds. A second pass looks the seeds up in the documents and aligns the
-item with every passage that holds ``k`` of them, and ``least`` of its words, close enough to
-each other. Both happen in the task that read the document: no shuffle, and nothing grows with copies.
+allows; at least ``least`` of the item's words match. The score leaves
+``2 * (1 - min_score) * n`` points to lose, and no edit breaks more than one of the item's ``n - 1``
+bigrams a point (an inserted word breaks one for a point, another word two for three, a missing
+end one for two). So ``whole`` bigrams or more stand in the leaked passage, however it was
+edited, and of any ``n - 1 - whole + k`` of them ``k`` or more. Items too short for this (5 words or fewer
+at 0.6) are found by single words, of which ``least`` stand there.
+Per block, a first pass counts how often each bigram of the items occurs; the rarest of an
+item become its seeds. A second pass joins the documents' bigrams with the seeds by hash and
+aligns the item with every passage that holds ``k`` of them, and ``least`` of its words, close enough to
+each other. The seeds of a block are small and sent to the task that reads the document: no shuffle,
+and nothing grows with copies.
 
 Words are runs of ASCII letters, digits and non-ASCII characters, lower-cased.
 """
@@ -37,7 +42,7 @@ _BITS = 20
 
 
 class Lookup:
-    """Word hashes, looked up through a bitmap and then exactly."""
+    """Hashes, looked up through a bitmap and then exactly."""
 
     def __init__(self, hashes: np.ndarray):
         self.hashes = np.unique(hashes)
@@ -101,26 +106,44 @@ class Matcher:
         self.words, self.min_score = words, min_score
         self.size = np.array([len(w) for w in words], np.int64)
         self.least = np.array([max(1, math.ceil(min_score * n - 1e-9)) for n in self.size], np.int64)
+        lost = np.floor((1 - min_score) * MATCH * self.size + 1e-9).astype(np.int64)
         #: Gaps in the item that an alignment of all its words can afford.
-        self.gaps = np.array([max(0, math.floor((1 - min_score) * MATCH * n / -GAP + 1e-9)) for n in self.size], np.int64)
-        self.asked = np.minimum(np.maximum(1, self.size // SEEDS_A_HIT), self.least)
-        self.seeds = Lookup(np.concatenate([np.zeros(0, np.uint64), *words]))
+        self.gaps = np.maximum(0, lost // -GAP)
+        whole = self.size - 1 - lost
+        #: Words in a seed, and how many seeds of an item stand in each leak of it.
+        self.gram = np.where(whole >= 1, 2, 1)
+        self.whole = np.where(whole >= 1, whole, self.least)
+        self.asked = np.minimum(np.maximum(1, self.size // SEEDS_A_HIT), self.whole)
+        self.grams = [hs.grams(w, int(g)) for w, g in zip(words, self.gram, strict=True)]
+        self.lengths = sorted({int(g) for g, w in zip(self.gram, words, strict=True) if len(w)})
+        self.seeds = Lookup(np.concatenate([np.zeros(0, np.uint64), *self.grams]))
         self.first = self.item = self.place = np.zeros(0, np.int64)
 
+    def find(self, hashes: np.ndarray, bound: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(document, word position, index of the seed) of every seed in the texts, by position."""
+        found = [self.seeds.find(hs.grams(hashes, n)) for n in self.lengths]
+        at = np.concatenate([np.zeros(0, np.int64), *(x for x, _ in found)])
+        index = np.concatenate([np.zeros(0, np.int64), *(x for _, x in found)])
+        last = at + np.repeat(np.array(self.lengths, np.int64), [len(x) for x, _ in found]) - 1
+        doc = np.searchsorted(bound, at, side="right") - 1
+        own = np.flatnonzero(last < bound[doc + 1])  # a gram over the end of a text is none
+        own = own[np.argsort(at[own], kind="stable")]
+        return doc[own], at[own], index[own]
+
     def counts(self, column: pa.Array) -> dict[int, int]:
-        """How often each word of the items occurs in the texts."""
+        """How often each gram of the items occurs in the texts."""
         found: Counter[int] = Counter()
-        for _, hashes, _ in _text_words(column):
-            index, n = np.unique(self.seeds.find(hashes)[1], return_counts=True)
+        for _, hashes, bound in _text_words(column):
+            index, n = np.unique(self.find(hashes, bound)[2], return_counts=True)
             found.update(dict(zip(self.seeds.hashes[index].tolist(), n.tolist(), strict=True)))
         return found
 
     def choose(self, frequency: dict[int, int]) -> None:
-        """Keep as seeds so many of the rarest words of an item that each leak holds ``asked`` of them."""
+        """Keep as seeds so many of the rarest grams of an item that each leak holds ``asked`` of them."""
         seeds = []
-        for k, w in enumerate(self.words):
-            order = sorted(range(len(w)), key=lambda j: (frequency.get(int(w[j]), 0), j))
-            seeds += [(int(w[j]), k, j) for j in order[:max(0, len(w) - int(self.least[k]) + int(self.asked[k]))]]
+        for k, grams in enumerate(self.grams):
+            order = sorted(range(len(grams)), key=lambda j: (frequency.get(int(grams[j]), 0), j))
+            seeds += [(int(grams[j]), k, j) for j in order[:max(0, len(grams) - int(self.whole[k]) + int(self.asked[k]))]]
         seeds.sort()
         self.seeds = Lookup(np.array([x[0] for x in seeds], np.uint64))
         self.first = np.searchsorted(np.array([x[0] for x in seeds], np.uint64), self.seeds.hashes)
@@ -143,8 +166,7 @@ class Matcher:
 
     def _passages(self, hashes: np.ndarray, bound: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """(document, item, first words, words after the last) of stretches that hold enough seeds."""
-        at, index = self.seeds.find(hashes)
-        doc = np.searchsorted(bound, at, side="right") - 1
+        doc, at, index = self.find(hashes, bound)
         times = self.first[index + 1] - self.first[index]
         total = np.cumsum(times)
         begin = 0

@@ -7,7 +7,7 @@ import random
 import numpy as np
 import pytest
 
-from corpusmill.llm.decontamination import GAP, MATCH, MISMATCH, align, leaks, located, without_leaks
+from corpusmill.llm.decontamination import GAP, MATCH, MISMATCH, Matcher, align, leaks, located, without_leaks
 
 ITEMS = "item_id long, text string"
 
@@ -124,3 +124,39 @@ def test_every_alignment_above_the_bound_is_found(spark, docs):
     want = {(d, i): plain_score(x, text) / (MATCH * len(x)) for d, text in rows for i, x in items}
     assert got == {key: score for key, score in want.items() if score >= 0.6}
     assert len(got) > 30
+
+
+def test_seeds_are_the_rarest_bigrams():
+    words = [np.arange(1, 21, dtype=np.uint64), np.arange(50, 54, dtype=np.uint64)]
+    matcher = Matcher(words, 0.6)
+    assert list(matcher.gram) == [2, 1] and list(matcher.whole) == [3, 3] and list(matcher.asked) == [2, 1]
+    often = {int(g): 5 for g in matcher.grams[0][:4]}
+    matcher.choose(often)
+    # Of 19 bigrams any 18 hold two of the three that every leak has; the one left out is the last of the frequent.
+    assert sorted(matcher.place[matcher.item == 0]) == [x for x in range(19) if x != 3]
+    assert sorted(matcher.place[matcher.item == 1]) == [0, 1]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_no_alignment_above_the_bound_has_fewer_whole_bigrams(seed):
+    rng = random.Random(seed)
+    for _ in range(300):
+        n = rng.randint(1, 30)
+        item, text = list(range(n)), []
+        rate = rng.random() * 0.9
+        for w in item:
+            kind = rng.choice(["insert", "insert", "other", "gone"]) if rng.random() < rate else ""
+            text += [w] if not kind else [w, 1000] if kind == "insert" else [1000] if kind == "other" else []
+        if plain_score(item, text) < 0.6 * MATCH * n:
+            continue
+        matcher = Matcher([np.array(item, np.uint64)], 0.6)
+        size = int(matcher.gram[0])
+        runs = {tuple(text[k:k + size]) for k in range(len(text))}
+        assert sum(tuple(item[k:k + size]) in runs for k in range(n - size + 1)) >= matcher.whole[0]
+
+
+def test_a_bigram_over_the_end_of_a_text_is_none(spark, docs):
+    """The first words of an item end one document, its last begin the next."""
+    rows = [(1, "x y a b c"), (2, "d e f g h"), (3, "a b c d e f")]
+    got = leaks(docs(rows), spark.createDataFrame([(1, "a b c d e f")], ITEMS)).collect()
+    assert [(r.doc_id, r.score) for r in got] == [(3, 1.0)]
