@@ -252,6 +252,9 @@ def oracle_sql() -> dict[str, str]:
     single = f"CASE WHEN lang = 'en' THEN [upper({PATH})] WHEN lang = 'fr' THEN [{PATH}] END"
     moved = "SELECT DISTINCT filepath FROM new n WHERE NOT EXISTS (SELECT 1 FROM old o " \
         "WHERE o.filepath = n.filepath AND o.text_hash = n.text_hash)"
+    upserted = f"""WITH {BARE}, kept AS ({dedup('stored')}), fresh AS ({dedup('bare')})
+        SELECT {KEYS} FROM kept UNION ALL
+        SELECT {KEYS} FROM fresh WHERE text_hash NOT IN (SELECT text_hash FROM kept)"""
     return {
         "scan_files": f"""WITH {RAW_TREE}
             SELECT replace(filepath, chr(92), '/') AS filepath,
@@ -276,9 +279,8 @@ def oracle_sql() -> dict[str, str]:
         "snippets": over_chunks(f"""SELECT id, {short} AS short_filepath, start_line,
             substr({flat}, 1, 120) AS snippet, substr({flat}, 1, 80) AS hover FROM chunks"""),
         "dedup_chunks": f"WITH {BARE} SELECT {KEYS} FROM ({dedup('bare')})",
-        "upsert_chunks": f"""WITH {BARE}, kept AS ({dedup('stored')}), fresh AS ({dedup('bare')})
-            SELECT {KEYS} FROM kept UNION ALL
-            SELECT {KEYS} FROM fresh WHERE text_hash NOT IN (SELECT text_hash FROM kept)""",
+        "upsert_chunks": upserted,
+        "index_insert": upserted,
         "changed_files": over_both(moved),
         "refresh_index": over_both(f""", moved AS ({moved})
             SELECT {KEYS} FROM old WHERE filepath NOT IN (SELECT filepath FROM moved)

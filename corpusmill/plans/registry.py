@@ -101,6 +101,16 @@ def upsert_chunks(spark, d):
     return maintenance.upsert_chunks(stored, _unvectored(rows)).select(*CHUNK_KEYS)
 
 
+def index_insert(spark, d):
+    """``upsert_chunks`` into a saved index, whose bitmaps tell most new hashes."""
+    path = shared_dir(spark, "index")
+    rows = b.bare_chunks(spark, d)
+    labelled = rows.join(b.table(spark, d, "labels"), "doc_id", "left_semi")
+    snapshots.save_index(_unvectored(maintenance.dedup_chunks(labelled)), path, bitmaps=True)
+    snapshots.insert_absent(_unvectored(rows), path)
+    return snapshots.read_index(spark, path).select(*CHUNK_KEYS)
+
+
 def changed_files(spark, d):
     new = chunking.chunk_documents(b.edited_document_files(spark, d))
     return maintenance.changed_files(chunks_of(spark, d), new)
@@ -508,6 +518,7 @@ def queries() -> dict[str, Query]:
         "snippets": snippets,
         "dedup_chunks": dedup_chunks,
         "upsert_chunks": upsert_chunks,
+        "index_insert": index_insert,
         "changed_files": changed_files,
         "refresh_index": _refreshed("compat"),
         "refresh_index_strict": _refreshed("strict"),
