@@ -16,6 +16,7 @@ from corpusmill.operators.maintenance import dedup_chunks, stored_hashes
 
 BITS_PER_HASH = 16
 BUCKET_BITS = 32_768  # fixed by Spark's bitmap functions
+MAX_BROADCAST_HASHES = 500_000  # of 32 characters
 
 
 def bucket_count(hashes: int) -> int:
@@ -72,6 +73,13 @@ def stored_among(index: DataFrame, possible: DataFrame) -> DataFrame:
     return stored.join(possible, "text_hash", "left_semi").distinct()
 
 
-def absent_chunks(chunks: DataFrame, present: DataFrame) -> DataFrame:
-    """Deduplicated chunks whose hash is not among the present ones."""
+def absent_chunks(chunks: DataFrame, present: DataFrame, few: bool = False) -> DataFrame:
+    """Deduplicated chunks whose hash is not among the present ones.
+
+    ``few`` says that the present hashes were checked against ``MAX_BROADCAST_HASHES``: then
+    stored chunks go before any text is moved. Otherwise the copies of a hash go first, so
+    that each task sends one row of a hash.
+    """
+    if few:
+        return dedup_chunks(chunks.join(F.broadcast(present), "text_hash", "left_anti"))
     return dedup_chunks(chunks).join(present, "text_hash", "left_anti")

@@ -240,12 +240,13 @@ def insert_absent(chunks: DataFrame, path: str, encoder: Encoder | None = None,
         hashes.write.parquet(f"{scratch}/possible")
         possible = spark.read.schema("text_hash string").parquet(f"{scratch}/possible")
         present = hb.stored_among(read_index(spark, path), possible)
-        fresh = with_defaults(hb.absent_chunks(chunks, present))
+        asked = possible.count()
+        fresh = with_defaults(hb.absent_chunks(chunks, present, asked <= hb.MAX_BROADCAST_HASHES))
         if "vector" not in fresh.columns:
             fresh = embed(lay_out(fresh, shards), encoder)
         removed = spark.createDataFrame([], "filepath string")
         version = append_delta(fresh, removed, path, token, shards, added)
-        return Inserted(version, came.get["n"], possible.count(), 0 if version is None else added.get["n"])
+        return Inserted(version, came.get["n"], asked, 0 if version is None else added.get["n"])
     finally:
         remove_dir(spark, scratch)
 

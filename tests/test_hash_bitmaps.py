@@ -61,9 +61,10 @@ def test_no_bitmap_is_shuffled(spark):
     assert plan.count("Exchange hashpartitioning(bucket") == 1 and plan.count("Exchange") == 1
 
 
-@pytest.mark.parametrize("pushed", [10_000, 0])
-def test_insert_equals_upsert(spark, files, tmp_path, monkeypatch, pushed):
+@pytest.mark.parametrize("pushed,sent", [(10_000, 500_000), (0, 0)])
+def test_insert_equals_upsert(spark, files, tmp_path, monkeypatch, pushed, sent):
     monkeypatch.setattr(hb, "MAX_PUSHED_KEYS", pushed)
+    monkeypatch.setattr(hb, "MAX_BROADCAST_HASHES", sent)
     first = {f"f{i}.ts": text(f"one{i}") for i in range(20)}
     later = {**{f"f{i}.ts": text(f"one{i}") for i in range(5, 20)}, **{f"g{i}.go": text(f"two{i}") for i in range(20)}}
     path = str(tmp_path / "index")
