@@ -14,6 +14,7 @@ from corpusmill.schema import (
 )
 
 WORD = r"[\p{L}\p{N}_]+"
+NOT_WORD = r"[^\p{L}\p{N}_]+"
 
 
 def normalize_path(path: Column) -> Column:
@@ -77,6 +78,11 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
+def spaced_words(text: Column) -> Column:
+    """:func:`words` in one string, with one space for whatever stands between them."""
+    return F.regexp_replace(F.lower(text), F.lit(NOT_WORD), F.lit(" "))
+
+
 def first_tokens(tokens: Column, limit: int) -> Column:
     """The token cap of a model input."""
     return F.slice(tokens, 1, limit)

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, predict_batch_udf, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -23,41 +25,48 @@ from corpusmill.schema import (
 Encoder = Callable[[Column], Column]
 
 
-def bucket_of(token: Column, dim: int) -> Column:
-    """Hash bucket of a token: leading 8 hex digits of its md5, modulo ``dim``."""
-    return (F.conv(F.substring(F.md5(token), 1, 8), 16, 10).cast("long") % dim).cast("int")
+def _buckets(words: pa.Array, dim: int) -> np.ndarray:
+    """Hash bucket of each word: leading 8 hex digits of its md5, modulo ``dim``. Equal words are hashed once."""
+    coded = words.dictionary_encode()
+    n = len(coded.dictionary)
+    if not n:
+        return np.empty(0, np.int64)
+    # One string of them all, as a word at a time takes Arrow longer than its hash.
+    line = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, n], pa.int32()), coded.dictionary.cast(pa.binary())), b" ")
+    digests = b"".join([md5(w, usedforsecurity=False).digest() for w in line[0].as_buffer().to_pybytes().split(b" ")])
+    heads = np.frombuffer(digests, ">u4").reshape(n, 4)[:, 0].astype(np.int64)
+    return (heads % dim)[coded.indices.to_numpy()]
 
 
-def token_buckets(text: Column, dim: int, max_tokens: int | None = None) -> Column:
-    tokens = tx.words(text)
-    if max_tokens is not None:
-        tokens = tx.first_tokens(tokens, max_tokens)
-    return F.transform(tokens, lambda t: bucket_of(t, dim))
-
-
-def _unit_counts(dim: int):
-    """Arrow UDF: bucket lists to unit vectors of bucket counts.
+def _unit_counts(dim: int, max_tokens: int | None):
+    """Arrow UDF: words between single spaces to unit vectors of bucket counts.
 
     A token is a one-hot vector, so the counts are the mean pool up to a factor
     that the normalisation removes.
     """
 
     @F.arrow_udf(T.ArrayType(T.FloatType()))
-    def unit_counts(buckets: pa.Array) -> pa.Array:
-        parts = []
-        for at in range(0, len(buckets), 512):
-            rows = buckets.slice(at, 512)
-            n = len(rows)
-            sizes = rows.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            flat = rows.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
-            cell = np.repeat(np.arange(n, dtype=np.int64), sizes) * dim + flat
+    def unit_counts(spaced: pa.Array) -> pa.Array:
+        out = np.empty((len(spaced), dim), np.float32)
+        for at in range(0, len(spaced), 512):
+            lists = pc.split_pattern(spaced.slice(at, 512), " ")
+            n = len(lists)
+            sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            words = lists.flatten()
+            # A text that begins or ends between words has an empty piece there.
+            full = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0
+            row = np.repeat(np.arange(n, dtype=np.int64), sizes)[full]
+            words = words.filter(pa.array(full))
+            if max_tokens is not None:
+                head = np.arange(len(row)) - np.searchsorted(row, row) < max_tokens
+                row, words = row[head], words.filter(pa.array(head))
+            cell = row * dim + _buckets(words, dim)
             counts = np.bincount(cell, minlength=n * dim).reshape(n, dim).astype(np.float64)
             norms = np.sqrt((counts * counts).sum(axis=1))
             norms[norms == 0] = 1.0
-            parts.append((counts / norms[:, None]).astype(np.float32).ravel())
-        flat_out = np.concatenate(parts) if parts else np.empty(0, np.float32)
-        offsets = np.arange(len(buckets) + 1, dtype=np.int32) * dim
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat_out))
+            out[at:at + n] = counts / norms[:, None]
+        offsets = np.arange(len(spaced) + 1, dtype=np.int32) * dim
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(out.ravel()))
 
     return unit_counts
 
@@ -65,13 +74,14 @@ def _unit_counts(dim: int):
 def hashed(dim: int = EMBED_DIM, max_tokens: int | None = None) -> Encoder:
     """Built-in encoder: no model, reads the whole text.
 
-    Tokenising and hashing are Spark expressions; only bucket numbers cross to
-    the Arrow worker. ``max_tokens`` gives the input cap a model would have.
+    Tokenising is a Spark expression; the words cross to the Arrow worker, which
+    hashes each distinct one of a slice once. ``max_tokens`` gives the input cap a
+    model would have.
     """
-    densify = _unit_counts(dim)
+    densify = _unit_counts(dim, max_tokens)
 
     def encode(text: Column) -> Column:
-        return densify(token_buckets(text, dim, max_tokens))
+        return densify(tx.spaced_words(text))
 
     return encode
 

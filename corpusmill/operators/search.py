@@ -28,6 +28,8 @@ MAX_BLOCK_QUERIES = 4096
 MAX_BLOCK_BYTES = 64 << 20
 GRID_QUERY_BYTES = 256 << 20
 MAX_SCORE_CELLS = 4_000_000
+#: Rows of a batch that a scanning task holds as doubles at a time.
+SLICE_ROWS = 4096
 MAX_BROADCAST_HITS = 200_000
 MAX_CELL_FILTER = 10_000
 MERGE_SALTS = 64
@@ -71,9 +73,13 @@ def _matrix(column) -> np.ndarray:
 
 
 def _unit_rows(m: np.ndarray) -> np.ndarray:
-    norms = np.sqrt((m * m).sum(axis=1, keepdims=True))
-    norms[norms == 0] = 1.0
-    return m / norms
+    """The rows at length 1, in place."""
+    for at in range(0, len(m), 512):
+        rows = m[at:at + 512]
+        norms = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
+        norms[norms == 0] = 1.0
+        rows /= norms
+    return m
 
 
 def _row_cells(column) -> tuple[np.ndarray, np.ndarray]:
@@ -176,7 +182,7 @@ def _vector_products(queries: QueryBlock, batch) -> Products:
         raise ValueError("query and index vectors differ in length")
 
     def of_rows(where):
-        block = vectors[where].T
+        block = (vectors if len(where) == len(vectors) else vectors[where]).T
         return lambda part: queries.matrix[part] @ block
 
     return of_rows
@@ -282,7 +288,8 @@ def _scan_candidates(index, block: pa.Table, k, carry, schema, kernel) -> DataFr
     shared = index.sparkSession.sparkContext.broadcast(block)
 
     def search_task(batches):
-        best = top_rows(QueryBlock.of(shared.value), batches, k, carry, kernel)
+        slices = (b.slice(at, SLICE_ROWS) for b in batches for at in range(0, b.num_rows, SLICE_ROWS))
+        best = top_rows(QueryBlock.of(shared.value), slices, k, carry, kernel)
         if best is not None:
             yield best
 

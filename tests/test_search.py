@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -270,6 +274,35 @@ def test_hashed_encoder(spark):
     assert embedding.embed(df.limit(0), embedding.hashed(32)).count() == 0
 
 
+def test_hashed_encoder_hashes_a_word_once(spark, monkeypatch):
+    """Counts of md5 buckets, whatever stands between words; no hash per word in the plan."""
+    texts = [None, "", " - ", "one", "\tÉTÉ été x² 日本_語 a·b\n", "Foo, foo; BAR! " * 300]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    found = embedding.embed(df, embedding.hashed(64), prefix="")
+    for r in found.collect():
+        counts = np.zeros(64)
+        for word in re.findall(r"\w+", (texts[r.id] or "").lower()):
+            counts[int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % 64] += 1
+        assert np.allclose(r.vector, counts / max(1.0, np.linalg.norm(counts)))
+    capped = embedding.embed(df.where("id = 5"), embedding.hashed(64, 2), prefix="").collect()[0].vector
+    assert sum(x > 0 for x in capped) == 1
+    assert not re.search(r"\b(md5|conv)\(", found._jdf.queryExecution().optimizedPlan().toString())
+    hashed = []
+    monkeypatch.setattr(embedding, "md5", lambda w, **kw: hashed.append(w) or hashlib.md5(w, **kw))
+    embedding._buckets(pa.array(["a", "b", "a", "b", "a"]), 8)
+    assert sorted(hashed) == [b"a", b"b"]
+
+
+def test_batch_larger_than_a_slice(spark, monkeypatch):
+    """Slices of a batch give the best k of the whole, ties by id."""
+    df = spark.createDataFrame([(f"{i:03d}", [1.0, float(i % 7)]) for i in range(100)], "id string, vector array<float>").coalesce(1)
+    asked = spark.createDataFrame([(1, [0.0, 1.0])], "query_id int, qvec array<double>")
+    monkeypatch.setattr(search, "SLICE_ROWS", 8)
+    got = search.knn_search(df, asked, 20, with_rows=False).orderBy("rank").collect()
+    want = sorted(range(100), key=lambda i: (-(i % 7), i))[:20]
+    assert [r.id for r in got] == [f"{i:03d}" for i in want]
+
+
 def test_mean_pool_and_normalise(spark):
     rows = [("k", [1.0, 2.0], 1), ("k", [3.0, 6.0], 1), ("k", [100.0, 100.0], 0), ("z", [1.0, 1.0], 0)]
     df = spark.createDataFrame(rows, "key string, vec array<float>, mask int")
