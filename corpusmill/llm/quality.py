@@ -2,12 +2,15 @@
 
 Texts are cut into runs of letters and digits and runs of punctuation, lower-cased; their
 unigrams and bigrams are hashed into ``BUCKETS`` classes. One multinomial over the
-classes is counted over all documents (raw), one over a bounded sample of documents
-labelled good and not toxic (trusted). A document's score is the log-likelihood ratio of
-the two, divided by the number of its n-grams. The threshold is fixed once per fit, from
-the scores of the labelled sample; every document above it is kept, without any draw.
-
-Counting and scoring run in the scan: tasks return class counts, or a row per document.
+classes is counted over all documents (raw), one over all documents labelled good and
+not toxic (trusted). A document's score is the log-likelihood ratio of the two, divided
+by the number of its n-grams. The threshold is fixed once per fit, from exact order
+statistics of the scores of all labelled documents; every document above it is kept,
+without any draw.
+
+Counting and scoring return class counts, or a row per document. Up to
+``MAX_BROADCAST_IDS`` labelled ids meet the texts in the scan; more of them meet them by
+one shuffle of the texts.
 """
 
 from __future__ import annotations
@@ -18,13 +21,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusmill.llm import hashing as hs
+from corpusmill.llm.tables import discard, written
 
 BUCKETS = 10_000
-#: Labelled documents of each side (trusted, not trusted) in the sample, at most.
-SAMPLE = 10_000
+#: Labelled ids that are broadcast, after a count; beyond it the texts are shuffled.
+MAX_BROADCAST_IDS = 200_000
+#: Scores that are sorted in one place, and ranges that more of them are counted in.
+SORTED, RANGES = 10_000, 1024
 #: Weight of the raw distribution in the trusted one, in n-grams per class.
 PRIOR = 1.0
-#: Part of the trusted sample that the threshold may reject.
+#: Part of the trusted documents that the threshold may reject.
 LOSS = 0.001
 MIN_WORDS, MAX_REPEATED = 50, 50
 SYMBOLS = b"#*$%&|<>"
@@ -111,52 +117,101 @@ class Model:
         self.ratio, self.threshold = ratio, threshold
 
 
-def _class_counts(docs: DataFrame) -> np.ndarray:
-    """How often each class occurs in the texts; tasks send one array of counts each."""
+def _class_counts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """How often each class occurs in the texts, and in those with a true ``trusted``; tasks send one array of counts each."""
 
     def count(batches):
-        total = np.zeros(BUCKETS, np.int64)
+        total = np.zeros((2, BUCKETS), np.int64)
         for batch in batches:
             data, offsets = hs.text_bytes(batch.column(0))
+            trusted = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
             for row, end in hs.row_blocks(offsets):
                 low = offsets[row]
-                total += np.bincount(gram_classes(data[low:offsets[end]], offsets[row:end + 1] - low)[0], minlength=BUCKETS)
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(total[used], pa.int64())], names=["class", "n"])
+                classes, bound = gram_classes(data[low:offsets[end]], offsets[row:end + 1] - low)
+                own = classes[np.repeat(trusted[row:end], np.diff(bound))]
+                total += [np.bincount(x, minlength=BUCKETS) for x in (classes, own)]
+        used = np.flatnonzero(total[0])
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *(pa.array(n[used], pa.int64()) for n in total)], names=["class", "raw", "trusted"])
 
-    found = np.zeros(BUCKETS)
-    for r in docs.select(F.col("text").cast("string")).mapInArrow(count, "class int, n long").groupBy("class").agg(F.sum("n").alias("n")).collect():
-        found[r["class"]] = r["n"]
-    return found
+    found = np.zeros((2, BUCKETS))
+    counted = docs.select(F.col("text").cast("string"), "trusted").mapInArrow(count, "class int, raw long, trusted long")
+    for r in counted.groupBy("class").agg(F.sum("raw").alias("raw"), F.sum("trusted").alias("trusted")).collect():
+        found[:, r["class"]] = r["raw"], r["trusted"]
+    return found[0], found[1]
+
+
+def _sides(labels: DataFrame) -> DataFrame:
+    """Every id that labels agree on, with side 1 (trusted) or 0."""
+    side = F.when((F.min("quality") == 1) & (F.coalesce(F.max("toxic"), F.lit(0)) != 1), 1).when(F.max("quality") == 0, 0)
+    known = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(side.alias("side"))
+    return known.filter("side is not null")
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, loss: float = LOSS) -> Model | None:
-    """Fit on all documents and at most ``sample`` labelled ids of each side, least hashes first.
+def fit(docs: DataFrame, labels: DataFrame, loss: float = LOSS) -> Model | None:
+    """Fit on all documents and all labels.
 
     Trusted is quality 1 and toxic not 1; labels that contradict each other for an id, null
-    ids and null qualities are left out. None without a trusted document.
+    ids and null qualities are left out. None without a trusted label.
     """
-    side = F.when((F.min("quality") == 1) & (F.coalesce(F.max("toxic"), F.lit(0)) != 1), 1).when(F.max("quality") == 0, 0)
-    known = labels.filter("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(side.alias("side"))
-    ids = {s: [r[0] for r in known.filter(F.col("side") == s).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).select("doc_id").collect()] for s in (0, 1)}
-    if not ids[1]:
-        return None
-    raw = _class_counts(docs)
-    spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-
-    def chosen(s: int) -> DataFrame:
-        # At most ``sample`` ids of 8 bytes: bounded by the parameter.
-        return texts.join(F.broadcast(spark.createDataFrame([(i,) for i in ids[s]], "doc_id long")), "doc_id", "left_semi")
-
-    trusted = _class_counts(chosen(1).select("text"))
-    base = (raw + 1) / (raw.sum() + BUCKETS)
-    model = Model(np.log((trusted + PRIOR * BUCKETS * base) / (trusted.sum() + PRIOR * BUCKETS)) - np.log(base), 0.0)
-    own = {s: np.sort([r[0] for r in _scored(chosen(s), model).select("score").collect()]) if ids[s] else np.zeros(0) for s in (0, 1)}
-    model.threshold = threshold(own[1], own[0], loss)
+    known = written(_sides(labels), "quality-sides")
+    try:
+        if known.filter("side = 1").isEmpty():
+            return None
+        few = known.limit(MAX_BROADCAST_IDS + 1).count() <= MAX_BROADCAST_IDS
+        # The texts are streamed past the ids of their partition: neither side is sorted.
+        side = F.broadcast(known) if few else known.hint("shuffle_hash")
+        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        # Null ids match nothing, and a second key keeps them from one task.
+        spread = texts.withColumn("spread", F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(0))
+        marked = spread.join(side.withColumn("spread", F.lit(0).cast("long")), ["doc_id", "spread"], "left")
+        raw, trusted = _class_counts(marked.withColumn("trusted", F.coalesce(F.col("side") == 1, F.lit(False))))
+        base = (raw + 1) / (raw.sum() + BUCKETS)
+        model = Model(np.log((trusted + PRIOR * BUCKETS * base) / (trusted.sum() + PRIOR * BUCKETS)) - np.log(base), 0.0)
+        own = written(_scored(texts.filter("doc_id is not null"), model).join(side, "doc_id").select("side", "score"), "quality-scores")
+        try:
+            model.threshold = _cut(own, loss)
+        finally:
+            discard(own)
+    finally:
+        discard(known)
     return model
 
 
+def at_ranks(scores: DataFrame, ranks: list[int]) -> list[float]:
+    """The scores with these numbers, from 0, in rising order: exactly, however many there are.
+
+    Scores are counted in ranges of equal width; the range that holds a number is cut again
+    until it has one value, or few enough to be sorted in one place.
+    """
+    found = []
+    for rank in ranks:
+        part = scores.select("score")
+        low, high, n = part.agg(F.min("score"), F.max("score"), F.count("score")).first()
+        while low < high and n > SORTED:
+            place = F.least(F.floor((F.col("score") - low) / (high - low) * RANGES), F.lit(RANGES - 1))
+            ranges = part.groupBy(place.alias("place")).agg(F.min("score").alias("low"), F.max("score").alias("high"), F.count("*").alias("n"))
+            for r in sorted(ranges.collect(), key=lambda r: r["place"]):
+                if rank < r["n"]:
+                    low, high, n = r["low"], r["high"], r["n"]
+                    break
+                rank -= r["n"]
+            part = scores.select("score").filter(F.col("score").between(low, high))
+        found.append(low if low == high else sorted(r[0] for r in part.collect())[rank])
+    return found
+
+
+def _cut(own: DataFrame, loss: float) -> float:
+    """:func:`threshold` of a table with side 1 and 0."""
+    sides = {s: own.filter(F.col("side") == s) for s in (0, 1)}
+    n = sides[1].count()
+    if not n:
+        return -np.inf
+    limit = at_ranks(sides[1], [min(n - 1, int(loss * n))])[0]
+    below = sides[0].filter(F.col("score") < limit)
+    n = below.count()
+    return limit if not n else (limit + float(np.mean(at_ranks(below, sorted({(n - 1) // 2, n // 2}))))) / 2
+
+
 def threshold(trusted: np.ndarray, other: np.ndarray, loss: float) -> float:
     """The cut that loses at most ``loss`` of the trusted scores; within that, halfway to the other side."""
     if not len(trusted):

@@ -91,3 +91,37 @@ def test_threshold():
     assert quality.threshold(np.array([]), np.array([]), 0.1) == -np.inf
     assert quality.threshold(np.arange(10.0), np.array([]), 0.2) == 2.0
     assert quality.threshold(np.array([1.0, 2.0]), np.array([-1.0, -1.0, 5.0]), 0.0) == 0.0
+
+
+@pytest.mark.parametrize("most", [quality.MAX_BROADCAST_IDS, 100])
+def test_fit_covers_all_labels(spark, docs, monkeypatch, most):
+    """More labelled texts than 10,000 a side: model and threshold are those of all of them."""
+    monkeypatch.setattr(quality, "MAX_BROADCAST_IDS", most)
+    monkeypatch.setattr(quality, "SORTED", 50)
+    monkeypatch.setattr(quality, "RANGES", 16)
+    rows = [(i, f"fine word{i % 97} text{i}") for i in range(10_300)] + [(i, f"# $ junk{i % 89} % fine" + " *" * (i % 5)) for i in range(20_000, 30_300)]
+    rows += [(None, "no id"), (5, "fine again"), (50_000, "unlabelled words")]
+    given = spark.createDataFrame([(r[0], int(r[0] < 20_000), 0) for r in rows[:20_600]], LABELS)
+    loss = 0.3
+    model = quality.fit(docs(rows), given, loss=loss)
+
+    def counted(some):
+        data, offsets = hs.text_bytes(pa.array([r[1] for r in some]))
+        return np.bincount(quality.gram_classes(data, offsets)[0], minlength=quality.BUCKETS)
+
+    good = [r for r in rows if r[0] is not None and r[0] < 20_000]
+    bad = [r for r in rows if r[0] is not None and 20_000 <= r[0] < 40_000]
+    raw, trusted, prior = counted(rows), counted(good), quality.PRIOR * quality.BUCKETS
+    base = (raw + 1) / (raw.sum() + quality.BUCKETS)
+    assert model.ratio == pytest.approx(np.log((trusted + prior * base) / (trusted.sum() + prior)) - np.log(base))
+    own = [np.sort(quality.scores(pa.array([r[1] for r in some]), model.ratio)) for some in (good, bad)]
+    assert model.threshold == pytest.approx(quality.threshold(*own, loss))
+
+
+def test_at_ranks(spark, monkeypatch):
+    monkeypatch.setattr(quality, "SORTED", 3)
+    monkeypatch.setattr(quality, "RANGES", 4)
+    values = [0.0] * 40 + [1e-9 * i for i in range(30)] + [-1e300, 7.5, 7.5, 7.5, 7.5, 1e300]
+    df = spark.createDataFrame([(x,) for x in values], "score double")
+    ranks = [0, 1, 20, 41, 55, len(values) - 2, len(values) - 1]
+    assert quality.at_ranks(df, ranks) == [sorted(values)[k] for k in ranks]
